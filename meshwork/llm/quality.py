@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meshwork.llm.scratch import small_batches
 from meshwork.llm.textbytes import ALNUM, LOWER, RangeHash, U, blocks, words
 
 #: 2^BITS weights for words, then one for each ASCII character that is neither lower case nor digit, then the share of words that repeat.
@@ -93,6 +94,7 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "doc_id", grade: str = "grade", rows: int = TRAIN_ROWS) -> Ordinal | None:
     """The model from at most `rows` rated texts, those of the smallest hashes of the id; None if no text is rated."""
+    small_batches(docs.sparkSession)
     rated = ratings.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(grade).cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", "grade")
@@ -127,6 +129,7 @@ def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least:
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in carried], F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_good"), F.lit(True).alias("keep"))
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.weights, model.thresholds))  # N_ALL floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

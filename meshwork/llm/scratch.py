@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session says otherwise: both sides of a stream of long texts hold whole batches."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "268435456", "256MB", "256m"):
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 class Scratch:
     """Writes steps as Parquet, which cuts the lineage: a lost executor costs the tasks it ran, not the steps before.
 
@@ -34,6 +41,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 

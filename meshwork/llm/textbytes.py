@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
