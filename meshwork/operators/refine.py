@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshwork.functions.hierarchy import Machine
+from meshwork.kernels.local import Local
+from meshwork.kernels.split import refine_flow, refine_pair
 from meshwork.operators import gains, metrics
 from meshwork.operators.coarsen import Rounds
 from meshwork.sources.graph import Graph
@@ -61,20 +63,25 @@ def rebalance_step(candidates: DataFrame, vertices: DataFrame, blocks: DataFrame
 
 
 def rebalance(graph: Graph, assign: DataFrame, m: Machine, lmax: int, rounds: int = 20) -> DataFrame:
-    """Moves vertices out of overloaded blocks until none is left or nothing fits: neighbour blocks first, then any block."""
+    """Moves vertices out of overloaded blocks until none is left or nothing fits: to neighbour blocks, or to any block where no neighbour
+    block has room. Of like targets a hash picks, so that a round fills many of them."""
     state = Rounds(graph.edges.sparkSession)
     assign = state.keep(assign)
     blocks = state.keep(blocks_of(graph, assign, m.k, lmax))
     conn = None
-    for _ in range(rounds):
+    for i in range(rounds):
         if not blocks.where("bweight > lmax").head(1):
             break
         conn = state.keep(metrics.block_conn(metrics.placed(graph.edges, assign))) if conn is None else conn
-        for every in (False, True):
-            moves = state.keep(rebalance_step(rebalance_candidates(conn, assign, graph.vertices, blocks, m, every), graph.vertices, blocks))
-            if moves.head(1):
-                break
-        else:
+        near = rebalance_candidates(conn, assign, graph.vertices, blocks, m)
+        spare = blocks.where("bweight < lmax").select(F.col("pid").alias("new_id"), "bweight", "lmax")
+        heavy = assign.join(blocks.where("bweight > lmax").select("pid"), "pid", "left_semi").join(graph.vertices, "u").join(near.select("u"), "u", "left_anti")
+        fits = heavy.crossJoin(F.broadcast(spare)).where("bweight + vw <= lmax")  # the blocks with room, k rows at most
+        pick = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(i), "u", "new_id"), "new_id")
+        any_ = fits.withColumn("r", F.row_number().over(pick)).where("r = 1").select("u", F.col("pid").alias("old_id"), "new_id")
+        far = gains.gain(conn, any_, m)
+        moves = state.keep(rebalance_step(near.unionByName(far.select(*near.columns)), graph.vertices, blocks))
+        if not moves.head(1):
             break
         assign = state.keep(gains.apply_moves(assign, moves))
         conn = state.keep(gains.moved_conn(conn, graph.edges, moves))
@@ -156,28 +163,8 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
         pairs = [(r["a"], r["b"], r["w"]) for r in metrics.quotient(metrics.placed(graph.edges, assign)).collect()]
         improved: set[int] = set()
         for batch in schedule(pairs, active):
-            distances = {i: m.between(a, b) for i, (a, b) in enumerate(batch)}
             vertices, inner = pair_frames(graph, assign, batch, m)
-
-            def run(key, vs: pd.DataFrame, es: pd.DataFrame, distances=distances, batch=batch) -> pd.DataFrame:
-                from meshwork.kernels.local import Local
-                from meshwork.kernels.split import refine_flow, refine_pair
-
-                vs = vs.sort_values("u")
-                g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
-                side = [int(s) for s in vs["side"]]
-                old = list(side)
-                extra = [(int(a), int(b)) for a, b in zip(vs["pay0"], vs["pay1"], strict=True)]
-                d = distances[int(key[0])]
-                if kernel == "flow":
-                    refine_flow(g, side, (lmax, lmax), extra, d, alpha)
-                elif kernel == "swap":
-                    _swap(g, side, extra, d, lmax)
-                else:
-                    refine_pair(g, side, (lmax, lmax), extra, 2, d)
-                ends = batch[int(key[0])]
-                return pd.DataFrame([(g.ids[i], ends[old[i]], ends[s]) for i, s in enumerate(side) if s != old[i]], columns=["u", "old_id", "new_id"])
-
+            run = _pair_kernel(kernel, batch, m, lmax, alpha)
             moves = state.keep(vertices.groupBy("pair").cogroup(inner.groupBy("pair")).applyInPandas(run, "u long, old_id long, new_id long"))
             if not moves.head(1):
                 continue
@@ -193,6 +180,26 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
     return assign
 
 
+def _pair_kernel(kernel: str, batch: list[tuple[int, int]], m: Machine, lmax: int, alpha: float):
+    def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        vs = vs.sort_values("u")
+        g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
+        side = [int(s) for s in vs["side"]]
+        old = list(side)
+        extra = [(int(a), int(b)) for a, b in zip(vs["pay0"], vs["pay1"], strict=True)]
+        ends = batch[int(key[0])]
+        d = m.between(*ends)
+        if kernel == "flow":
+            refine_flow(g, side, (lmax, lmax), extra, d, alpha)
+        elif kernel == "swap":
+            _swap(g, side, extra, d, lmax)
+        else:
+            refine_pair(g, side, (lmax, lmax), extra, 2, d)
+        return pd.DataFrame([(g.ids[i], ends[old[i]], ends[s]) for i, s in enumerate(side) if s != old[i]], columns=["u", "old_id", "new_id"])
+
+    return run
+
+
 def _overload(graph: Graph, assign: DataFrame, k: int, lmax: int) -> int:
     return metrics.balance(metrics.block_weights(graph.vertices, assign, k), lmax).first()["overload"]
 

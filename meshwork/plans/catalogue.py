@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshwork.functions import scalars
 from meshwork.functions.hierarchy import Machine
+from meshwork.kernels.paths import global_paths
 from meshwork.operators import coarsen, gains, metrics, refine
 from meshwork.plans import solver
 from meshwork.sources import files, graph as guests
@@ -172,7 +174,7 @@ LMAX = f"L AS (SELECT ceil({1 + EPS} * (sum(vw) / 16.0))::BIGINT lmax FROM V)"
 
 
 @add("block_balance", f"""{GRID_SMALL}, {BLOCKS.format(k=16)}, {LMAX}
-SELECT max(bweight) max_weight, count_if(bweight = 0) n_empty, count_if(bweight > lmax) n_overloaded, sum(greatest(bweight - lmax, 0))::BIGINT overload,
+SELECT max(bweight) max_weight, count_if(bweight = 0)::BIGINT n_empty, count_if(bweight > lmax)::BIGINT n_overloaded, sum(greatest(bweight - lmax, 0))::BIGINT overload,
   max(bweight) / (sum(bweight) / count(*)) balance, bool_or(bweight > lmax) is_overloaded FROM B, L""")
 def block_balance(spark, d):
     g, a, _ = grid_modulo(spark, d)
@@ -180,7 +182,7 @@ def block_balance(spark, d):
     return metrics.balance(metrics.block_weights(g.vertices, a, SMALL.k), scalars.lmax(total, SMALL.k, EPS))
 
 
-@add("boundary_vertices", f"{GRID_SMALL} SELECT u, pu pid, count_if(pu <> pv) n_ext FROM EA GROUP BY 1, 2 HAVING count_if(pu <> pv) > 0")
+@add("boundary_vertices", f"{GRID_SMALL} SELECT u, pu pid, count_if(pu <> pv)::BIGINT n_ext FROM EA GROUP BY 1, 2 HAVING count_if(pu <> pv) > 0")
 def boundary_vertices(spark, d):
     return metrics.boundary(grid_modulo(spark, d)[2])
 
@@ -226,7 +228,7 @@ def induced_subgraph(spark, d):
 @add("solution_report", f"""{GRID_SMALL}, {BLOCKS.format(k=16)}, {LMAX}
 SELECT (SELECT count(*) FROM V) n, (SELECT count(*) // 2 FROM E)::BIGINT m_edges, (SELECT sum(w * ({D_SMALL}))::BIGINT FROM EA) qap,
   (SELECT sum(w)::BIGINT FROM EA WHERE pu <> pv) edge_cut_directed, (SELECT (sum(w) // 2)::BIGINT FROM EA WHERE pu <> pv) edge_cut,
-  max(bweight) max_weight, count_if(bweight = 0) n_empty, count_if(bweight > lmax) n_overloaded, sum(greatest(bweight - lmax, 0))::BIGINT overload,
+  max(bweight) max_weight, count_if(bweight = 0)::BIGINT n_empty, count_if(bweight > lmax)::BIGINT n_overloaded, sum(greatest(bweight - lmax, 0))::BIGINT overload,
   max(bweight) / (sum(bweight) / count(*)) balance, bool_or(bweight > lmax) is_overloaded, 16::BIGINT k, any_value(lmax) lmax FROM B, L""")
 def solution_report(spark, d):
     g, a, _ = grid_modulo(spark, d)
@@ -556,7 +558,7 @@ def rebalance_step(spark, d):
 TWO = f"WITH {GRID}, O AS (SELECT u, (u // 40) % 16 a FROM V), N AS (SELECT u, (u // 50) % 16 b FROM V), X AS (SELECT V.u, vw, a, b FROM V JOIN O USING (u) JOIN N USING (u))"
 
 
-@add("migration_cost", f"{TWO} SELECT coalesce(sum(vw * ({SMALL.sql('a', 'b')})), 0)::BIGINT migration_cost, count_if(a <> b) moved_vertices FROM X")
+@add("migration_cost", f"{TWO} SELECT coalesce(sum(vw * ({SMALL.sql('a', 'b')})), 0)::BIGINT migration_cost, count_if(a <> b)::BIGINT moved_vertices FROM X")
 def migration_cost(spark, d):
     g = guests.part_grid(spark, d)
     return metrics.migration(g.vertices, banded(g, 16), banded(g, 16, 50), SMALL)
@@ -713,23 +715,16 @@ def coarsen_lp(spark, d):
 @add("match_paths")
 def match_paths(spark, d):
     """Global paths in each block of the grid."""
-    import pandas as pd
-
     g, a, ea = grid_modulo(spark, d)
-    inner = metrics.induced(coarsen_pairs(g, a))
+    inner = metrics.induced(metrics.placed(g.edges, a))
 
     def run(es: pd.DataFrame) -> pd.DataFrame:
-        from meshwork.kernels.paths import global_paths
-
         got = global_paths([(float(r.w), int(r.u), int(r.v)) for r in es.itertuples() if r.u < r.v])
         return pd.DataFrame(got, columns=["u", "v"])
 
     return inner.groupBy("pid").applyInPandas(run, "u long, v long")
 
 
-def coarsen_pairs(g: Graph, a: DataFrame) -> DataFrame:
-    return metrics.placed(g.edges, a)
-
 
 def _report(spark, g, a, m):
     return metrics.solution_report(g.vertices, g.edges, a, m, EPS)
@@ -813,5 +808,3 @@ def command_log(spark, d):
     """Parsed commands with what was rejected."""
     return files.command_list(spark, ["# a comment", "+v 1 2", "+e 1 2 3", "", "save_partition x", "vw 1", "-e 1 2", "stats"]).select("seq", "op", "u", "v", "w", "rejected")
 
-
-assert Window

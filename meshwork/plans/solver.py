@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshwork.functions.hierarchy import Machine
 from meshwork.functions.scalars import adaptive_imbalance, lmax as limit
+from meshwork.kernels import multilevel
+from meshwork.kernels.local import Local
+from meshwork.kernels.split import split
 from meshwork.operators import coarsen, metrics, refine
 from meshwork.operators.coarsen import Rounds
 from meshwork.sources.graph import Graph
@@ -44,71 +47,44 @@ def _weight(graph: Graph) -> int:
     return graph.vertices.agg(F.coalesce(F.sum("vw"), F.lit(0))).first()[0]
 
 
-def initial(graph: Graph, m: Machine, lmax: int, method: str = "flow", trials: int = 3, seed: int = 0, weight: int | None = None, eps: float = 0.03, top_levels: int | None = None) -> DataFrame:
-    """Multisection of a small graph, outermost level first. All items of a level are split side by side, each with `trials` seeds; an
-    item's allowed imbalance is what keeps the final bound after the splits to come. method: "flow", "ggg", "bfs" (growing), "greedy"."""
-    spark = graph.edges.sparkSession
-    weight = _weight(graph) if weight is None else weight
-    state = Rounds(spark)
-    if method == "greedy":
-        return _greedy(graph, m, lmax)
-    assign = state.keep(graph.vertices.select("u", F.lit(0).cast("long").alias("pid")))
-    below = m.strides
-    levels = list(range(len(m.sizes) - 1, -1, -1))[:top_levels]
-    for level in levels:
-        k, stride, depth = m.sizes[level], below[level - 1] if level else 1, level + 1
-        if k == 1:
-            continue
-
-        def run(key, vs: pd.DataFrame, es: pd.DataFrame, k=k, stride=stride, depth=depth) -> pd.DataFrame:
-            from meshwork.kernels.local import Local
-            from meshwork.kernels.split import split
-
-            vs = vs.sort_values("u")
-            g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
-            if not len(g):
-                return pd.DataFrame({"item": [], "trial": [], "u": [], "part": [], "over": [], "cut": []})
-            free = adaptive_imbalance(eps, weight, m.k, max(1, g.total), k * stride, depth)
-            most = min(lmax * stride, int(-(-(1 + free) * g.total // k))) if stride > 1 else lmax
-            most = max(most, -(-g.total // k))
-            part = split(g, k, most, "flow" if method == "flow" else "ggg", 2, seed * 1000 + int(key[1]))
-            loads = [0] * k
-            for w, p in zip(g.vw, part, strict=True):
-                loads[p] += w
-            cut = sum(w for u in range(len(g)) for v, w in g.near[u].items() if u < v and part[u] != part[v])
-            return pd.DataFrame({"item": int(key[0]), "trial": int(key[1]), "u": g.ids, "part": part, "over": sum(max(0, x - most) for x in loads), "cut": cut})
-
-        items = assign.join(graph.vertices, "u").select(F.col("pid").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "u", "vw")
-        inner = metrics.induced(metrics.placed(graph.edges, assign)).select(F.col("pid").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "u", "v", "w")
-        tried = state.keep(items.groupBy("item", "trial").cogroup(inner.groupBy("item", "trial")).applyInPandas(run, "item long, trial int, u long, part long, over long, cut long"))
-        best = tried.groupBy("item").agg(F.min_by("trial", F.struct("over", "cut", "trial")).alias("trial"))
-        assign = state.keep(tried.join(best, ["item", "trial"]).select("u", (F.col("item") + F.col("part") * stride).alias("pid")))
-    return assign
-
+#: Graphs of so many arcs at most are solved in one task (each trial in its own).
+LOCAL_ARCS = 60_000
 
-def _greedy(graph: Graph, m: Machine, lmax: int) -> DataFrame:
-    """One sequential kernel, for coarsest graphs only."""
 
+def _trial_kernel(m: Machine, lmax: int, weight: int, eps: float, p: Profile, method: str, seed: int):
     def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        from meshwork.kernels.local import Local
-        from meshwork.kernels.split import greedy, hill_climb
-
         vs = vs.sort_values("u")
+        trial = int(key[0])
         g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
-        pid = greedy(g, m.k, lmax, m.between)
-        hill_climb(g, pid, m.k, lmax, m.between)
-        return pd.DataFrame({"u": g.ids, "pid": pid})
+        pid = multilevel.solve(g, m, lmax, weight, eps, p.c, method, p.lp, p.pairs, p.flow, p.alpha, seed * 1000 + trial)
+        loads = [0] * m.k
+        for w, b in zip(g.vw, pid, strict=True):
+            loads[b] += w
+        return pd.DataFrame({"trial": trial, "u": g.ids, "pid": pid, "overload": sum(max(0, x - lmax) for x in loads), "qap": g.cost(pid, m.between)})
+
+    return run
 
-    one = F.lit(0).alias("g")
-    return graph.vertices.select(one, "u", "vw").groupBy("g").cogroup(graph.edges.select(one, "u", "v", "w").groupBy("g")).applyInPandas(run, "u long, pid long")
 
+def initial(graph: Graph, m: Machine, lmax: int, method: str = "flow", trials: int = 3, seed: int = 0, weight: int | None = None, eps: float = 0.03, profile: Profile | None = None) -> DataFrame:
+    """Places a graph of bounded size (LOCAL_ARCS, or k * c vertices): multilevel multisection, outermost level first, in one task for each of `trials` seeds; the
+    best counts, balanced ones first. method: "flow", "ggg" (growing) or "greedy"."""
+    weight = _weight(graph) if weight is None else weight
+    p = profile or Profile()
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(max(1, trials) - 1))).alias("trial")
+    vertices, edges = graph.vertices.select(seeds, "u", "vw"), graph.edges.select(seeds, "u", "v", "w")
+    run = _trial_kernel(m, lmax, weight, eps, p, method, seed)
+    tried = vertices.groupBy("trial").cogroup(edges.groupBy("trial")).applyInPandas(run, "trial int, u long, pid long, overload long, qap long")
+    tried = Rounds(graph.edges.sparkSession).keep(tried)
+    best = refine.better(tried.groupBy("trial").agg(F.first("overload").alias("overload"), F.first("qap").alias("qap")))
+    return tried.join(F.broadcast(best), "trial").select("u", "pid")
 
-def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataFrame | None = None, seed: int = 0, most: int = 30) -> list[tuple[Graph, DataFrame]]:
+
+def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataFrame | None = None, seed: int = 0, most: int = 30, local: bool = False) -> list[tuple[Graph, DataFrame]]:
     """[(graph, mapping to the next coarser)], finest first, until `target` vertices or a level shrinks by less than 5 %."""
     state = Rounds(graph.edges.sparkSession)
     out, n = [], graph.vertices.count()
     for level in range(most):
-        if n <= target:
+        if n <= target or (local and graph.edges.count() <= LOCAL_ARCS):
             break
         if p.coarsening == "clustering":
             mapping = coarsen.cluster(graph, max(1, cap), 3, seed=seed + level, assign=assign)
@@ -151,10 +127,9 @@ def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile =
     most = limit(weight, m.k, eps)
     if not weight:
         return graph.vertices.select("u", F.lit(0).cast("long").alias("pid"))
-    stack = coarse_levels(graph, m.k * p.c, max(1, weight // (m.k * 2)), p, seed=seed)
+    stack = coarse_levels(graph, m.k * p.c, max(1, weight // (m.k * 2)), p, seed=seed, local=True)
     coarsest = stack[-1][0]
-    assign = state.keep(initial(coarsest, m, most, p.initial, p.trials, seed, weight, eps))
-    assign = improve(coarsest, assign, m, most, p, seed)
+    assign = state.keep(initial(coarsest, m, most, p.initial, p.trials, seed, weight, eps, p))
     if levels is not None:
         levels.append(_figures(coarsest, assign, m, most, len(stack) - 1))
     for depth in range(len(stack) - 2, -1, -1):
@@ -163,7 +138,7 @@ def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile =
         assign = improve(g, assign, m, most, p, seed + depth)
         if levels is not None:
             levels.append(_figures(g, assign, m, most, depth))
-    for cycle in range(p.cycles):  # again inside the blocks: coarsening keeps the placement, refinement can only improve it
+    for cycle in range(p.cycles if len(stack) > 1 else 0):  # again inside the blocks: coarsening keeps the placement, refinement can only improve it
         stack = coarse_levels(graph, m.k * p.c, max(1, weight // (m.k * 2)), p, assign, seed + 77 + cycle)
         for g, mapping in stack[:-1]:
             assign = coarsen.contract_assign(assign, mapping)
@@ -257,9 +232,6 @@ def _split_blocks(g: Graph, assign: DataFrame, m: Machine, level: int, lmax: int
     inner = metrics.induced(metrics.placed(g.edges, assign)).select("u", "v", "w")
 
     def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        from meshwork.kernels.local import Local
-        from meshwork.kernels.split import split
-
         vs = vs.sort_values("u")
         local = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
         most = max(lmax * stride, -(-local.total // one.k))
