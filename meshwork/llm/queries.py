@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshwork.llm import quality
+from meshwork.llm import oracles, quality
 from meshwork.llm.ann import ann
 from meshwork.llm.exact_topk import exact_topk
 from meshwork.llm.jaccard_join import jaccard_join
@@ -78,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_packing, op2_license_scan, op3_quality, op4_suffix_dedup, op5_url_filter, op6_jaccard_join, op7_rlz_dedup, op8_mix_sources, op9_exact_topk, op10_ann)
 }
-ORACLE: dict[str, str] = {}
+#: op4 is left out: DuckDB needs minutes for all 200-byte windows of the small tables. It is tested against a plain version.
+ORACLE: dict[str, str] = {"op5_url_filter": oracles.OP5, "op6_jaccard_join": oracles.OP6, "op7_rlz_dedup": oracles.OP7, "op9_exact_topk": oracles.OP9}
