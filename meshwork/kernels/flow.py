@@ -100,7 +100,7 @@ class Network:
             work = [(root, 0)]
             while work:
                 u, i = work.pop()
-                if i == 0:
+                if index[u] < 0:
                     index[u] = low[u] = count
                     count += 1
                     stack.append(u)

@@ -147,7 +147,7 @@ def pair_frames(graph: Graph, assign: DataFrame, batch: list[tuple[int, int]], m
     met = metrics.placed(graph.edges, assign)
     met = met.join(table.select(F.col("pid").alias("pu"), "pair", "left", "right"), "pu")
     outer = met.where("pv <> left and pv <> right").groupBy("pair", "u").agg(F.sum(F.col("w") * m.distance(F.col("left"), F.col("pv"))).alias("pay0"), F.sum(F.col("w") * m.distance(F.col("right"), F.col("pv"))).alias("pay1"))
-    inner = met.where("pv = left or pv = right").select("pair", "u", "v", "w")
+    inner = met.where("pv = left or pv = right").select((F.col("pair") + 0).alias("pair"), "u", "v", "w")  # a column of its own for the cogroup
     vertices = vertices.join(outer, ["pair", "u"], "left").fillna(0, ["pay0", "pay1"])
     return vertices, inner
 

@@ -784,7 +784,7 @@ M222 = Machine.parse("2:2:2", "1:10:100")
 for _p in ("fast", "eco", "strong"):
     _solve(f"solve_{_p}", lambda s, d, p=_p: solver.solve(guests.part_grid(s, d), M222 if p != "strong" else Machine.parse("2:2", "1:10"), EPS, solver.profile_with(p, trials=2, lp=2)))
 _solve("partition_kway", lambda s, d: solver.partition(guests.part_grid(s, d), 4, EPS, solver.profile_with("fast", trials=2, lp=2)))
-_solve("solve_deep", lambda s, d: solver.solve_deep(guests.part_grid(s, d), M222, EPS, solver.profile_with("fast", trials=2, lp=1)))
+_solve("solve_deep", lambda s, d: solver.solve_deep(guests.part_grid(s, d), M222, EPS, solver.profile_with("fast", trials=2, lp=1, pairs=0)))
 _solve("solve_by_levels", lambda s, d: solver.solve_by_levels(guests.part_grid(s, d), Machine.parse("2:2", "1:10"), EPS, solver.profile_with("fast", trials=2, lp=1)))
 
 

@@ -238,7 +238,7 @@ def _split_blocks(g: Graph, assign: DataFrame, m: Machine, level: int, lmax: int
         part = split(local, one.k, most, "flow" if p.initial == "flow" else "ggg", 2, seed + int(key[0]))
         return pd.DataFrame({"u": local.ids, "pid": [int(key[0]) + stride * x for x in part]})
 
-    tagged = inner.join(assign, "u")
+    tagged = inner.join(assign, "u").withColumn("pid", F.col("pid") + 0)  # a column of its own for the cogroup
     return assign.join(g.vertices, "u").groupBy("pid").cogroup(tagged.groupBy("pid")).applyInPandas(run, "u long, pid long")
 
 
