@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.llm.scratch import small_batches
-from meshwork.llm.textbytes import ALNUM, LOWER, RangeHash, U, blocks, words
+from meshwork.llm.textbytes import ALNUM, LOWER, RangeHash, U, blocks, mix, words
 
-#: 2^BITS weights for words, then one for each ASCII character that is neither lower case nor digit, then the share of words that repeat.
-BITS = 18
+#: Words count whole and, if longer, by their first STEM bytes. 2^BITS weights for them, then one for each ASCII character that is neither lower case nor digit, then the share of words that repeat.
+BITS, STEM = 18, 5
 N_WORDS = 1 << BITS
 N_ALL = N_WORDS + 128 + 1
 #: The bound of the sample that the model is fitted on.
@@ -21,13 +21,16 @@ GRADES = 3
 
 
 def features(data: np.ndarray, off: np.ndarray, inner: RangeHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, feature numbers and values: 1 for each distinct hashed word; square roots of characters' shares; the share of repeated words."""
+    """Rows, feature numbers and values: 1 for each distinct hashed word and stem; square roots of characters' shares; the share of repeated words."""
     low = LOWER[data]
     start, end, first = words(low, off, ALNUM)
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(first))
-    code = (inner.of(inner.prefix(low), start, end) >> U(64 - BITS)).astype(np.int64)
-    both = np.sort(row * N_WORDS + code)
+    sums = inner.prefix(low)
+    long_ = end - start > STEM
+    stem = inner.of(sums, start[long_], start[long_] + STEM) ^ U(1 << 63)  # another place than the word of these letters
+    code = np.concatenate([inner.of(sums, start, end), mix(stem)]) >> U(64 - BITS)
+    both = np.sort(np.concatenate([row, row[long_]]) * N_WORDS + code.astype(np.int64))
     if len(both):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     r1, f1 = both // N_WORDS, both % N_WORDS
@@ -38,7 +41,8 @@ def features(data: np.ndarray, off: np.ndarray, inner: RangeHash) -> tuple[np.nd
     r2, f2 = np.nonzero(shares)
     v2 = 4 * np.sqrt(shares[r2, f2] / size[r2])
     many = np.flatnonzero(count)
-    v3 = 1 - np.bincount(r1, minlength=n)[many] / count[many]
+    whole = np.bincount(r1, minlength=n)[many] / (count + np.bincount(row[long_], minlength=n))[many]
+    v3 = 1 - whole
     return np.concatenate([r1, r2, many]), np.concatenate([f1, f2 + N_WORDS, np.full(len(many), N_ALL - 1)]), np.concatenate([np.ones(len(r1)), v2, v3])
 
 
@@ -56,27 +60,53 @@ class Ordinal:
         return np.bincount(row, self.weights[number] * value, n)
 
     @classmethod
-    def fit(cls, row, number, value, grade, l2: float = 3e-4, rounds: int = 250, rate: float = 0.15) -> Ordinal:
-        """Maximum likelihood with an L2 penalty by Adam over all rows at once; classes weigh alike."""
+    def fit(cls, row, number, value, grade, l2: float = 1e-4, steps: int = 150, rate: float = 0.2, least: float = 5.0, most_rounds: int = 12) -> Ordinal:
+        """Maximum likelihood over features that earn their place. It begins with the characters' shares; each round fits, then adds the words whose
+        gradient at the fitted model is far from chance (z >= least, and half of the largest); so words that only go along with
+        others (of one language, say) stay out, and rare ones aren't learnt by heart. Words of every tenth text or more are no candidates: long texts hold them
+        all, whatever their grade."""
+        n = len(grade)
+        model = cls(np.zeros(N_ALL), np.array([-2.0, -1.0]))
+        active, found = np.zeros(N_ALL, bool), np.bincount(number, minlength=N_ALL)
+        active[N_WORDS:] = True
+        for _ in range(most_rounds):
+            on = active[number]
+            model = cls._fitted(model, row[on], number[on], value[on], grade, l2, steps, rate)
+            slope = model._slopes(model.scores(row, number, value, n), grade)[0]
+            sums, spread = np.bincount(number, slope[row] * value, N_ALL), np.bincount(number, value * value, N_ALL) * (slope * slope).mean()
+            z = np.abs(sums) / np.sqrt(np.maximum(spread, 1e-12))
+            z[active | (found < 8) | (found > n / 10)] = 0
+            if z.max() < least:
+                break
+            active |= z >= max(least, z.max() / 2)
+        return cls(model.weights.astype(np.float32), model.thresholds)
+
+    def _slopes(self, score: np.ndarray, grade: np.ndarray):
+        """Derivatives of each row's loss by its score, and by the thresholds above and below its grade."""
+        n = len(grade)
+        below = 1 - self.above(score)
+        full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
+        hi, lo = full[np.arange(n), grade + 1], full[np.arange(n), grade]
+        p = np.maximum(hi - lo, 1e-9)
+        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+        return d_hi - d_lo, d_hi, d_lo
+
+    @classmethod
+    def _fitted(cls, model: Ordinal, row, number, value, grade, l2: float, steps: int, rate: float) -> Ordinal:
+        """From a model on, by Adam over all rows at once."""
         n = len(grade)
         used, number = np.unique(number, return_inverse=True)
-        w, theta = np.zeros(len(used)), np.array([-1.0, np.log(1.0)])
-        weight = n / GRADES / np.maximum(1, np.bincount(grade, minlength=GRADES))[grade]
+        w = np.asarray(model.weights, np.float64)[used].copy()
+        theta = np.array([model.thresholds[0], np.log(max(1e-3, model.thresholds[1] - model.thresholds[0]))])
         m1 = v1 = np.zeros(len(used))
         m2 = v2 = np.zeros(2)
-        for t in range(1, rounds + 1):
-            cut = np.array([theta[0], theta[0] + np.exp(theta[1])])
-            s = np.bincount(row, w[number] * value, n)
-            below = 1 / (1 + np.exp(np.clip(s[:, None] - cut[None, :], -40, 40)))
-            full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
-            hi, lo = full[np.arange(n), grade + 1], full[np.arange(n), grade]
-            p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / p * weight / n, lo * (1 - lo) / p * weight / n
-            d_s = d_hi - d_lo
+        for t in range(1, steps + 1):
+            now = cls(w, np.array([theta[0], theta[0] + np.exp(theta[1])]))
+            d_s, d_hi, d_lo = (x / n for x in now._slopes(np.bincount(row, w[number] * value, n), grade))
             g = np.bincount(number, d_s[row] * value, len(used)) + l2 * w
             by_cut = np.array([(-d_hi[grade == j]).sum() + d_lo[grade == j + 1].sum() for j in range(2)])
             g2 = np.array([by_cut.sum(), by_cut[1] * np.exp(theta[1])])
-            step = rate * (1 - t / (rounds + 1))
+            step = rate * (1 - t / (steps + 1))
             m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
             m2, v2 = 0.9 * m2 + 0.1 * g2, 0.99 * v2 + 0.01 * g2 * g2
             fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
@@ -84,7 +114,7 @@ class Ordinal:
             theta = theta - step * fix * m2 / (np.sqrt(v2) + 1e-8)
         full_w = np.zeros(N_ALL)
         full_w[used] = w
-        return cls(full_w.astype(np.float32), np.array([theta[0], theta[0] + np.exp(theta[1])]))
+        return cls(full_w, np.array([theta[0], theta[0] + np.exp(theta[1])]))
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -118,7 +148,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
     return Ordinal.fit(row, np.concatenate(number).astype(np.int64), np.concatenate([np.frombuffer(r["value"], np.float32) for r in got]).astype(np.float64), np.array([r["grade"] for r in got]))
 
 
-def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.6) -> DataFrame:
     """Adds expected_grade (0 to 2), p_good (the tail probability of the top grade) and keep (p_good >= least).
 
     A null or empty text has no features, so the model's prior decides; without a model (no ratings) both figures are null and all is kept. Each row is judged by
