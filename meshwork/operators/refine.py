@@ -74,11 +74,11 @@ def rebalance(graph: Graph, assign: DataFrame, m: Machine, lmax: int, rounds: in
             break
         conn = state.keep(metrics.block_conn(metrics.placed(graph.edges, assign))) if conn is None else conn
         near = rebalance_candidates(conn, assign, graph.vertices, blocks, m)
-        spare = blocks.where("bweight < lmax").select(F.col("pid").alias("new_id"), "bweight", "lmax")
+        spare = [(r["pid"], r["room"]) for r in blocks.where("bweight < lmax").select("pid", (F.col("lmax") - F.col("bweight")).alias("room")).collect()]  # k rows at most
         heavy = assign.join(blocks.where("bweight > lmax").select("pid"), "pid", "left_semi").join(graph.vertices, "u").join(near.select("u"), "u", "left_anti")
-        fits = heavy.crossJoin(F.broadcast(spare)).where("bweight + vw <= lmax")  # the blocks with room, k rows at most
-        pick = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(i), "u", "new_id"), "new_id")
-        any_ = fits.withColumn("r", F.row_number().over(pick)).where("r = 1").select("u", F.col("pid").alias("old_id"), "new_id")
+        rooms = F.array(*[F.struct(F.lit(p).cast("long").alias("pid"), F.lit(x).cast("long").alias("room")) for p, x in spare or [(0, -1)]])
+        fits = heavy.withColumn("fits", F.filter(rooms, lambda b: b["room"] >= F.col("vw"))).where(F.size("fits") > 0)
+        any_ = fits.select("u", F.col("pid").alias("old_id"), F.element_at("fits", (F.pmod(F.xxhash64(F.lit(i), "u"), F.size("fits")) + 1).cast("int"))["pid"].alias("new_id"))
         far = gains.gain(conn, any_, m)
         moves = state.keep(rebalance_step(near.unionByName(far.select(*near.columns)), graph.vertices, blocks))
         if not moves.head(1):
