@@ -46,6 +46,14 @@ def features(data: np.ndarray, off: np.ndarray, inner: RangeHash) -> tuple[np.nd
     return np.concatenate([r1, r2, many]), np.concatenate([f1, f2 + N_WORDS, np.full(len(many), N_ALL - 1)]), np.concatenate([np.ones(len(r1)), v2, v3])
 
 
+def candidates(number: np.ndarray, n: int) -> np.ndarray:
+    """Which features may be learnt from n texts: characters' shares, and words of 8 texts or more (rare ones would be learnt by heart) but not of
+    every fifth or more (long texts hold them all, whatever their grade)."""
+    found = np.bincount(number, minlength=N_ALL)
+    found[N_WORDS:] = 8
+    return (found >= 8) & ((found <= n / 5) | (np.arange(N_ALL) >= N_WORDS))
+
+
 class Ordinal:
     """P(grade <= j) = logistic(theta_j - x.w): weights shared by all grades, thresholds in order (theta_0, then positive steps)."""
 
@@ -63,19 +71,18 @@ class Ordinal:
     def fit(cls, row, number, value, grade, l2: float = 1e-4, steps: int = 150, rate: float = 0.2, least: float = 5.0, most_rounds: int = 12) -> Ordinal:
         """Maximum likelihood over features that earn their place. It begins with the characters' shares; each round fits, then adds the words whose
         gradient at the fitted model is far from chance (z >= least, and half of the largest); so words that only go along with
-        others (of one language, say) stay out, and rare ones aren't learnt by heart. Words of every tenth text or more are no candidates: long texts hold them
-        all, whatever their grade."""
+        others (of one language, say) stay out. A word can only count against a text, else long ones would earn credit by their length."""
         n = len(grade)
         model = cls(np.zeros(N_ALL), np.array([-2.0, -1.0]))
-        active, found = np.zeros(N_ALL, bool), np.bincount(number, minlength=N_ALL)
+        active, may = np.zeros(N_ALL, bool), candidates(number, n)
         active[N_WORDS:] = True
         for _ in range(most_rounds):
             on = active[number]
             model = cls._fitted(model, row[on], number[on], value[on], grade, l2, steps, rate)
             slope = model._slopes(model.scores(row, number, value, n), grade)[0]
             sums, spread = np.bincount(number, slope[row] * value, N_ALL), np.bincount(number, value * value, N_ALL) * (slope * slope).mean()
-            z = np.abs(sums) / np.sqrt(np.maximum(spread, 1e-12))
-            z[active | (found < 8) | (found > n / 10)] = 0
+            z = sums / np.sqrt(np.maximum(spread, 1e-12))
+            z[active | ~may] = 0
             if z.max() < least:
                 break
             active |= z >= max(least, z.max() / 2)
@@ -96,6 +103,7 @@ class Ordinal:
         """From a model on, by Adam over all rows at once."""
         n = len(grade)
         used, number = np.unique(number, return_inverse=True)
+        words = used < N_WORDS
         w = np.asarray(model.weights, np.float64)[used].copy()
         theta = np.array([model.thresholds[0], np.log(max(1e-3, model.thresholds[1] - model.thresholds[0]))])
         m1 = v1 = np.zeros(len(used))
@@ -111,6 +119,7 @@ class Ordinal:
             m2, v2 = 0.9 * m2 + 0.1 * g2, 0.99 * v2 + 0.01 * g2 * g2
             fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
             w = w - step * fix * m1 / (np.sqrt(v1) + 1e-8)
+            w[words] = np.minimum(w[words], 0)
             theta = theta - step * fix * m2 / (np.sqrt(v2) + 1e-8)
         full_w = np.zeros(N_ALL)
         full_w[used] = w
@@ -118,8 +127,8 @@ class Ordinal:
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
-    """0 poor, 1 well written but toxic, 2 good."""
-    return F.when(quality <= 0, 0).when(F.coalesce(toxic, F.lit(0)) > 0, 1).otherwise(2)
+    """0 toxic, 1 poor, 2 good; null without either rating. Toxic is the lowest: however many insults a text has, its score may fall."""
+    return F.when(toxic > 0, 0).when(quality <= 0, 1).when(F.coalesce(quality, toxic).isNotNull(), 2)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "doc_id", grade: str = "grade", rows: int = TRAIN_ROWS) -> Ordinal | None:
@@ -143,12 +152,16 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
     got = sorted(joined.mapInArrow(run, "grade int, number binary, value binary").collect())
     if not got:
         return None
-    number = [np.frombuffer(r["number"], np.int32) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(x) for x in number])
-    return Ordinal.fit(row, np.concatenate(number).astype(np.int64), np.concatenate([np.frombuffer(r["value"], np.float32) for r in got]).astype(np.float64), np.array([r["grade"] for r in got]))
+    grades = np.array([r["grade"] for r in got])
+    number = np.frombuffer(b"".join(r["number"] for r in got), np.int32)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["number"]) // 4 for r in got])
+    value = np.frombuffer(b"".join(r["value"] for r in got), np.float32)
+    del got
+    may = candidates(number, len(grades))[number]
+    return Ordinal.fit(row[may], number[may], value[may], grades)
 
 
-def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.6) -> DataFrame:
+def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """Adds expected_grade (0 to 2), p_good (the tail probability of the top grade) and keep (p_good >= least).
 
     A null or empty text has no features, so the model's prior decides; without a model (no ratings) both figures are null and all is kept. Each row is judged by

@@ -101,9 +101,9 @@ def test_quality_learns_grades(spark):
     for i in range(600):
         t = [rng.choice(words) for _ in range(rng.randint(20, 80))]
         g = i % 3
-        if g == 1:
+        if g == 0:
             t[rng.randrange(len(t))] = rng.choice(["awful", "nasty"])
-        texts.append(" ".join(w.upper() + "!!" if g == 0 else w for w in t))
+        texts.append(" ".join(w.upper() + "!!" if g == 1 else w for w in t))
         grades.append(g)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ratings = spark.createDataFrame([(i, grades[i]) for i in range(400)] + [(0, None), (None, 1)], "doc_id long, grade int")
