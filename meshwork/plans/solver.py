@@ -48,7 +48,7 @@ def _weight(graph: Graph) -> int:
 
 
 #: Graphs of so many arcs at most are solved in one task (each trial in its own).
-LOCAL_ARCS = 60_000
+LOCAL_ARCS = 200_000
 
 
 def _trial_kernel(m: Machine, lmax: int, weight: int, eps: float, p: Profile, method: str, seed: int):
