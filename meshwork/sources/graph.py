@@ -47,18 +47,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _co_occurring(df: DataFrame, key: list, item: Column) -> DataFrame:
-    """Pairs of distinct items of a key with the number of common keys, for keys of few items: one shuffle by key, one by pair."""
-    lists = df.groupBy(*key).agg(F.array_sort(F.collect_set(item)).alias("xs")).select("xs")
+def _co_occurring(df: DataFrame, key: list, item: Column) -> Graph:
+    """Distinct items that share keys of few items, w = the number of common keys: one shuffle by key, one by pair. The vertices come from the
+    lists, so counting them doesn't count the pairs."""
+    lists = df.groupBy(*key).agg(F.array_sort(F.collect_set(item)).alias("xs")).select("xs").where(F.size("xs") > 1)
     first = lists.select(F.posexplode("xs").alias("i", "u"), "xs").where(F.col("i") + 1 < F.size("xs"))
     pairs = first.select("u", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("v"))
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("w"))
+    vertices = lists.select(F.explode("xs").alias("u")).distinct().withColumn("vw", F.lit(1).cast("long"))
+    return Graph(vertices, both_ways(pairs.groupBy("u", "v").agg(F.count("*").alias("w"))))
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts that share orders (an order has a few lines), w = number of common orders."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return Graph.of(both_ways(_co_occurring(lines, ["l_orderkey"], F.col("l_partkey"))))
+    return _co_occurring(lines, ["l_orderkey"], F.col("l_partkey"))
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
