@@ -194,6 +194,8 @@ def solve_deep(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profi
     graph = Graph(state.keep(graph.vertices), state.keep(graph.edges))
     weight = _weight(graph)
     final = limit(weight, m.k, eps)
+    if weight and graph.edges.count() <= LOCAL_ARCS:  # the kernel goes level by level in one task
+        return initial(graph, m, final, p.initial, p.trials, seed, weight, eps, p)
     stack = coarse_levels(graph, m.sizes[-1] * p.c, max(1, weight // (m.sizes[-1] * 4)), p, seed=seed)
     split_to = 0
     assign = state.keep(stack[-1][0].vertices.select("u", F.lit(0).cast("long").alias("pid")))

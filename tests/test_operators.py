@@ -179,6 +179,15 @@ def test_distributed_levels(spark, monkeypatch):
     assert solver.level_table(spark, levels).count() == len(levels) and a.count() == 80
 
 
+def test_deep_splits_while_uncoarsening(spark, monkeypatch):
+    monkeypatch.setattr(solver, "LOCAL_ARCS", 10)
+    pairs = [(p, p + 1, 1) for p in range(48) if p % 8 != 7] + [(p, p + 8, 1) for p in range(40)]
+    g = Graph.from_lists(spark, 48, pairs)
+    a = solver.solve_deep(g, M, 0.2, solver.profile_with("fast", lp=1, trials=1, pairs=0, c=4))
+    pid = {r["u"]: r["pid"] for r in a.collect()}
+    assert len(pid) == 48 and set(pid.values()) == {0, 1, 2, 3} and max(list(pid.values()).count(b) for b in range(4)) <= lmax(48, 4, 0.2)
+
+
 def test_metis_round_trip(spark, small, tmp_path):
     pairs, weights, g = small
     files.write_metis(g, f"{tmp_path}/g")
