@@ -103,12 +103,22 @@ def twins(edges: DataFrame) -> DataFrame:
     return _paired(near, ["near"])
 
 
+def _ahead(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
+    """Adds __ahead, the sum of `amount` over the rows of the group with smaller u: inside ranges of 1024 ids, plus what the ranges
+    before hold, so no task sees all rows of a hot group."""
+    past = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("__range", F.shiftright("u", 10)).withColumn("__amount", amount)
+    sums = own.groupBy(*by, "__range").agg(F.sum("__amount").alias("__sum"))
+    starts = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(past(*by).orderBy("__range")), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum("__amount").over(past(*by, "__range").orderBy("u")), F.lit(0))
+    return own.withColumn("__inside", inside).join(starts, [*by, "__range"]).withColumn("__ahead", F.col("__start") + F.col("__inside")).drop("__range", "__amount", "__start", "__inside")
+
+
 def _paired(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows 1 and 2, 3 and 4, ... of each group by u; a hot group is cut by a hash, so no task sees all of it."""
-    own = rows.withColumn("__part", F.pmod(F.floor(F.col("u") / 1024), F.lit(1 << 20)))
-    line = Window.partitionBy(*by, "__part").orderBy("u")
-    numbered = own.withColumn("i", F.row_number().over(line)).withColumn("next", F.lead("u").over(line))
-    return numbered.where("i % 2 = 1 and next is not null").select("u", F.col("next").alias("v"))
+    """Rows 1 and 2, 3 and 4, ... of each group by u; at most one of a group is left over."""
+    numbered = _ahead(rows, by, F.lit(1).cast("long")).withColumn("__pair", F.floor(F.col("__ahead") / 2))
+    pairs = numbered.groupBy(*by, "__pair").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.count("*").alias("n"))
+    return pairs.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def two_hop_matchmaker(edges: DataFrame, free: DataFrame) -> DataFrame:
@@ -190,9 +200,7 @@ def merge_singletons(graph: Graph, clusters: DataFrame, max_w: int) -> DataFrame
     """Vertices alone in their cluster that hang on the same strongest neighbour are packed together while they fit."""
     lone = clusters.join(clusters.groupBy("c").agg(F.count("*").alias("n")).where("n = 1").select("c"), "c", "left_semi")
     best = best_neighbor(graph.edges.join(lone.select("u"), "u", "left_semi"), [F.desc("w"), F.col("v")]).join(graph.vertices, "u")
-    own = best.withColumn("__part", F.floor(F.col("u") / 4096))
-    line = Window.partitionBy("v", "__part").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
-    bins = own.withColumn("bin", F.floor(F.coalesce(F.sum("vw").over(line), F.lit(0)) * 2 / max_w))
-    head = bins.withColumn("head", F.min("u").over(Window.partitionBy("v", "__part", "bin"))).withColumn("all", F.sum("vw").over(Window.partitionBy("v", "__part", "bin")))
-    new = head.where(F.col("all") <= max_w).select("u", F.col("head").alias("n"))
+    bins = _ahead(best, ["v"], F.col("vw")).withColumn("bin", F.floor(F.col("__ahead") * 2 / max_w))
+    head = bins.withColumn("head", F.min("u").over(Window.partitionBy("v", "bin"))).withColumn("sofar", F.sum("vw").over(Window.partitionBy("v", "bin").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
+    new = head.where(F.col("sofar") <= max_w).select("u", F.col("head").alias("n"))
     return clusters.join(new, "u", "left").select("u", F.coalesce("n", "c").alias("c"))
