@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshwork.llm.scratch import Scratch
@@ -44,13 +46,77 @@ def targets(sources: DataFrame, scratch: Scratch, share: float = SHARE, most: fl
     return table.select("source", "source_size", F.when(full(level), F.col("cap")).otherwise(F.col("weight") * max(level, 0.0)).alias("target"))
 
 
+def _scanned(left: Column, rows: Column) -> Column:
+    """Of the rows (__u, size) of a bin, those taken in order while they fit, as (left, drawn places)."""
+    placed = F.transform(F.sort_array(rows), lambda x, i: F.struct((i + 1).alias("place"), x["size"].alias("size")))
+    start = F.struct(left.cast("double").alias("left"), F.array().cast("array<int>").alias("drawn"))
+    fits = lambda acc, x: (x["size"] > 0) & (x["size"] <= acc["left"])
+    return F.aggregate(placed, start, lambda acc, x: F.when(fits(acc, x), F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["drawn"], F.array(x["place"])).alias("drawn"))).otherwise(acc))
+
+
+def _drawn_bins(lean: DataFrame, lacks: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(__source, __bin, most, places): what is drawn of a bin if a source's documents are gone through in order and each that fits in
+    what the source still lacks is taken: all documents of at most `most` words, or those at `places` of a bin in which some don't fit.
+
+    A round passes over all bins up to the first where the documents that fit one by one don't fit together; this bin is gone
+    through row by row, and the next round starts behind it with what is left. lacks: (__s, __left, __from).
+    """
+    state, parts = scratch.save(lacks.where("__left >= 1"), "lacks"), []
+    while not state.isEmpty():
+        met = lean.join(state, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") >= F.col("__from")) & (F.col("size") > 0) & (F.col("size") <= F.col("__left")))
+        ahead = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        words = met.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.first("__left").alias("most"))
+        words = words.withColumn("left", F.col("most") - F.coalesce(F.sum("words").over(ahead), F.lit(0))).where("left >= 0")
+        reached = scratch.save(words, "reached")
+        last = reached.where("words > left").select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), "left")
+        rows = lean.join(last, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+        rows = rows.groupBy("__source", "__bin").agg(F.first("left").alias("left"), F.collect_list(F.struct("__u", "size")).alias("rows"))
+        gone = scratch.save(rows.select("__source", "__bin", _scanned(F.col("left"), F.col("rows")).alias("got")).select("__source", "__bin", "got.left", "got.drawn"), "gone")
+        parts.append(reached.where("words <= left").select("__source", "__bin", "most", F.lit(None).cast("array<int>").alias("places")))
+        parts.append(gone.select("__source", "__bin", F.lit(None).cast("double").alias("most"), F.col("drawn").alias("places")))
+        state = scratch.save(gone.where("left >= 1").select(F.col("__source").alias("__s"), F.col("left").alias("__left"), (F.col("__bin") + 1).alias("__from")), "lacks")
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _cuts(lean: DataFrame, bins: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__s, __b, source_size, target, most, places, last): what is drawn of each bin, `last` being the place of the source's closing text."""
+    given = table.select(F.col("source").alias("__s"), "source_size", "target")
+    drawn = _drawn_bins(lean, given.select("__s", (F.col("target") - _whole() * F.col("source_size")).alias("__left"), F.lit(0).cast("long").alias("__from")), scratch)
+    if drawn is None:
+        drawn = bins.select("__source", "__bin", F.lit(None).cast("double").alias("most"), F.lit(None).cast("array<int>").alias("places")).limit(0)
+    names = lambda t: t.withColumnsRenamed({"__source": "__s", "__bin": "__b"})
+    same = F.col("__source").eqNullSafe(F.col("__s"))
+    plan = scratch.save(bins.select("__source", "__bin").join(names(drawn), same & (F.col("__bin") == F.col("__b")), "left").select("__source", "__bin", "most", "places"), "plan")
+    placed = lean.withColumn("__place", F.row_number().over(Window.partitionBy("__source", "__bin").orderBy("__u", "size")))
+    flagged = placed.join(names(plan), same & (F.col("__bin") == F.col("__b"))).withColumn("drawn", _drawn())
+    rest = F.when(~F.col("drawn") & (F.col("size") > 0), F.struct("size", "__u", "__bin", "__place"))
+    ends = flagged.groupBy("__source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("words"), F.min(rest).alias("least"))
+    ends = ends.join(given, same).withColumn("left", F.col("target") - _whole() * F.col("source_size") - F.col("words"))
+    ends = ends.select("__s", "source_size", "target", F.when((F.col("left") > 0) & (F.col("least.size") / 2 <= F.col("left")), F.col("least")).alias("least"))
+    last = F.when(F.col("least.__bin") == F.col("__bin"), F.col("least.__place"))
+    cuts = plan.join(ends, same).select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), "source_size", "target", "most", "places", last.alias("last"))
+    return scratch.save(cuts, "cuts")
+
+
+def _drawn() -> Column:
+    by_size = (F.col("size") > 0) & (F.col("size") <= F.col("most"))
+    return F.coalesce(by_size, F.lit(False)) | F.coalesce(F.array_contains("places", F.col("__place")), F.lit(False))
+
+
+def _whole() -> Column:
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return F.floor(ratio + 1e-12).cast("long")
+
+
 def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 7, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
     """Adds size (words), source_size, target (of the source), copies and taken (copies * size).
 
     Each document gets the whole part of target / source_size as certain copies. The rest, an inclusion probability p, is drawn
-    by Pareto order sampling: with u uniform from a hash of id and text, documents of a source are taken in the order of
-    (u/(1-u)) / (p/(1-p)) until the words that the source still lacks are reached (the last one if at least half of it fits).
-    The order is cut into bins of about PER_BIN documents, so no source is ever in one task. Reruns give the same; null ids and
+    by Pareto order sampling: with u uniform from a hash of id and text, documents of a source are gone through in the order of
+    (u/(1-u)) / (p/(1-p)), which is that of u, as p is the source's. Each that fits in the words that the source still lacks is taken, longer
+    ones are set aside; at the end the shortest one left is added if at least half of it fits. So a source misses its target by half of its
+    shortest text that wasn't drawn, at most. The order is cut into bins of about PER_BIN documents, so no source is ever in one task.
+    Reruns give the same; null ids and
     sources are values like others (null source last); a null text has size 0 and is never drawn beyond the certain copies; repeated rows are drawn
     each for itself, ties in any order; columns of the names above are replaced; an empty table gives an empty result.
     """
@@ -59,19 +125,13 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + F.lit(0.5)) / F.lit(float(2**53))
     own = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": n_words(F.col(text)), "__u": u})
     own = own.withColumn("__bin", F.floor(F.col("__u") * bins).cast("long")).withColumn("__source", F.col(source).cast("string"))
-    by_bin = scratch.save(own.groupBy("__source", "__bin").agg(F.sum("size").alias("words")), "bins")
+    lean = scratch.save(own.select("__source", "__bin", "__u", "size"), "sizes")
+    by_bin = scratch.save(lean.groupBy("__source", "__bin").agg(F.sum("size").alias("words")), "bins")
     sources = by_bin.groupBy(F.col("__source").alias("source")).agg(F.sum("words").cast("long").alias("source_size"))
     table = scratch.save(targets(sources, scratch, share, most, weights), "targets")
-    ahead = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_bin.withColumn("__before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    cuts = starts.join(table.withColumnRenamed("source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), "__before", "source_size", "target")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio + 1e-12).cast("long")
-    p = F.greatest(ratio - whole, F.lit(0.0))
-    order = (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))
+    cuts = _cuts(lean, by_bin, table, scratch)
     met = own.join(cuts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-    met = met.withColumns({"__whole": whole, "__lack": F.col("target") - whole * F.col("source_size")}).withColumn("__order", F.when(p > 0, order))
-    before = F.sum("size").over(Window.partitionBy("__source", "__bin").orderBy("__order", F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1))
-    drawn = F.col("__order").isNotNull() & (F.col("size") > 0) & (F.col("__before") + F.coalesce(before, F.lit(0)) + F.col("size") / 2 <= F.col("__lack"))
-    out = met.withColumn("copies", F.col("__whole") + drawn.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    met = met.withColumn("__place", F.row_number().over(Window.partitionBy("__source", "__bin").orderBy("__u", "size", doc_id)))
+    drawn = _drawn() | F.coalesce(F.col("__place") == F.col("last"), F.lit(False))
+    out = met.withColumn("copies", _whole() + drawn.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*[c for c in own.columns if not c.startswith("__")], "source_size", "target", "copies", "taken")
