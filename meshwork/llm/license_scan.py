@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshwork.llm.scratch import Scratch
-from meshwork.llm.textbytes import ALNUM, LOWER, RangeHash, blocks, words
+from meshwork.llm.scratch import small_batches
+from meshwork.llm.textbytes import ALNUM, LOWER, blocks, eights, range_codes, words
 
 #: Fixed values of the contract: phrase, label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -19,7 +19,7 @@ TEMPLATES = [
     ("agpl", "gnu affero general public license", "affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("bsd", "released under the bsd license", "bsd license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
@@ -28,11 +28,13 @@ TEMPLATES = [
     ("gpl-2", "licensed under the gnu general public license version 2", "general public license version 2"),
     ("gpl-3", "licensed under the gnu general public license version 3", "general public license version 3"),
     ("isc", "released under the isc license", "isc license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission is hereby granted free of charge"),
     ("mpl", "mozilla public license", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("zlib", "released under the zlib license", "zlib license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "provided as is without any express or implied warranty in no event will the authors be held liable"),
 ]
 
 
@@ -48,87 +50,125 @@ def templates() -> list[Template]:
     return [Template(label, p, p, True) for p, label in BASE] + [Template(label, s, k, False) for label, s, k in TEMPLATES]
 
 
-def scan(terms: np.ndarray, at: np.ndarray, made: list[tuple], idf: list[float]) -> tuple:
-    """One file's postings (word number and place, by place) against all templates: (places of base phrases, first, last,
-    base labels, labels, score). made: (label, word numbers, key range, base, places of the key sorted by falling IDF)."""
-    if not len(terms):
-        return 0, None, None, "", "", 0.0
-    posting = dict(zip(at.tolist(), terms.tolist(), strict=True))
-    by_term: dict[int, list[int]] = {}
-    for p, t in posting.items():
-        by_term.setdefault(t, []).append(p)
-    n_base, first, last, base, labels, score = 0, None, None, set(), set(), 0.0
-    for label, numbers, key, is_base, rare in made:
-        for p in by_term.get(numbers[rare[0]], ()):
-            zero = p - rare[0]
-            found = all(posting.get(zero + i) == numbers[i] for i in rare[1:])
-            if found:
-                labels.add(label)
-                if is_base:
-                    base.add(label)
-                    n_base += 1
-                    start = zero + key[0]
-                    first = start if first is None else min(first, start)
-                    last = start if last is None else max(last, start)
-            whole = sum(idf[t] for t in numbers)
-            score = max(score, sum(idf[t] for i, t in enumerate(numbers) if posting.get(zero + i) == t) / whole if whole else 0.0)
-    return n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(1.0, score)
+class Vocabulary:
+    """Finds the words of templates in a block of texts: by code, then byte by byte."""
+
+    def __init__(self, names: list[str]):
+        raw = [w.encode() for w in names]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum([len(w) for w in raw])
+        start = end - [len(w) for w in raw]
+        codes = range_codes(flat, start, end, 21)
+        self.order = np.argsort(codes)
+        self.codes, self.size = codes[self.order], (end - start)[self.order]
+        self.chunks = [_chunk(eights(flat), start[self.order], self.size, i) for i in range(0, int(self.size.max()), 8)]
+
+    def find(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of the block that are in the vocabulary, their terms, and the number of each text's first word."""
+        low = LOWER[data]
+        start, end, first = words(low, off, ALNUM)
+        code = range_codes(low, start, end, 21)
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero((self.codes[place] == code) & (self.size[place] == end - start))
+        place, view = place[hit], eights(low)
+        same = np.ones(len(hit), bool)
+        for i, known in enumerate(self.chunks):
+            same &= _chunk(view, start[hit], self.size[place], 8 * i) == known[place]
+        return hit[same], self.order[place[same]], first
+
+
+def _chunk(view: np.ndarray, start: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+    """Bytes i to i+8 of the words, zeros behind a word's end."""
+    left = np.clip(size - i, 0, 8)
+    x = view[np.minimum(start + i, len(view) - 1)]
+    return np.where(left == 8, x, x & ((np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1)))
+
+
+class Index:
+    """Postings of templates: under its rarest key word each template is found with that word's place in it. The other key words, by falling
+    IDF, must stand at their places relative to it."""
+
+    def __init__(self, made: list[Template], number: dict[str, int], idf: list[float]):
+        self.made, self.idf = made, np.array(idf)
+        self.terms = [np.array([number[w] for w in t.words]) for t in made]
+        self.rare = [sorted(t.key, key=lambda i, n=n: (-idf[n[i]], i)) for t, n in zip(made, self.terms, strict=True)]
+        self.posted: dict[int, list[int]] = {}
+        for j, (n, rare) in enumerate(zip(self.terms, self.rare, strict=True)):
+            self.posted.setdefault(int(n[rare[0]]), []).append(j)
+
+    def look_up(self, place: np.ndarray, term: np.ndarray, first: np.ndarray) -> list[tuple]:
+        """For each text (places of base phrases, first, last, base labels, labels, score). place: rising word numbers of the block, term: what stands there."""
+        n = len(first) - 1
+        out: list[tuple] = [(0, None, None, "", "", 0.0)] * n
+        row = np.searchsorted(first, place, "right") - 1
+        at = np.full(int(first[-1]) + 1, -1, np.int32)  # the term of each word of the block
+        at[place] = term
+        found: dict[int, list] = {}
+        for t in np.unique(term).tolist():
+            for j in self.posted.get(t, ()):  # only the words that the texts hold are looked up
+                own = np.flatnonzero(term == t)
+                zero, r = place[own] - self.rare[j][0], row[own]
+                whole = self.idf[self.terms[j]].sum()
+                share = np.zeros(len(own))
+                for i, w in enumerate(self.terms[j].tolist()):
+                    p = zero + i
+                    share += self.idf[w] * ((p >= first[r]) & (p < first[r + 1]) & (at[np.clip(p, 0, len(at) - 1)] == w))
+                fits = np.ones(len(own), bool)
+                for i in self.rare[j][1:]:
+                    p = zero + i
+                    fits &= (p >= first[r]) & (p < first[r + 1]) & (at[np.clip(p, 0, len(at) - 1)] == self.terms[j][i])
+                    if not fits.any():
+                        break
+                share = share / whole if whole else share
+                begin = zero + self.made[j].key[0] - first[r]
+                for x, ok, b, v in zip(r.tolist(), fits.tolist(), begin.tolist(), share.tolist(), strict=True):
+                    found.setdefault(x, []).append((j if ok else -1, b, v))
+        for x, hits in found.items():
+            labels = {self.made[j].label for j, _, _ in hits if j >= 0}
+            base = [(b, self.made[j].label) for j, b, _ in hits if j >= 0 and self.made[j].base]
+            begins = [b for b, _ in base]
+            out[x] = (len(base), min(begins, default=None), max(begins, default=None), ",".join(sorted({y for _, y in base})), ",".join(sorted(labels)), min(1.0, max(v for _, _, v in hits)))
+        return out
 
 
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row.
 
-    One pass over the texts writes the index: for each file its number of words and the postings (place, word) of all words that occur in
-    a template. The words' document frequencies over the whole index give their IDF. Each file then looks up the rarest key word of a template, and the
-    other key words must stand at their relative places; score is the largest share of a template's IDF found around such a
-    place (1: a whole sentence). Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A null or empty text has 0 words, no
-    label, score 0 and null first and last; null ids and repeated rows are kept; other columns play no part.
+    A first pass counts in how many files each word of a template occurs, which gives its IDF. The index posts each template under its rarest
+    key word. In the second pass each file looks up its own licence words there, with their places; template words at the
+    same relative places are intersected, and the key phrase must stand word for word. score is the largest share of a template's IDF found
+    around such a place (1: a whole sentence). Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A null or empty text has 0 words, no
+    label, score 0 and null first and last; null ids and repeated rows are kept; other columns, whatever their names, play no part.
     """
-    scratch = Scratch(docs.sparkSession, "license")
+    small_batches(docs.sparkSession)
     ts = templates()
-    vocabulary = sorted({w for t in ts for w in t.words})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    raw = [w.encode() for w in vocabulary]
+    names = sorted({w for t in ts for w in t.words})
+    number = {w: i for i, w in enumerate(names)}
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = RangeHash(21)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum([len(w) for w in raw])
-        codes = inner.of(inner.prefix(flat), np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(codes)
-        ranked = codes[order]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, files, seen = Vocabulary(names), 0, np.zeros(len(names), np.int64)
         for batch in batches:
-            for lo, hi, data, off in blocks(batch.column("text")):
-                low = LOWER[data]
-                start, end, first = words(low, off, ALNUM)
-                code = inner.of(inner.prefix(low), start, end)
-                place = np.minimum(np.searchsorted(ranked, code), len(ranked) - 1)
-                hit = np.flatnonzero(ranked[place] == code)
-                row = np.searchsorted(first, hit, "right") - 1
-                cut = pa.array(np.searchsorted(hit, first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.ListArray.from_arrays(cut, pa.array((hit - first[row]).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(order[place[hit]].astype(np.int16)))],
-                    names=["id", "n_words", "place", "term"],
-                )
+            files += batch.num_rows
+            for _, _, data, off in blocks(batch.column("text")):
+                place, term, first = known.find(data, off)
+                row = np.searchsorted(first, place, "right") - 1
+                seen += np.bincount(np.unique(row * len(names) + term) % len(names), minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(names))), pa.array(np.concatenate([[files], seen]))], names=["term", "files"])
 
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    postings = scratch.save(own.mapInArrow(index, f"id {id_type}, n_words long, place array<int>, term array<short>"), "index")
-    df = {r["t"]: r["n"] for r in postings.select(F.explode(F.array_distinct("term")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    files = postings.count()
-    idf = [math.log((files + 1) / (df.get(i, 0) + 1)) for i in range(len(vocabulary))]
-    made = []
-    for t in ts:
-        numbers = [number[w] for w in t.words]
-        made.append((t.label, numbers, list(t.key), t.base, sorted(t.key, key=lambda i: (-idf[numbers[i]], i))))
+    # a row for each word of the templates, whatever the corpus
+    counts = {r["term"]: r["files"] for r in own.select("text").mapInArrow(count, "term long, files long").groupBy("term").agg(F.sum("files").alias("files")).collect()}
+    idf = [math.log((counts.get(-1, 0) + 1) / (counts.get(i, 0) + 1)) for i in range(len(names))]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = Vocabulary(names), Index(ts, number, idf)
         for batch in batches:
-            at, term = batch.column("place"), batch.column("term")
-            cut, places, terms = np.concatenate([[0], np.cumsum(np.asarray(at.value_lengths()))]), np.asarray(at.flatten()), np.asarray(term.flatten())
-            got = [scan(terms[a:b], places[a:b], made, idf) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            for lo, hi, data, off in blocks(batch.column("text")):
+                place, term, first = known.find(data, off)
+                got = index.look_up(place, term, first)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    out = postings.mapInArrow(look_up, f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    out = own.mapInArrow(look_up, f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     return out.withColumnRenamed("id", doc_id)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.llm.scratch import small_batches
-from meshwork.llm.textbytes import ALNUM, LOWER, RangeHash, U, blocks, mix, words
+from meshwork.llm.textbytes import ALNUM, LOWER, U, blocks, range_codes, words
 
 #: Words count whole and, if longer, by their first STEM bytes. 2^BITS weights for them, then one for each ASCII character that is neither lower case nor digit, then the share of words that repeat.
 BITS, STEM = 18, 5
@@ -20,16 +20,15 @@ TRAIN_ROWS = 8000
 GRADES = 3
 
 
-def features(data: np.ndarray, off: np.ndarray, inner: RangeHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, feature numbers and values: 1 for each distinct hashed word and stem; square roots of characters' shares; the share of repeated words."""
     low = LOWER[data]
     start, end, first = words(low, off, ALNUM)
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(first))
-    sums = inner.prefix(low)
     long_ = end - start > STEM
-    stem = inner.of(sums, start[long_], start[long_] + STEM) ^ U(1 << 63)  # another place than the word of these letters
-    code = np.concatenate([inner.of(sums, start, end), mix(stem)]) >> U(64 - BITS)
+    stem = range_codes(low, start[long_], start[long_] + STEM, 32)  # another place than the word of these letters
+    code = np.concatenate([range_codes(low, start, end, 31), stem]) >> U(64 - BITS)
     both = np.sort(np.concatenate([row, row[long_]]) * N_WORDS + code.astype(np.int64))
     if len(both):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
@@ -139,10 +138,9 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = RangeHash(31)
         for batch in batches:
             for lo, hi, data, off in blocks(batch.column("text")):
-                row, number, value = features(data, off, inner)
+                row, number, value = features(data, off)
                 order = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 for i in range(hi - lo):
@@ -176,9 +174,9 @@ def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least:
     sent = spark.sparkContext.broadcast((model.weights, model.thresholds))  # N_ALL floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, inner = Ordinal(*sent.value), RangeHash(31)
+        own = Ordinal(*sent.value)
         for batch in batches:
-            tails = [own.above(own.scores(*features(data, off, inner), hi - lo)) for lo, hi, data, off in blocks(batch.column("__text"))]
+            tails = [own.above(own.scores(*features(data, off), hi - lo)) for lo, hi, data, off in blocks(batch.column("__text"))]
             p = np.concatenate(tails) if tails else np.zeros((0, 2))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)], names=carried + names)
 

@@ -51,7 +51,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("__k")
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

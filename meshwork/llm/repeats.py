@@ -1,42 +1,31 @@
-"""Windows of fixed width that occur more than once, over any number of texts, found by sorting sampled suffixes.
+"""Windows of fixed width that occur more than once, over any number of texts: sampled suffixes and how they are sorted out.
 
 A text is a sequence (bytes or words); a window is `width` consecutive elements of one text. Shipping a suffix for each
 element would move the corpus `width` times, so suffixes are sampled by content: the anchor of a window is the leftmost
-smallest gram hash among its first `reach` grams. Equal windows have equal anchors, and the windows of one anchor are
-consecutive, so one row stands for a whole span of windows:
+smallest gram code among its first `reach` grams. Equal windows have equal anchors at equal distance, and the windows of one
+anchor are consecutive, so one row stands for a span of windows:
 
-    lead, head   the first bytes, and a hash, of what all windows of this anchor share (a range that starts at the anchor)
-    full         a hash of everything that the span's windows cover
+    lead, head   the first bytes, and a code, of what all windows of the span share (a range that starts at the anchor)
+    at           place of the first window, count of windows - 1, and distance of the anchor, packed into one number
 
-Rows are range-partitioned by splitters that Spark samples (lead, head, full, then order and place: equal suffixes may
-lie in several partitions, so a hot one is never in one task) and sorted there. In a sorted partition,
-
-* rows with equal `full` cover equal windows: settled at once;
-* classes that differ in `full` but share `head` may share some windows: one row of each goes to the next level, which
-  cuts spans into smaller blocks and at last into single windows, where `head` is the window itself;
-* what touches an end of the partition goes to the next level too. At the last level the rows at the ends of
-  partitions, a few for each, are compared with each other.
-
-Two rules of settling: "any" marks windows that start anywhere else as well, "later" those that also start in a text of
-smaller order.
+Equal texts are one text (`distinct_texts`), told by SHA-256. Rows are range-partitioned by splitters that Spark samples and
+sorted; equal suffixes may lie in several partitions, so a hot one is never in one task. Codes only say which rows may have something
+in common; what goes is decided on the texts' own bytes (`suffix_dedup`, `rlz_dedup`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from meshwork.llm.scratch import Scratch, n_parts
-from meshwork.llm.textbytes import NOT_SPACE, RangeHash, U, blocks, signed, text_bytes, within, words
+from meshwork.llm.scratch import Scratch
+from meshwork.llm.textbytes import NOT_SPACE, U, blocks, eights, pair, range_codes, run_codes, signed, within, words
 
-ROWS = "lead long, head long, full long, ord long, k long, pos int, n int, off int"
-SETTLED = "kind int, lead long, head long, ord long, k long, pos int, n int, off int"
-SORT = ["lead", "head", "full", "ord", "k", "pos"]
-#: Settled row, row for the next level, row at the end of a partition of the last level.
-DONE, NEXT, END = 0, 1, 2
+#: The largest id of a row without one, which sorts it last.
+LAST = 2**63 - 1
 
 
 class Bytes:
@@ -45,17 +34,25 @@ class Bytes:
     def __init__(self, width: int = 200):
         self.width, self.gram = width, max(1, min(16, width // 3))
         self.reach = max(1, min(128, (width - self.gram) * 7 // 10))
-        self.blocks = [8, 1] if self.reach > 16 else [1]
-        self.hash = [RangeHash(11), RangeHash(12)]
+        self.blocks = [self.reach, 8, 1] if self.reach > 16 else sorted({self.reach, 1}, reverse=True)
 
     def load(self, data, off):
-        self.first = off
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        self.eight = np.ndarray((len(data) + 1,), ">u8", padded, 0, (1,)).astype(np.uint64)
-        self.sums = [h.prefix(data) for h in self.hash]
+        self.data, self.first, self.n = data, off, len(data)
+        self.view = eights(data)
+
+    def grams(self):
+        at = np.arange(self.n - self.gram + 1)
+        return range_codes(self.data, at, at + self.gram, 11, self.view)
 
-    def leads(self, at):
-        return signed(self.eight[at] ^ U(1 << 63))
+    def leads(self, at, n):
+        """The first eight of n bytes as numbers of the same order."""
+        got = self.view[at].byteswap()
+        if n < 8:
+            got = got >> U(64 - 8 * n) << U(64 - 8 * n)
+        return signed(got ^ U(1 << 63))
+
+    def codes(self, start, end, seed):
+        return range_codes(self.data, start, end, seed, self.view)
 
 
 class Words:
@@ -64,21 +61,37 @@ class Words:
     def __init__(self, width: int = 13):
         self.width, self.gram = width, max(1, min(4, width // 3))
         self.reach = width - self.gram + 1
-        self.blocks = [1]
-        self.hash = [RangeHash(13), RangeHash(14)]
-        self.inner = RangeHash(15)
+        self.blocks = sorted({self.reach, 1}, reverse=True)
 
     def load(self, data, off):
-        start, end, self.first = words(data, off, NOT_SPACE)
-        self.value = self.inner.of(self.inner.prefix(data), start, end)
-        self.sums = [h.prefix(self.value) for h in self.hash]
+        self.start, self.end, self.first = words(data, off, NOT_SPACE)
+        self.value = range_codes(data, self.start, self.end, 13)
+        self.n = len(self.value)
+        self.known: dict[int, np.ndarray] = {}
+
+    def grams(self):
+        return self.runs(self.gram)
 
-    def leads(self, at):
-        return signed(self.value[at])
+    def runs(self, n):
+        if n not in self.known:
+            self.known[n] = run_codes(self.value, n)
+        return self.known[n]
+
+    def codes(self, start, end, seed):
+        """Spans of words; all of a length are coded at once."""
+        size, out = end - start, np.zeros(len(start), U)
+        for n in np.unique(size).tolist():
+            own = size == n
+            out[own] = self.runs(n)[start[own]]
+        return mixed(out, size)
+
+
+def mixed(codes, size):
+    return pair(codes, size.astype(U))
 
 
 def anchors(grams: np.ndarray, reach: int) -> np.ndarray:
-    """For each i the place of the leftmost smallest of grams[i : i+reach]; the place is packed below the hash, so that the
+    """For each i the place of the leftmost smallest of grams[i : i+reach]; the place is packed below the code, so that the
     smallest key is also the leftmost."""
     bits = U(max(1, int(len(grams)).bit_length()))
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -90,162 +103,156 @@ def anchors(grams: np.ndarray, reach: int) -> np.ndarray:
     return (key & ((U(1) << bits) - U(1))).astype(np.int64)
 
 
-def _spans(seq, size: int, row, pos, n, off):
-    """Rows for spans given by their first window, count of windows, and distance of the anchor from the first window, cut
-    into blocks of `size` window offsets (distances from the anchor)."""
-    low = (off - n + 1) // size
-    count = off // size - low + 1
-    j, b = np.repeat(np.arange(len(pos)), count), None
-    b = (np.repeat(low, count) + within(count)) * size
-    anchor = pos[j] + off[j]
-    hi, lo = np.minimum(off[j], b + size - 1), np.maximum((off - n + 1)[j], b)
-    at = anchor - b
-    start = anchor - hi
-    return row[j], {
-        "lead": seq.leads(at),
-        "head": signed(seq.hash[0].of(seq.sums[0], at, at + seq.width - size + 1)),
-        "full": signed(seq.hash[1].of(seq.sums[1], start, anchor - lo + seq.width)),
-        "pos": start, "n": hi - lo + 1, "off": hi,
-    }
+def packed(pos, n, off):
+    return (pos << 16) | ((n - 1) << 8) | off
 
 
-def _emit(batch, lo, seq, row, got) -> pa.RecordBatch:
-    row = row + lo
-    return pa.RecordBatch.from_arrays(
-        [pa.array(got["lead"]), pa.array(got["head"]), pa.array(got["full"]), batch.column("ord").take(pa.array(row)), batch.column("k").take(pa.array(row)), pa.array((got["pos"] - seq.first[row - lo]).astype(np.int32)), pa.array(got["n"].astype(np.int32)), pa.array(got["off"].astype(np.int32))],
-        names=["lead", "head", "full", "ord", "k", "pos", "n", "off"],
-    )
+def unpacked(at):
+    return at >> 16, ((at >> 8) & 255) + 1, at & 255
 
 
-def _sampled(kind, width: int):
-    """Rows of all windows of each text, one for each anchor."""
+def sampled(seq) -> tuple[np.ndarray, ...]:
+    """Of a loaded block, the spans of windows that share an anchor: (row, first window in the block, count, distance of the anchor)."""
+    count = np.maximum(0, np.diff(seq.first) - seq.width + 1)
+    row = np.repeat(np.arange(len(count)), count)
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 4
+    anchor = anchors(seq.grams(), seq.reach)
+    start = seq.first[row] + within(count)
+    own = anchor[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
+    return row[begin], start[begin], np.diff(np.append(begin, len(start))), own[begin] - start[begin]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = kind(width)
-        for batch in batches:
-            for lo, _, data, off in blocks(batch.column("text")):
-                seq.load(data, off)
-                first, total = seq.first, len(seq.sums[0]) - 1
-                if total < width:
-                    continue
-                count = np.maximum(0, np.diff(first) - width + 1)
-                row = np.repeat(np.arange(len(count)), count)
-                if not len(row):
-                    continue
-                at = np.arange(total - seq.gram + 1)
-                anchor = anchors(seq.hash[0].of(seq.sums[0], at, at + seq.gram), seq.reach)
-                start = first[row] + within(count)
-                own = anchor[start]
-                new = np.ones(len(start), bool)
-                new[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-                begin = np.flatnonzero(new)
-                n = np.diff(np.append(begin, len(start)))
-                yield _emit(batch, lo, seq, *_spans(seq, seq.reach, row[begin], start[begin], n, own[begin] - start[begin]))
 
-    return run
+def in_blocks(row, start, n, off, size: int) -> tuple[np.ndarray, ...]:
+    """The spans cut so that the distances from the anchor of one span lie in one block of `size`, and the place that its windows share:
+    (row, first window, count, distance, shared place)."""
+    low = (off - n + 1) // size
+    count = off // size - low + 1
+    j = np.repeat(np.arange(len(start)), count)
+    b = (np.repeat(low, count) + within(count)) * size
+    hi, lo = np.minimum(off[j], b + size - 1), np.maximum((off - n + 1)[j], b)
+    anchor = start[j] + off[j]
+    return row[j], anchor - hi, hi - lo + 1, hi, anchor - b
 
 
-def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
-    """Offsets and the fields' values of a column of lists of structs; null counts as empty."""
+def lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Offsets and values of a column of lists of longs, or of the named fields of lists of structs; null counts as empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.asarray(a.value_lengths().fill_null(0), np.int64)
     flat = a.flatten()
-    return np.concatenate([[0], np.cumsum(sizes)]), *(np.asarray(flat.field(x), np.int64) if len(flat) else np.zeros(0, np.int64) for x in names)
+    values = [flat.field(x) for x in fields] if fields else [flat]
+    return np.concatenate([[0], np.cumsum(sizes)]), *(np.asarray(v, np.int64) if len(flat) else np.zeros(0, np.int64) for v in values)
 
 
-def _refined(kind, width: int, size: int):
-    """Rows of the spans in the column `spans`, cut into blocks of `size` windows."""
+def spans_of(kind: type, width: int, size: int, emit: Callable, listed: bool = False) -> Callable:
+    """A step over texts (k, text and, if listed, the column `spans` of packed spans): emit(seq, batch, lo, row, start, n, off, shared)
+    makes batches of the spans of each block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = kind(width)
         for batch in batches:
-            at, pos, n, dist = _lists(batch.column("spans"), "pos", "n", "off")
+            cut, at = lists(batch.column("spans")) if listed else (None, None)
             for lo, hi, data, off in blocks(batch.column("text")):
-                if at[hi] == at[lo]:
+                if listed and cut[hi] == cut[lo]:
                     continue
                 seq.load(data, off)
-                row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
-                own = slice(at[lo], at[hi])
-                yield _emit(batch, lo, seq, *_spans(seq, size, row, pos[own] + seq.first[row], n[own], dist[own]))
+                if listed:
+                    row = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
+                    pos, n, dist = unpacked(at[cut[lo] : cut[hi]])
+                    got = row, pos + seq.first[row], n, dist
+                else:
+                    got = sampled(seq)
+                if len(got[0]):
+                    yield from emit(seq, batch, lo, *in_blocks(*got, size))
 
     return run
 
 
-def _settle(rule: str, last: bool):
-    """Of a sorted partition, the rows that are settled and those that are not."""
+def merged(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [start, start + n) of each row, those that touch joined."""
+    order = np.lexsort((start, row))
+    row, start, n = row[order], start[order], n[order]
+    if not len(row):
+        return row, start, n
+    shift = (row - row[0]) * (int((start + n).max()) + 2)
+    reach = np.maximum.accumulate(start + n + shift)
+    new = np.ones(len(row), bool)
+    new[1:] = (start + shift)[1:] > reach[:-1]
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(row)) - 1
+    return row[begin], start[begin], reach[last] - (start + shift)[begin]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        t = pa.Table.from_batches(whole)
-        del whole
-        lead, head, full, order = (t.column(x).to_numpy() for x in ("lead", "head", "full", "ord"))
-        size = len(lead)
-        group = np.ones(size, bool)
-        group[1:] = (lead[1:] != lead[:-1]) | (head[1:] != head[:-1])
-        alike = group.copy()
-        alike[1:] |= full[1:] != full[:-1]
-        begin = np.flatnonzero(alike)
-        cls = np.cumsum(alike) - 1
-        if rule == "any":
-            done = np.diff(np.append(begin, size))[cls] > 1
-            owner = alike
-        else:
-            done = order > order[begin][cls]
-            owner = ~done
-        g = np.cumsum(group) - 1
-        ends = (g == 0) | (g == g[-1])
-        if last:
-            open_ = owner & ((cls == 0) | ((cls == cls[-1]) & alike))
-        else:
-            open_ = owner & (ends | (np.bincount(g[begin])[g] > 1))
-        for kind, mask in ((DONE, done), (END if last else NEXT, open_)):
-            got = t.filter(pa.array(mask))
-            if got.num_rows:
-                got = got.drop_columns(["full"]).add_column(0, "kind", pa.array(np.full(got.num_rows, kind, np.int32)))
-                yield from got.to_batches(max_chunksize=200_000)
 
-    return run
+def key_of(text: Column) -> Column:
+    """16 bytes of the text's SHA-256; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def order_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+
 
+def distinct_texts(docs: DataFrame, text: str, doc_id: str, scratch: Scratch) -> DataFrame:
+    """(k, c, text, ord, copies): every different text once, with a number, its key, its smallest id and how many rows hold it. Copies
+    fall together before the shuffle, so a text that fills a third of the table is no hot key."""
+    own = docs.select(key_of(F.col(text)).alias("c"), order_of(F.col(doc_id)).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    one = own.groupBy("c").agg(F.first("text").alias("text"), F.min("ord").alias("ord"), F.count("*").alias("copies"))
+    # the numbers are unique in whatever order a task meets its rows, and later steps read the table that is written
+    return scratch.save(one.select(F.monotonically_increasing_id().alias("k"), "*"), "texts")
 
-def repeated_windows(docs: DataFrame, kind: type, width: int, rule: str, scratch: Scratch) -> DataFrame:
-    """(k, spans: pos, n) of the windows that are repeated, for each text that has some. docs: k long (a key of the row),
-    ord long, text string."""
-    spark, parts = docs.sparkSession, n_parts(docs.sparkSession)
-    found: list[DataFrame] = []
-    rows = scratch.save(docs.select("k", "ord", "text").mapInArrow(_sampled(kind, width), ROWS), "suffixes")
-    for size in [*kind(width).blocks, None]:
-        ordered = rows.repartitionByRange(parts, *SORT).sortWithinPartitions(*SORT)
-        out = scratch.save(ordered.mapInArrow(_settle(rule, size is None), SETTLED), "settled")
-        del ordered
-        scratch.drop(rows)
-        found.append(out.where(F.col("kind") == DONE).select("k", "pos", "n"))
-        if size is not None:
-            open_ = out.where(F.col("kind") == NEXT).groupBy("k").agg(F.collect_list(F.struct("pos", "n", "off")).alias("spans"))
-            joined = docs.select("k", "ord", "text").join(open_, "k")
-            rows = scratch.save(joined.mapInArrow(_refined(kind, width, size), ROWS), "blocks")
-    ends = out.where(F.col("kind") == END)
-    key = ends.groupBy("lead", "head").agg(F.min("ord").alias("least"), F.count("*").alias("many")).where("many > 1")
-    met = ends.join(key, ["lead", "head"])
-    found.append((met if rule == "any" else met.where("ord > least")).select("k", "pos", "n"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("k").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-
-
-def covered(first: np.ndarray, n_all: int, at: np.ndarray, pos: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    """Which elements of a block lie in a repeated window; at: offsets of each text's spans."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+def covered(first: np.ndarray, n_all: int, cut: np.ndarray, pos: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Which elements of a block lie in one of the windows; cut: offsets of each text's spans (first window, count)."""
+    row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     start = pos + first[row]
     step = np.bincount(start, minlength=n_all + 1) - np.bincount(start + n + width - 1, minlength=n_all + 1)
     return np.cumsum(step[:n_all]) > 0
 
 
-def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """k: a key of id and text. Rows that agree in both share it and get the same result; ord: the id, null last."""
-    return docs.select("*", F.xxhash64(doc_id, text).alias("k"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("ord"))
-
-
-__all__ = ["Bytes", "Words", "covered", "keyed", "repeated_windows", "text_bytes"]
+def groups_of(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray, bool]]:
+    """Streams a sorted partition as whole groups of equal `names`: (columns, group number of each row, which rows belong to groups that are
+    not known whole). A group is not known whole if it touches an end of the partition or has more than `most` rows."""
+    held: dict | None = None
+    first_key = large_key = None
+
+    def keys(t, i):
+        return tuple(t[x][i] for x in names)
+
+    def give(t, final):
+        nonlocal large_key
+        size = len(t[names[0]])
+        new = np.ones(size, bool)
+        new[1:] = np.logical_or.reduce([t[x][1:] != t[x][:-1] for x in names])
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        count = np.diff(np.append(begin, size))
+        vague = count > most
+        vague[0] |= keys(t, 0) in (first_key, large_key)
+        vague[-1] |= final or keys(t, -1) == first_key
+        large_key = keys(t, -1) if count[-1] > most else None if keys(t, -1) != large_key else large_key
+        return t, group, vague[group]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names}
+        if held is not None:
+            t = {x: np.concatenate([held[x], t[x]]) for x in t}
+        if first_key is None:
+            first_key = keys(t, 0)
+        size = len(t[names[0]])
+        same = np.logical_and.reduce([t[x] == t[x][-1] for x in names])
+        cut = size - int(np.argmin(same[::-1])) if not same.all() else 0
+        if size - cut > most:  # the open group is large already, whatever follows
+            yield give(t, False)
+            held = None
+        elif cut:
+            held = {x: t[x][cut:] for x in t}
+            yield give({x: t[x][:cut] for x in t}, False)
+        else:
+            held = t
+    if held is not None and len(held[names[0]]):
+        yield give(held, True)

@@ -1,10 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing: texts are factored against what earlier texts hold.
+"""Substring dedup by relative Lempel-Ziv parsing: texts are factored against what texts of smaller id hold.
 
-The reference of a text is every text of smaller id. Its index is cut into blocks by range of phrase (`repeats`); each text
-sends its phrases, spans of windows around sampled anchors, to the blocks that can hold them. There a phrase found whole in an earlier text
-is taken as one factor (the greedy case); phrases found in part are cut down to their single windows. Phrases overlap by
-`width - 1` words, so the windows at the boundary of two factors are judged like all others. Factors of `width` words or
-more are the spans that go.
+1. Which reference does a text need? Spans of windows around sampled anchors (`repeats`) are sorted by code; each span found whole in a
+   text of smaller id names that text, others are cut into single windows, which name the smallest text that holds them. So each text asks for few
+   references, however many hold the same passage.
+2. The texts that are named are dealt to reference blocks. A block that many ask is held several times, each time for a share of
+   those that ask, so it is no hot key.
+3. A block indexes its 13-word windows. Each text that asks is factored greedily: at a place the longest match with a reference of
+   smaller id is taken, words compared byte by byte. The next factor is sought from the first window that crosses the factor's
+   end, so windows at factor boundaries are judged like all others. Factors of `width` words or more are what goes.
 """
 
 from __future__ import annotations
@@ -15,36 +18,281 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshwork.llm.repeats import Words, _lists, covered, keyed, repeated_windows
-from meshwork.llm.scratch import Scratch
-from meshwork.llm.textbytes import NOT_SPACE, blocks, words
+from meshwork.llm.repeats import Words, covered, distinct_texts, key_of, lists, merged, order_of, packed, spans_of, unpacked
+from meshwork.llm.scratch import Scratch, n_parts
+from meshwork.llm.textbytes import NOT_SPACE, blocks, range_codes, run_codes, signed, words
 
 WIDTH = 13
+#: References in a block, and spans that ask one reference before it is held once more.
+PER_BLOCK, PER_SALT = 256, 20_000
 COLUMNS = ["n_words", "n_removed", "factors", "kept"]
-OUT = "n_words long, n_removed long, factors array<struct<start:long,end:long>>, kept string"
+ROWS = "head long, full long, ord long, k long, at long"
+SAID = "kind int, head long, ord long, k long, at long, src long, src_at long"
+#: A span found in a text of smaller id, a span to cut finer, a window at a partition's end.
+FOUND, FINER, END = 0, 1, 2
 
 
-def _cut(width: int, carried: list[str]):
+def _suffixes(size: int):
+    def emit(seq: Words, batch, lo, row, start, n, off, shared):
+        head = signed(seq.runs(seq.width - size + 1)[shared])
+        full = signed(seq.codes(start, start + n + seq.width - 1, 0)) if size > 1 else np.zeros(len(row), np.int64)
+        order, k = (np.asarray(batch.column(x), np.int64)[row + lo] for x in ("ord", "k"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head, full, order, k, packed(start - seq.first[row], n, off))], names=["head", "full", "ord", "k", "at"])
+
+    return emit
+
+
+def _looked_up(single: bool):
+    """Of a sorted partition of the index, what is found in a text of smaller id, with the first place of the same code. Of spans that aren't, those that
+    may hold windows of others are to be cut finer."""
+
+    def said(kind, t, keep, src=None, src_at=None):
+        zero = np.zeros(int(keep.sum()), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(zero), kind, np.int32))] + [pa.array(t[x][keep]) for x in ("head", "ord", "k", "at")] + [pa.array(zero if src is None else src[keep]), pa.array(zero if src is None else src_at[keep])],
+            names=[x.split()[0] for x in SAID.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = opening = None  # the first row of the class that a batch ends in; the first class of the partition
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = {x: batch.column(x).to_numpy() for x in batch.schema.names}
+            size = batch.num_rows
+            key = lambda i: (t["head"][i], t["full"][i])  # noqa: E731, B023
+            new_head, new = np.ones(size, bool), np.ones(size, bool)
+            new_head[1:] = t["head"][1:] != t["head"][:-1]
+            new[1:] = new_head[1:] | (t["full"][1:] != t["full"][:-1])
+            begin = np.flatnonzero(new)
+            cls = np.cumsum(new) - 1
+            first = {x: t[x][begin] for x in ("ord", "k", "at")}
+            if last is not None and last[0] == key(0):
+                for x in first:
+                    first[x][0] = last[1][x]
+            if opening is None:
+                opening = key(0)
+            found = t["ord"] > first["ord"][cls]
+            yield said(FOUND, t, found, first["k"][cls], first["at"][cls])
+            if single:
+                yield said(END, t, ~found & (cls == 0) & (key(0) == opening))
+            else:
+                group = np.cumsum(new_head) - 1
+                mates = np.bincount(group[begin])[group] > 1
+                yield said(FINER, t, ~found & (mates | (group == 0) | (group == group[-1])))
+            last = (key(-1), {x: first[x][-1] for x in first})
+        if single and last is not None and last[0] != opening:
+            t = {"head": np.array([last[0][0]])} | {x: np.array([v]) for x, v in last[1].items()}
+            yield said(END, t, np.ones(1, bool))
+
+    return run
+
+
+def _found(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(k, at, src): spans of windows whose words also stand in the text `src`, which has a smaller id."""
+    parts = n_parts(texts.sparkSession)
+    found = []
+    for size in Words(width).blocks:
+        if found:
+            source = texts.select("k", "ord", "text").join(spans.hint("merge"), "k")
+        else:
+            source = texts.select("k", "ord", "text")
+        rows = scratch.save(source.mapInArrow(spans_of(Words, width, size, _suffixes(size), bool(found)), ROWS), "suffixes")
+        sort = ["head", "full", "ord", "k", "at"]
+        ordered = rows.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+        out = scratch.save(ordered.mapInArrow(_looked_up(size == 1), SAID), "looked-up", [rows])
+        found.append(out.where(F.col("kind") == FOUND).select("k", "at", "src"))
+        if size > 1:
+            spans = scratch.save(out.where(F.col("kind") == FINER).groupBy("k").agg(F.collect_list("at").alias("spans")), "finer")
+    ends = out.where(F.col("kind") == END)
+    # two classes of each partition at most, so the list is short whatever the corpus
+    met = ends.groupBy("head").agg(F.min(F.struct("ord", "k")).alias("least"), F.count("*").alias("many")).where("many > 1")
+    met = ends.join(F.broadcast(met.select("head", "least")), "head").where(F.col("ord") > F.col("least.ord"))
+    found.append(met.select("k", "at", F.col("least.k").alias("src")))
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+def joined_words(raw: bytes) -> bytes:
+    return b" ".join(raw.split())  # bytes.split() takes just the contract's white space
+
+
+PARTS = "block int, salt int, kind int, k long, ord long, start int, words binary"
+
+
+def _dealt(width: int):
+    """What goes to the blocks: references whole (kind 0), and of texts that ask the words of the spans found there (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut, at, block, salt = lists(batch.column("spans"), "at", "block", "salt")
+            k, order, own, copies = (batch.column(x).to_pylist() for x in ("k", "ord", "block", "salts"))
+            for lo, hi, data, off in blocks(batch.column("text")):
+                start, end, first = words(data, off, NOT_SPACE)
+                raw, out = data.tobytes(), []
+                for i in range(lo, hi):
+                    if own[i] is not None:
+                        whole = joined_words(raw[off[i - lo] : off[i - lo + 1]])
+                        out.extend((own[i], s, 0, k[i], order[i], 0, whole) for s in range(copies[i]))
+                flat = slice(cut[lo], cut[hi])
+                if cut[hi] > cut[lo]:
+                    row = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
+                    pos, n, _ = unpacked(at[flat])
+                    place, which = np.unique(np.stack([row, block[flat], salt[flat]]), axis=1, return_inverse=True)
+                    which, pos, n = merged(which.ravel(), pos, n + width - 1)
+                    r, b, s = place[:, which]
+                    a = first[r] + pos
+                    for i, j, x, y, p, m in zip(r.tolist(), b.tolist(), s.tolist(), a.tolist(), pos.tolist(), n.tolist(), strict=True):
+                        out.append((j, x, 1, k[lo + i], order[lo + i], p, joined_words(raw[start[y] : end[y + m - 1]])))
+                if out:
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
+
+    return run
+
+
+class Reference:
+    """The texts of a block with an index of their windows: codes in order, for equal ones by the text's id."""
+
+    def __init__(self, texts: list[tuple[int, int, bytes]], width: int):
+        self.width = width
+        self.raw = b"\n".join(t for _, _, t in texts)
+        data = np.frombuffer(self.raw, np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) + 1 for _, _, t in texts])])
+        off[-1] -= 1
+        self.start, self.end, first = words(data, off, NOT_SPACE)
+        self.first = first[:-1]
+        self.codes = range_codes(data, self.start, self.end, 13)
+        count = np.diff(first)
+        self.ord = np.array([o for _, o, _ in texts], np.int64)
+        text = np.repeat(np.arange(len(texts)), count)
+        self.stop = first[1:][text] if len(text) else text  # where each word's text ends
+        grams = run_codes(self.codes, width)
+        fits = np.flatnonzero(np.arange(len(grams)) + width <= self.stop[: len(grams)])
+        order = np.lexsort((fits, self.ord[text[fits]], grams[fits]))
+        self.at, self.gram = fits[order], grams[fits][order]
+        self.of, self.text = self.ord[text[self.at]], text
+
+    def _match(self, codes, i: int, p: int) -> int:
+        """How many words from place i of the text and from place p of the block on have the same codes."""
+        most = min(len(codes) - i, int(self.stop[p]) - p)
+        step, done = 64, 0
+        while done < most:
+            m = min(step, most - done)
+            differ = codes[i + done : i + done + m] != self.codes[p + done : p + done + m]
+            if differ.any():
+                return done + int(differ.argmax())
+            done, step = done + m, step * 4
+        return done
+
+    def factors(self, raw: bytes, own: int) -> list[tuple[int, int, int, int]]:
+        """(start, words, id of the reference, place in it) of a text's factors against references of smaller id than `own`."""
+        data = np.frombuffer(raw, np.uint8)
+        start, end, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
+        codes = range_codes(data, start, end, 13)
+        grams = run_codes(codes, self.width)
+        lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
+        known = lo < hi
+        known[known] = self.of[lo[known]] < own
+        out, places, i = [], np.flatnonzero(known), 0
+        while True:
+            j = int(np.searchsorted(places, i))
+            if j == len(places):
+                return out
+            i = int(places[j])
+            a = int(lo[i])
+            b = a + int(np.searchsorted(self.of[a : int(hi[i])], own))
+            by_length = sorted(((self._match(codes, i, p), -p) for p in self.at[a:b].tolist()), reverse=True)
+            for n, p in by_length:
+                p = -p
+                if raw[start[i] : end[i + n - 1]] != self.raw[self.start[p] : self.end[p + n - 1]]:  # the codes lied: word by word
+                    n = next((x for x in range(n) if raw[start[i + x] : end[i + x]] != self.raw[self.start[p + x] : self.end[p + x]]), n)
+                if n >= self.width:
+                    text = int(self.text[p])
+                    out.append((i, n, int(self.ord[text]), p - int(self.first[text])))
+                    i += n - self.width  # the next factor may begin at the first window that crosses this one's end
+                    break
+            i += 1
+
+
+FACTORS = "k long, start int, n int, ref long, ref_start int"
+
+
+def _parsed(width: int):
+    """Streams a partition sorted by block and salt: references first, then the texts that ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts, index, out = None, [], None, []
+
+        def flush():
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=[x.split()[0] for x in FACTORS.split(", ")])
+            out.clear()
+            return got
+
+        for batch in batches:
+            for block, salt, kind, k, order, start, text in zip(*(batch.column(x).to_pylist() for x in ("block", "salt", "kind", "k", "ord", "start", "words")), strict=True):
+                if (block, salt) != key:
+                    key, texts, index = (block, salt), [], None
+                if kind == 0:
+                    texts.append((k, order, text))
+                    continue
+                if index is None:
+                    index, texts = Reference(texts, width), []
+                out.extend((k, start + i, n, ref, at) for i, n, ref, at in index.factors(text, order))
+            if len(out) > 20_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    return run
+
+
+def parsed(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(k, spans: start, n, ref, ref_start): the factors of `width` words or more of each text that has some. texts: (k, ord, text), all different."""
+    parts = n_parts(texts.sparkSession)
+    found = scratch.save(_found(texts, width, scratch), "found")
+    uses = found.groupBy(F.col("src").alias("ref")).agg(F.count("*").alias("uses"))
+    uses = scratch.save(uses.withColumn("salts", F.ceil(F.col("uses") / PER_SALT).cast("int")), "uses")
+    n_blocks = max(parts, uses.count() // PER_BLOCK)
+    block = lambda k: F.pmod(F.xxhash64(k), F.lit(n_blocks)).cast("int")
+    often = uses.where("salts > 1").select(F.col("ref").alias("src"), "salts")
+    asked = found.join(often, "src", "left").select("k", "at", block("src").alias("block"), F.coalesce(F.pmod(F.xxhash64(F.lit(1), "k"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    asked = asked.groupBy("k").agg(F.collect_list(F.struct("at", "block", "salt")).alias("spans"))
+    held = uses.select(F.col("ref").alias("k"), block("ref").alias("block"), "salts")
+    plan = scratch.save(asked.join(held, "k", "full"), "plan", [found])
+    dealt = texts.select("k", "ord", "text").join(plan.hint("merge"), "k").mapInArrow(_dealt(width), PARTS)
+    ordered = dealt.repartition(n_blocks, "block", "salt").sortWithinPartitions("block", "salt", "kind", "k", "start")
+    factors = scratch.save(ordered.mapInArrow(_parsed(width), FACTORS), "factors")
+    return factors.groupBy("k").agg(F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias("spans"))
+
+
+FACTOR = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())])
+OUT = "c binary, ord long, n_words long, n_removed long, factors array<struct<start:long,end:long,ref:long,ref_start:long>>, kept string"
+
+
+def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pos, n = _lists(batch.column("__spans"), "pos", "n")
-            for lo, hi, data, off in blocks(batch.column("__text")):
+            cut, pos, n, ref, ref_at = lists(batch.column("spans"), "start", "n", "ref", "ref_start")
+            for lo, hi, data, off in blocks(batch.column("text")):
                 start, end, first = words(data, off, NOT_SPACE)
-                own = slice(at[lo], at[hi])
-                gone = covered(first, len(start), at[lo : hi + 1] - at[lo], pos[own], n[own], width)
-                raw = data.tobytes()
-                factors, kept, removed = [], [], []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    g = gone[a:b]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], g, [0]]).astype(np.int8))) if g.any() else np.zeros(0, int)
-                    factors.append([{"start": s, "end": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                    stay = ~g
-                    kept.append(b" ".join([raw[s:e] for s, e in zip(start[a:b][stay].tolist(), end[a:b][stay].tolist(), strict=True)]).decode())
-                    removed.append(int(g.sum()))
+                own = slice(cut[lo], cut[hi])
+                gone = covered(first, len(start), cut[lo : hi + 1] - cut[lo], pos[own], n[own] - width + 1, width)
+                raw, factors, kept, removed = data.tobytes(), [], [], []
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    mine = range(cut[lo + i], cut[lo + i + 1])
+                    factors.append(sorted(({"start": int(pos[j]), "end": int(pos[j] + n[j]), "ref": int(ref[j]), "ref_start": int(ref_at[j])} for j in mine), key=lambda x: (x["start"], x["end"])))
+                    if mine:
+                        stay = ~gone[a:b]
+                        kept.append(b" ".join([raw[s:e] for s, e in zip(start[a:b][stay].tolist(), end[a:b][stay].tolist(), strict=True)]).decode())
+                    else:
+                        kept.append(joined_words(raw[off[i] : off[i + 1]]).decode())
+                    removed.append(int(gone[a:b].sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(lo, hi - lo) for c in carried]
-                    + [pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
-                    names=carried + COLUMNS,
+                    [batch.column("c").slice(lo, hi - lo), batch.column("ord").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors, pa.list_(FACTOR)), pa.array(kept, pa.string())],
+                    names=["c", "ord", *COLUMNS],
                 )
 
     return run
@@ -53,15 +301,20 @@ def _cut(width: int, carried: list[str]):
 def rlz_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Removes each word covered by `width` consecutive words that also stand, in this order, in a text of smaller id.
 
-    Returns the columns of `docs` and n_words, n_removed, factors (removed runs, in words), kept (the words left, joined by
-    one space); columns of these names are replaced. A null text has no words; a null id counts as the largest; rows of equal id
-    don't count as earlier than each other, so repeated rows keep what one of them keeps; an empty table gives an empty result.
+    Returns the columns of `docs` and n_words, n_removed, factors (start and end in words, the reference's id, place in it), kept (the words left,
+    joined by one space); columns of these names are replaced, all others are kept, whatever their names. A null text has no words; a null id counts as the largest
+    (so a reference's id is never null); rows of equal id don't count as earlier than each other, so repeated rows keep what one of them keeps; of one
+    text under several ids all but the smallest lose all their words, if they have `width`; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "rlz")
-    own = keyed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", "id")
-    found = repeated_windows(own.select("k", "ord", "text"), Words, width, "later", scratch)
-    carried = [c for c in docs.columns if c not in COLUMNS]
-    fields = [f for f in docs.schema.fields if f.name in carried]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + OUT
-    full = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias("__text"), F.xxhash64(doc_id, text).alias("__k"))
-    return full.join(found.select(F.col("k").alias("__k"), F.col("spans").alias("__spans")), "__k", "left").drop("__k").mapInArrow(_cut(width, carried), schema)
+    texts = distinct_texts(docs, text, doc_id, scratch)
+    spans = parsed(texts, width, scratch)
+    each = texts.select("k", "c", "ord", "text").join(spans, "k", "left").select("c", "ord", "text", "spans")
+    result = scratch.save(each.mapInArrow(_cut(width), OUT), "result", [texts])
+    # all columns travel in one struct, so that none can clash with the operator's own
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]).alias("row"), key_of(F.col(f"`{text}`")).alias("c"), order_of(F.col(f"`{doc_id}`")).alias("own"))
+    copy = (F.col("own") > F.col("ord")) & (F.col("n_words") >= width)
+    at = lambda x: F.lit(x).cast("long")
+    all_of_it = F.array(F.struct(at(0).alias("start"), F.col("n_words").alias("end"), F.col("ord").alias("ref"), at(0).alias("ref_start")))
+    out = whole.join(result, "c").withColumns({"n_removed": F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")), "factors": F.when(copy, all_of_it).otherwise(F.col("factors")), "kept": F.when(copy, "").otherwise(F.col("kept"))})
+    return out.select("row.*", *COLUMNS)

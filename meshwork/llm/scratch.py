@@ -15,10 +15,12 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only where the session names none (tests on one machine) a temporary folder."""
+    """`spark.checkpoint.dir`; only where the session names none and runs on one machine (tests), a temporary folder."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="meshwork-")
         import shutil
@@ -45,13 +47,15 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, name: str = "step") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "step", gone: list[DataFrame] | None = None) -> DataFrame:
+        """Writes a step and reads it again; `gone` are steps that no later one reads."""
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         del df
+        self.drop(*(gone or ()))
         self.collect_garbage()
         return out
 
