@@ -1,26 +1,30 @@
 """Approximate nearest neighbours over shifted Hilbert orderings.
 
 Each ordering projects the vectors to a few random directions of its own, shifts them and numbers the cells along a Hilbert
-curve. Sampled splitters cut an ordering into ranges of like size. A query looks at the ranges around its own that make up a
-window of the ordering; the windows of all orderings are scored exactly and merged. How wide a window must be depends on the
-vectors (uniform ones need most of an ordering, clustered ones little), so it is fitted on a bounded sample to a target recall.
+curve; Spark range-partitions and sorts it, which gives each vector its rank. A query looks at the vectors within a window of ranks
+around its own place, in each ordering; the windows are scored exactly, merged and reranked. How wide a window must be depends on the
+vectors (uniform ones need much of an ordering, clustered ones little): the true neighbours of a bounded number of probes, found
+among all vectors, tell the window that reaches the target recall.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshwork.llm.scratch import Scratch, n_parts
-from meshwork.llm.vectors import matrix
+from meshwork.llm.vectors import finite, matrix, top_rows
 
 K, CURVES, AXES, BITS = 20, 8, 4, 10
-#: The sample that splitters and window are fitted on, and the queries in it.
-SAMPLE, PROBES = 8192, 256
+#: Vectors whose true neighbours are found to fit the window, and vectors that the scale of the cells is taken from.
+PROBES, SAMPLE = 256, 8192
 RECALL = 0.97
-#: Ranges that an ordering is cut into; rows of a range go to tasks of about CHUNK.
-RANGES, CHUNK = 32, 8192
+#: Ranks in a block; a window is as many blocks as it needs.
+BLOCK = 4096
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,23 +72,84 @@ class Curves:
         return np.array(out)
 
 
-def fit(sample: np.ndarray, k: int, recall: float = RECALL, ranges: int = RANGES):
-    """(curves, splitters, half width of the window in ranges) from a bounded sample of vectors."""
-    dim = sample.shape[1]
-    curves = Curves(dim, float(np.sqrt((sample**2).mean()) or 1.0))
-    keys = curves.keys(sample)
-    splitters = np.quantile(keys, np.arange(1, ranges) / ranges, axis=1, method="lower").T.astype(np.int64)
-    place = np.array([np.searchsorted(s, q, "right") for s, q in zip(splitters, keys, strict=True)])
-    probes = np.arange(0, len(sample), max(1, len(sample) // PROBES))[:PROBES]
-    score = sample[probes] @ sample.T
-    score[np.arange(len(probes)), probes] = -np.inf
-    near = np.argpartition(-score, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(probes), 0), int)
-    away = np.abs(place[:, near] - place[:, probes][:, :, None])
-    away = np.minimum(away, ranges - away).min(0)
-    for half in range(ranges // 2 + 1):
-        if not away.size or (away <= half).mean() >= recall:
-            break
-    return curves, splitters, half
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row: the same sum for a pair wherever it is met."""
+    return np.einsum("ij,ij->i", q, x)
+
+
+def _near(score: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int):
+    """(row, column, exact score) of each row's k best by exact score, ties to the smaller id. `score` may be off in its last bits."""
+    row, col = top_rows(score, ids, own, k, 1e-9)
+    exact = _exact(q[row], x[col])
+    order = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first], exact[first]
+
+
+def _true_neighbours(classes: DataFrame, probes: np.ndarray, numbers: np.ndarray, k: int) -> DataFrame:
+    """(probe, c): the k classes nearest to each of a bounded number of probes, among all. Each task returns k for each probe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full((len(probes), k), -np.inf), np.full((len(probes), k), -1, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                c = np.asarray(part.column("c"))
+                score = np.where(c[None, :] == numbers[:, None], -np.inf, probes @ matrix(part.column("x")).T)
+                score, c = np.concatenate([held[0], score], 1), np.concatenate([held[1], np.broadcast_to(c, score.shape)], 1)
+                near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                held = np.take_along_axis(score, near, 1), np.take_along_axis(c, near, 1)
+        row, col = np.nonzero(held[1] >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(held[1][row, col]), pa.array(held[0][row, col])], names=["probe", "c", "score"])
+
+    found = classes.select("c", "x").mapInArrow(run, "probe long, c long, score double").where(F.col("score") > float("-inf"))
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k).select("probe", "c")
+
+
+def _ranked(classes: DataFrame, asked: DataFrame, curves: Curves, scratch: Scratch) -> DataFrame:
+    """(curve, kind, c, rank): the place of each class (kind 0) in each ordering, and for queries (kind 1) how many classes come before."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                for i, key in enumerate(curves.keys(matrix(part.column("x")))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, i, np.int32)), pa.array(key), part.column("kind"), part.column("c")], names=["curve", "key", "kind", "c"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            curve, kind = (batch.column(x).to_numpy() for x in ("curve", "kind"))
+            at = np.zeros(len(curve), np.int64)
+            for i in np.unique(curve).tolist():
+                own = np.flatnonzero(curve == i)
+                data = kind[own] == 0
+                at[own] = np.cumsum(data) - data + before.get(i, 0)
+                before[i] = before.get(i, 0) + int(data.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(curve), part, np.int32)), *(batch.column(x) for x in ("curve", "kind", "c")), pa.array(at)], names=["part", "curve", "kind", "c", "at"])
+
+    both = classes.select("x", F.lit(0).alias("kind"), "c").unionByName(asked.select("x", F.lit(1).alias("kind"), "c"))
+    rows = scratch.save(both.mapInArrow(keyed, "curve int, key long, kind int, c long"), "keys")
+    sort = ["curve", "key", "kind", "c"]
+    ordered = rows.repartitionByRange(n_parts(classes.sparkSession), *sort).sortWithinPartitions(*sort)
+    placed = scratch.save(ordered.mapInArrow(counted, "part int, curve int, kind int, c long, at long"), "places", [rows])
+    sizes = placed.where("kind = 0").groupBy("curve", "part").agg(F.count("*").alias("n"))
+    every = placed.select("curve", "part").distinct().join(sizes, ["curve", "part"], "left").fillna(0, ["n"])
+    ahead = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = every.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    firsts = F.broadcast(scratch.save(firsts, "firsts"))  # a row for each partition and curve that it touches
+    return scratch.save(placed.join(firsts, ["curve", "part"]).select("curve", "kind", "c", (F.col("first") + F.col("at")).alias("rank")), "ranks", [placed])
+
+
+def _window(classes: DataFrame, ranks: DataFrame, k: int, recall: float) -> int:
+    """The least distance of ranks within which, in one ordering at least, the share `recall` of the probes' true neighbours lies."""
+    probes = classes.orderBy(F.xxhash64(F.lit(4), "c"), "c").limit(PROBES).select("c", "x").toArrow()
+    near = _true_neighbours(classes, matrix(probes["x"]), np.asarray(probes["c"]), k)
+    places = ranks.where("kind = 0").select("curve", "c", "rank")
+    met = near.join(places, "c").join(places.select("curve", F.col("c").alias("probe"), F.col("rank").alias("own")), ["curve", "probe"])
+    away = met.groupBy("probe", "c").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("away")).select("away").toArrow()["away"].to_numpy()
+    return max(k + 1, int(np.quantile(away, recall, method="higher"))) if len(away) else k + 1
 
 
 def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -92,98 +157,66 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
     smaller id), the query's own row left out.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which is all that an answer can hold; so a vector that fills a third of
-    the table is one entry. Vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids or vectors of another length than
-    the commonest; rows repeated with the same id count once. An empty table or query set gives an empty result. If the windows hold fewer than k
-    candidates they are widened to whole orderings.
+    the table is one entry, and queries of equal vectors are one. A window holds at least k + 1 entries on each side, so no query finds fewer than k where the table has them. Of entries with equal scores those
+    of the smallest ids stay. Vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids or vectors of another length than
+    the commonest; rows repeated with the same id count once. An empty table or query set gives an empty result. Other columns, whatever their names, play no part.
     """
-    from meshwork.llm.vectors import finite
-
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     x = F.transform(F.col(embedding), lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
 
     def usable(df):
-        own = df.where(F.col(vec_id).isNotNull() & finite(F.col(embedding), True)).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
-        return own.select("id", "x", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))
+        return df.where(F.col(vec_id).isNotNull() & finite(F.col(embedding), True)).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
 
     rows = usable(vectors)
     dims = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if dims is None:
-        return empty
-    dim = dims["dim"]
-    rows = rows.where(F.size("x") == dim)
-    of_class = Window.partitionBy("h1", "h2").orderBy("id")
-    ids = rows.select("h1", "h2", "id").distinct().withColumn("n", F.row_number().over(of_class)).where(F.col("n") <= k + 1)
-    ids = scratch.save(ids.select("h1", "h2", "id"), "ids")
-    one = rows.withColumn("n", F.row_number().over(of_class)).where("n = 1").select("h1", "h2", "x")
-    classes = scratch.save(one, "classes")
-    n_classes = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(3), "h1"), "h2").limit(SAMPLE)
-    curves, splitters, half = fit(matrix(sample.select("x").toArrow()["x"]), k, recall)
-    ranges = splitters.shape[1] + 1
-    if n_classes < 4 * ranges * k:  # windows of a few rows: whole orderings, one is enough
-        half, use = ranges // 2, 1
-    else:
-        use = len(splitters)
-    if 2 * half + 1 >= ranges:
-        use = 1
-    chunks = max(1, -(-n_classes // (ranges * CHUNK)))
-
-    def keyed(window: bool, name: str):
-        """A row for each ordering and range: its own for a vector, those of the window for a query."""
-
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
-                    keys = curves.keys(matrix(part.column("x")))[:use]
-                    for c, key in enumerate(keys):
-                        place = np.searchsorted(splitters[c], key, "right").astype(np.int32)
-                        steps = sorted({s % ranges for s in range(-half, half + 1)}) if window else [0]
-                        for s in steps:
-                            at = (place + s) % ranges
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), *(part.column(n) for n in ("h1", "h2", "x"))], names=["curve", "range", "h1", "h2", "x"])
-
-        return run
-
-    shape = "curve int, range int, h1 long, h2 int, x array<double>"
-    asked = usable(queries).where(F.size("x") == dim)
-    asked_classes = asked.dropDuplicates(["h1", "h2"]).select("h1", "h2", "x")
-    data = classes.mapInArrow(keyed(False, "data"), shape).withColumn("chunk", F.pmod(F.xxhash64("h1"), F.lit(chunks)).cast("int"))
-    ask = asked_classes.mapInArrow(keyed(True, "ask"), shape).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    alike = F.size("x") == dims["dim"]
+    # Spark keeps the first k + 1 of a vector in each task before the shuffle
+    first = rows.where(alike).distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
+    one = first.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = scratch.save(one.select(F.monotonically_increasing_id().alias("c"), "x", "ids", F.col("ids")[0].alias("least")), "classes")
+    who = usable(queries).where(alike)
+    asked = scratch.save(who.select("x").distinct().select(F.monotonically_increasing_id().alias("c"), "x"), "asked")
+    sample = matrix(classes.orderBy(F.xxhash64(F.lit(3), "c"), "c").limit(SAMPLE).select("x").toArrow()["x"])
+    curves = Curves(dims["dim"], float(np.sqrt((sample**2).mean()) or 1.0))
+    ranks = _ranked(classes, asked, curves, scratch)
+    width = _window(classes, ranks, k, recall)
+    block = lambda rank: F.floor(rank / BLOCK).cast("int")
+
+    def dealt(kind: int, table: DataFrame, blocks) -> DataFrame:
+        """Vectors with the blocks that they go to, in each ordering."""
+        own = ranks.where(F.col("kind") == kind).groupBy("c").agg(F.collect_list(F.struct("curve", "rank")).alias("places"))
+        each = table.join(own, "c").withColumn("place", F.explode("places")).drop("places")
+        return each.withColumn("block", blocks(F.col("place.rank"))).withColumn("curve", F.col("place.curve")).drop("place")
+
+    data = dealt(0, classes.select("c", "least", "x"), block)
+    ask = dealt(1, asked, lambda rank: F.explode(F.sequence(block(F.greatest(rank - width, F.lit(0))), block(rank + width))))
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["q1", "q2", "h1", "h2", "score"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+        names, types = ["q", "c", "least", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        h1, h2, xs = np.asarray(a["h1"]), np.asarray(a["h2"]), matrix(a["x"])
-        q1, q2, qs = np.asarray(b["h1"]), np.asarray(b["h2"]), matrix(b["x"])
+        c, least, xs, qc, qs = np.asarray(a["c"]), np.asarray(a["least"]), matrix(a["x"]), np.asarray(b["c"]), matrix(b["x"])
         out = []
-        for lo in range(0, len(qs), 512):
-            q = qs[lo : lo + 512]
-            score = q @ xs.T
-            most = min(k + 8, score.shape[1])
-            near = np.argpartition(-score, most - 1, axis=1)[:, :most]
-            row = np.repeat(np.arange(len(q)), most)
-            col = near.ravel()
-            exact = np.einsum("ij,ij->i", q[row], xs[col])  # the same sum for a pair wherever it is met
-            out.append((q1[lo:][row], q2[lo:][row], h1[col], h2[col], exact))
-        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    keys = ["curve", "range", "chunk"]
+        for lo in range(0, len(qs), 256):
+            q = qs[lo : lo + 256]
+            # k + 1 entries by score, then smallest id: each holds an id that comes before any of the entries left out
+            row, col, score = _near(q @ xs.T, q, xs, least, None, k + 1)
+            out.append((qc[lo:][row], c[col], least[col], score))
+        return pa.table([pa.array(np.concatenate(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    keys = ["curve", "block"]
     deal = lambda df: df.repartition(n_parts(spark), *keys).groupBy(*keys)
-    found = deal(data).cogroup(deal(ask)).applyInArrow(search, "q1 long, q2 int, h1 long, h2 int, score double")
-    per_query = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "h1", "h2")
-    merged = found.groupBy("q1", "q2", "h1", "h2").agg(F.max("score").alias("score")).withColumn("n", F.rank().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"))))
-    # a class holds one id at least; of classes tied at the end all stay
-    merged = scratch.save(merged.where(F.col("n") <= k + 1).drop("n"), "merged")
-    del per_query
-    listed = merged.join(ids, ["h1", "h2"]).select("q1", "q2", "id", "score")
-    first = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "id")
-    listed = scratch.save(listed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n"), "listed")
-    who = asked.select(F.col("id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct()
-    met = who.join(listed, ["q1", "q2"]).where("query_id <> id")
+    found = deal(data).cogroup(deal(ask)).applyInArrow(search, "q long, c long, least long, score double")
+    by_entry = Window.partitionBy("q").orderBy(F.desc("score"), "least", "c")
+    merged = found.groupBy("q", "c", "least").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= k + 1)
+    merged = scratch.save(merged.drop("n"), "merged")
+    listed = merged.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
+    by_id = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    listed = scratch.save(listed.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).drop("n"), "listed")
+    named = who.select(F.col("id").alias("query_id"), "x").distinct().join(asked.withColumnRenamed("c", "q"), "x").select("query_id", "q")
+    met = named.join(listed, "q").where("query_id <> id")
     out = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

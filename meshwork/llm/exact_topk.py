@@ -1,95 +1,150 @@
-"""Exact top-k search by Fagin's threshold algorithm over sorted per-dimension lists."""
+"""Exact top-k search by Fagin's threshold algorithm over sorted per-dimension lists.
+
+The lists of all dimensions are read from both ends (the top for positive weights of a query, the bottom for negative ones) in steps of growing depth. A
+vector is met at the first step that reaches it in any list, and belongs to that step's blocks. After a step each query's kth score, over all blocks, is
+held against its bound, the score of a vector made of the values at which the lists now stand: no vector that hasn't been met can score more. A query whose
+kth score is above its bound stops and isn't sent to the blocks of later steps; what is left after the last step is scored for the others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshwork.llm.scratch import n_parts
-from meshwork.llm.vectors import best, finite, matrix
-
-K, SCALE, DATA_BLOCK, QUERY_BLOCK = 5, 256, 4096, 512
-#: Depths of sorted access at which the bound is looked at, as shares of the lists.
-DEPTHS = (1 / 256, 1 / 64, 1 / 16, 1 / 4)
-
-
-class Lists:
-    """A block's vectors with, for each dimension, the rows sorted by that component (falling)."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.order = np.argsort(-x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, 0)
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-        """For each query its k best (score falling, id rising), the query's own id left out. Sorted access goes down all lists
-        at once, from the top for positive and from the bottom for negative weights; what it meets is scored by random access; it stops when the
-        bound, the score of a vector made of the last values met, is below the kth score, so nothing unseen can come in or tie."""
-        n = len(self.ids)
-        depths = sorted({max(k + 1, int(n * d)) for d in DEPTHS if max(k + 1, int(n * d)) < n})
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        bounds = [up @ self.sorted[t - 1] + down @ self.sorted[n - t] for t in depths]
-        out_q, out_id, out_score = [], [], []
-        for i in range(len(q)):
-            seen, at = np.zeros(n, bool), 0
-            score = np.full(n, -np.inf)
-            top, bottom = q[i] > 0, q[i] < 0
-            for t, bound in zip(depths, bounds, strict=True):
-                seen[self.order[at:t, top].ravel()] = True
-                seen[self.order[n - t : n - at, bottom].ravel()] = True
-                at = t
-                new = np.flatnonzero(seen & np.isneginf(score))
-                score[new] = self.x[new] @ q[i]
-                met = np.flatnonzero(seen & (self.ids != query_ids[i]))
-                if len(met) >= k and np.partition(score[met], len(met) - k)[len(met) - k] > bound[i]:
-                    break
-            else:
-                rest = np.flatnonzero(~seen)
-                score[rest] = self.x[rest] @ q[i]
-                met = np.flatnonzero(self.ids != query_ids[i])
-            if len(met) > k:
-                kth = np.partition(score[met], len(met) - k)[len(met) - k]
-                met = met[score[met] >= kth]
-            first = met[np.lexsort((self.ids[met], -score[met]))[:k]]
-            out_q.append(np.full(len(first), query_ids[i]))
-            out_id.append(self.ids[first])
-            out_score.append(score[first])
-        return out_q, out_id, out_score
-
-
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", scale: int | None = SCALE) -> DataFrame:
+from meshwork.llm.scratch import Scratch, n_parts
+from meshwork.llm.vectors import best, finite, matrix, top_rows
+
+K, SCALE, DATA_BLOCK, QUERY_BLOCK = 5, 256, 4096, 2048
+#: Depths of the steps, as shares of a list, and the accuracy (one in so many rows) with which the values there are found. The bound holds at any accuracy.
+DEPTHS = (1 / 1024, 1 / 128, 1 / 16)
+ACCURACY = 5000
+FOUND = "query_id long, vec_id long, score double"
+
+
+def list_values(data: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, the values at the steps' depths of every list: (from the top, from the bottom), steps x dimensions. A row
+    for each dimension comes to the driver, whatever the number of vectors."""
+    shares = [1 - d for d in DEPTHS] + list(DEPTHS)
+    rows = data.select("dim", F.posexplode("x").alias("j", "v")).groupBy("dim", "j").agg(F.percentile_approx("v", shares, ACCURACY).alias("at")).collect()
+    out: dict = {}
+    for r in rows:
+        top, bottom = out.setdefault(r["dim"], (np.zeros((len(DEPTHS), r["dim"])), np.zeros((len(DEPTHS), r["dim"]))))
+        top[:, r["j"]], bottom[:, r["j"]] = r["at"][: len(DEPTHS)], r["at"][len(DEPTHS) :]
+    return out
+
+
+def met_at(x: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """The step at which each vector is met: the first at which a component is beyond the value where its list stands (the number of steps: none)."""
+    step = np.full(len(x), len(top), np.int32)
+    for s in range(len(top) - 1, -1, -1):
+        step[((x > top[s]) | (x < bottom[s])).any(1)] = s
+    return step
+
+
+def bounds(q: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """The largest score of a vector that lies between the lists' values."""
+    return np.maximum(q, 0) @ top + np.minimum(q, 0) @ bottom
+
+
+def scores(q: np.ndarray, x: np.ndarray, whole: bool) -> np.ndarray:
+    """All inner products; of whole numbers exactly, or an error."""
+    if whole and len(q) and len(x):
+        most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
+        if most >= 2**63:
+            raise ArithmeticError("scores may pass 64 bits")
+        if most >= 2**53:
+            return q.astype(np.int64) @ x.astype(np.int64).T
+    return q @ x.T
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", scale: int | None = SCALE, report: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k largest inner products with all vectors but its own, ties to the smaller id.
 
-    With `scale`, components become floor(scale * x) and scores are exact integers (they stay below 2^53). Vectors are dealt to blocks of about DATA_BLOCK
-    by a hash, queries to blocks of QUERY_BLOCK; each pair of blocks is a task of bounded size that returns k rows a query. Vectors
+    With `scale`, components become floor(scale * x) and scores are exact integers (an error says if they could pass 64 bits). The vectors met at a step are dealt to blocks of about
+    DATA_BLOCK by a hash, the queries still open to blocks of QUERY_BLOCK; a pair of blocks returns k rows a query. Vectors
     that are null, empty, or hold null or non-finite components take no part, nor do null ids; vectors of different length aren't compared; rows repeated with
-    the same id are each a candidate, for queries of another id.
+    the same id are each a candidate, for queries of another id. Other columns, whatever their names, play no part; an empty table or query set gives an empty result. `report`
+    gets (step, vectors met, queries that scored them) of each step.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
 
     def numbers(df):
         x = F.transform(F.col(embedding), lambda v: F.floor(v.cast("double") * scale).cast("double") if scale else v.cast("double"))
         return df.where(F.col(vec_id).isNotNull() & finite(F.col(embedding))).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"), F.size(embedding).alias("dim"))
 
-    data, asked = numbers(vectors), numbers(queries)
-    n_data, n_asked = data.groupBy("dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, asked.count()
+    values = list_values(numbers(vectors))
+
+    def with_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            step = np.zeros(len(dims), np.int32)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                step[own] = met_at(matrix(batch.column("x").take(pa.array(own))), *values[d])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "x", "dim")), pa.array(step)], names=["id", "x", "dim", "step"])
+
+    data = scratch.save(numbers(vectors).mapInArrow(with_step, "id long, x array<double>, dim int, step int"), "data")
+    met = {r["step"]: r["n"] for r in data.groupBy("step").agg(F.count("*").alias("n")).collect()}
+    open_ = scratch.save(numbers(queries).where(F.col("dim").isin(*values) if values else F.lit(False)), "queries")
+    found: DataFrame | None = None
+    for step in range(len(DEPTHS) + 1):
+        asked = open_.count()
+        if report is not None:
+            report.append((step, met.get(step, 0), asked))
+        if not asked:
+            break
+        if met.get(step):
+            new = _scored(data.where(F.col("step") == step), open_, met[step], asked, k, bool(scale))
+            both = new if found is None else new.unionByName(found)
+            found = scratch.save(best(both, k, F.col("score").desc(), F.col("vec_id")).drop("rank"), "best")
+        if step < len(DEPTHS) and found is not None:
+            kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
+            left = open_.mapInArrow(_bounded(values, step), "id long, x array<double>, dim int, bound double").join(kth, F.col("id") == F.col("query_id"), "left")
+            open_ = scratch.save(left.where("kth is null or kth <= bound").select("id", "x", "dim"), "queries", [open_])
+    if found is None:
+        found = spark.createDataFrame([], FOUND)
+    out = best(found, k, F.col("score").desc(), F.col("vec_id"))
+    return out.select("query_id", "rank", "vec_id", F.col("score").cast("long") if scale else "score")
+
+
+def _bounded(values: dict, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            out = np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                top, bottom = values[d]
+                out[own] = bounds(matrix(batch.column("x").take(pa.array(own))), top[step], bottom[step])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "x", "dim")), pa.array(out)], names=["id", "x", "dim", "bound"])
+
+    return run
+
+
+def _scored(data: DataFrame, asked: DataFrame, n_data: int, n_asked: int, k: int, whole: bool) -> DataFrame:
+    """The k best of each pair of blocks for each query."""
     d_blocks, q_blocks = max(1, -(-n_data // DATA_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     of = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.withColumn("d", of(1, d_blocks)).withColumn("q", every(q_blocks))
-    right = asked.withColumn("q", of(2, q_blocks)).withColumn("d", every(d_blocks))
+    left = data.select("id", "x", "dim", of(1, d_blocks).alias("d"), every(q_blocks).alias("q"))
+    right = asked.select("id", "x", "dim", of(2, q_blocks).alias("q"), every(d_blocks).alias("d"))
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
-            got = ([], [], [])
-        else:
-            got = Lists(np.asarray(a["id"]), matrix(a["x"])).search(np.asarray(b["id"]), matrix(b["x"]), k)
-        join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t), pa.int64() if t is np.int64 else pa.float64())
-        return pa.table({"query_id": join(got[0], np.int64), "vec_id": join(got[1], np.int64), "score": join(got[2], np.float64)})
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
+        ids, x, asked_ids, q = np.asarray(a["id"]), matrix(a["x"]), np.asarray(b["id"]), matrix(b["x"])
+        out = []
+        for lo in range(0, len(q), 256):
+            s = scores(q[lo : lo + 256], x, whole)
+            row, col = top_rows(s, ids, asked_ids[lo : lo + 256], k)
+            out.append((asked_ids[lo:][row], ids[col], s[row, col]))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
 
     keys = ["dim", "d", "q"]
-    deal = lambda df: df.repartition(n_parts(spark), *keys).groupBy(*keys)
-    found = deal(left).cogroup(deal(right)).applyInArrow(search, "query_id long, vec_id long, score double")
-    out = best(found, k, F.col("score").desc(), F.col("vec_id"))
-    return out.select("query_id", "rank", "vec_id", F.col("score").cast("long") if scale else "score")
+    deal = lambda df: df.repartition(n_parts(data.sparkSession), *keys).groupBy(*keys)
+    return deal(left).cogroup(deal(right)).applyInArrow(search, FOUND)
