@@ -5,29 +5,10 @@ from __future__ import annotations
 from meshwork.functions.hierarchy import Machine
 from meshwork.functions.scalars import adaptive_imbalance
 from meshwork.kernels.local import Local
-from meshwork.kernels.paths import global_paths
+from meshwork.kernels.paths import contract, global_paths
 from meshwork.kernels.split import greedy, hill_climb, refine_flow, refine_pair, split
 
 
-def contract(g: Local, pairs: list[tuple[int, int]]) -> tuple[Local, list[int]]:
-    """The graph with each pair made one vertex, and the coarse vertex of each fine one."""
-    to = list(range(len(g)))
-    for u, v in pairs:
-        to[max(u, v)] = min(u, v)
-    names = {x: i for i, x in enumerate(sorted(set(to)))}
-    to = [names[x] for x in to]
-    out = Local([], [], [])
-    out.ids = list(range(len(names)))
-    out.index = {i: i for i in out.ids}
-    out.vw, out.near = [0] * len(names), [{} for _ in names]
-    for u, c in enumerate(to):
-        out.vw[c] += g.vw[u]
-        for v, w in g.near[u].items():
-            if to[v] != c:
-                out.near[c][to[v]] = out.near[c].get(to[v], 0) + w
-    return out, to
-
-
 def multisection(g: Local, m: Machine, lmax: int, weight: int, eps: float, method: str, seed: int) -> list[int]:
     """Outermost level first; each item's bound keeps the final one within reach."""
     pid = [0] * len(g)
@@ -74,7 +55,7 @@ def rebalance(g: Local, pid: list[int], m: Machine, lmax: int) -> None:
                 pid[u] = t
 
 
-def refine_pairs(g: Local, pid: list[int], m: Machine, lmax: int, fm: int, flow: int, alpha: float) -> None:
+def refine_pairs(g: Local, pid: list[int], m: Machine, lmax: int, fm: int, flow: int, alpha: float, again: int = 1) -> None:
     """Pairs of adjacent blocks by falling shared cost: local search, then minimum cuts."""
     for turn in range(max(fm, flow)):
         shared: dict[tuple[int, int], int] = {}
@@ -95,14 +76,18 @@ def refine_pairs(g: Local, pid: list[int], m: Machine, lmax: int, fm: int, flow:
             if turn < fm:
                 gained += refine_pair(part, side, (lmax, lmax), extra, 2, m.between(a, b))
             if turn < flow:
-                gained += refine_flow(part, side, (lmax, lmax), extra, m.between(a, b), alpha)
+                for _ in range(again):
+                    got = refine_flow(part, side, (lmax, lmax), extra, m.between(a, b), alpha)
+                    gained += got
+                    if not got:
+                        break
             for u, s in zip(members, side, strict=True):
                 pid[u] = b if s else a
         if not gained:
             break
 
 
-def solve(g: Local, m: Machine, lmax: int, weight: int, eps: float, c: int = 8, method: str = "flow", lp: int = 5, fm: int = 1, flow: int = 0, alpha: float = 2.0, seed: int = 0) -> list[int]:
+def solve(g: Local, m: Machine, lmax: int, weight: int, eps: float, c: int = 8, method: str = "flow", lp: int = 5, fm: int = 1, flow: int = 0, alpha: float = 2.0, seed: int = 0, again: int = 1) -> list[int]:
     stack, now = [], g
     cap = max(1, weight // (2 * m.k))
     while len(now) > max(m.k * c, 40):
@@ -116,7 +101,7 @@ def solve(g: Local, m: Machine, lmax: int, weight: int, eps: float, c: int = 8,
     while True:
         rebalance(now, pid, m, lmax)
         hill_climb(now, pid, m.k, lmax, m.between, lp)
-        refine_pairs(now, pid, m, lmax, fm, flow, alpha)
+        refine_pairs(now, pid, m, lmax, fm, flow, alpha, again)
         if not stack:
             return pid
         now, to = stack.pop()

@@ -7,6 +7,10 @@ from collections.abc import Callable
 
 from meshwork.kernels.flow import Network, balanced_min_cut
 from meshwork.kernels.local import Local, rng_of
+from meshwork.kernels.paths import contract, global_paths
+
+#: Larger graphs are contracted to about so many vertices before the flow bisection, and refined by flows on the way back.
+FLOW_AT = 600
 
 
 def farthest(g: Local, start: int) -> int:
@@ -187,6 +191,31 @@ def flow_half(g: Local, a: int, b: int, low: int, high: int, rng) -> list[bool]
     return None
 
 
+def flow_bisection(g: Local, start: int, most: tuple[int, int], rng) -> list[bool] | None:
+    """Flow bisection from two far ends, by levels: matched vertices are contracted until few are left, the minimum cut of these is
+    projected back, and each level's cut is replaced by a minimum cut of its corridor."""
+    low, high = g.total - most[1], most[0]
+    stack, now = [], g
+    cap = max(1, g.total // 20)
+    while len(now) > FLOW_AT:
+        edges = [(w / max(1, now.vw[u] * now.vw[v]), u, v) for u in range(len(now)) for v, w in now.near[u].items() if u < v and now.vw[u] + now.vw[v] <= cap]
+        small, to = contract(now, global_paths(edges))
+        if len(small) > 0.95 * len(now):
+            break
+        stack.append((now, to))
+        start, now = to[start], small
+    a = farthest(now, start)
+    b = farthest(now, a)
+    half = flow_half(now, a, b, low, high, rng) if a != b else None
+    while stack and half is not None:
+        now, to = stack.pop()
+        side = [0 if half[c] else 1 for c in to]
+        refine_pair(now, side, most)
+        refine_flow(now, side, most)
+        half = [s == 0 for s in side]
+    return half
+
+
 def bisect(g: Local, share: float, most: tuple[int, int], method: str = "flow", trials: int = 4, seed: int = 0) -> list[int]:
     """Sides 0 and 1 of about share and 1 - share of the weight: the best of some trials, balanced first, then by cut."""
     n, best = len(g), None
@@ -209,11 +238,9 @@ def bisect(g: Local, share: float, most: tuple[int, int], method: str = "flow",
                 side = None
         if side is None:
             start = int(rng.integers(n))
-            a = farthest(g, start)
-            b = farthest(g, a)
-            half = flow_half(g, a, b, g.total - most[1], most[0], rng) if method == "flow" and n <= 600 and a != b and len(parts) == 1 else None
+            half = flow_bisection(g, start, most, rng) if method == "flow" and len(parts) == 1 else None
             if half is None:
-                half = grow_half(g, a, target, most[0])
+                half = grow_half(g, farthest(g, start), target, most[0])
             side = [0 if x else 1 for x in half]
         refine_pair(g, side, most)
         load = sum(w for w, s in zip(g.vw, side, strict=True) if s == 0)

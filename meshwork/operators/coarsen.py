@@ -18,13 +18,15 @@ from meshwork.sources.graph import Graph
 
 class Rounds:
     """State tables of iterative operators, written to the folder of spark.checkpoint.dir (to a temporary one only where the
-    session names none)."""
+    session names none and runs on one machine)."""
 
     _own: str | None = None
 
     def __init__(self, spark: SparkSession):
         given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not given:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             if Rounds._own is None:
                 Rounds._own = tempfile.mkdtemp(prefix="meshwork-rounds-")
                 atexit.register(shutil.rmtree, Rounds._own, True)
@@ -127,6 +129,35 @@ def two_hop_matchmaker(edges: DataFrame, free: DataFrame) -> DataFrame:
     return _paired(best.withColumnRenamed("v", "mid"), ["mid"])
 
 
+def two_hop(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, cap: int, assign: DataFrame | None = None) -> DataFrame:
+    """(u, v), u < v: `pairs` and, of the vertices they leave, those that share a neighbour: vertices of degree one first, then twins,
+    then vertices with the same strongest neighbour. Pairs weigh `cap` at most and stay inside a block of `assign`."""
+    state = Rounds(edges.sparkSession)
+    found = pairs
+    for step in (two_hop_degree_one, twins, lambda e: two_hop_matchmaker(e, e.select("u").distinct())):
+        free = state.keep(vertices.select("u").join(ends(found), "u", "left_anti"))
+        found = state.keep(found.unionByName(allowed(step(edges.join(free, "u", "left_semi")), vertices, cap, assign)))
+    return found
+
+
+def allowed(pairs: DataFrame, vertices: DataFrame, cap: int, assign: DataFrame | None = None) -> DataFrame:
+    """The pairs of weight `cap` at most, both of one block."""
+    met = pairs.join(vertices.select("u", F.col("vw").alias("a")), "u").join(vertices.select(F.col("u").alias("v"), F.col("vw").alias("b")), "v").where(F.col("a") + F.col("b") <= cap)
+    if assign is not None:
+        met = met.join(assign.select("u", F.col("pid").alias("pa")), "u").join(assign.select(F.col("u").alias("v"), F.col("pid").alias("pb")), "v").where("pa = pb")
+    return met.select("u", "v")
+
+
+def pair_any(vertices: DataFrame, pairs: DataFrame, cap: int, assign: DataFrame | None = None) -> DataFrame:
+    """`pairs` and, of the vertices they leave, lightest first, any two of a range of ids: the last resort where nothing is adjacent, which bounds what coarsening leaves."""
+    free = vertices.join(ends(pairs), "u", "left_anti").where(F.col("vw") < cap)
+    free = free.join(assign, "u") if assign is not None else free.withColumn("pid", F.lit(0).cast("long"))
+    line = Window.partitionBy("pid", F.shiftright("u", 12)).orderBy("vw", "u")
+    numbered = free.withColumn("i", F.row_number().over(line)).withColumn("v", F.lead("u").over(line))
+    more = numbered.where("i % 2 = 1 and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return pairs.unionByName(allowed(more, vertices, cap, assign))
+
+
 def mapping_of(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, c): a vertex's coarse vertex is named by the smaller of the pair."""
     down = pairs.select(F.col("v").alias("u"), F.col("u").alias("c"))

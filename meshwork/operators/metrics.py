@@ -149,3 +149,17 @@ def duplicate_arcs(edges: DataFrame) -> DataFrame:
 def command_stats(log: DataFrame) -> DataFrame:
     """(cmd, calls, total, average) of a table (cmd, seconds)."""
     return log.groupBy("cmd").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total"), F.avg("seconds").alias("average"))
+
+
+def multisection_items(graph, assign: DataFrame, m: Machine) -> DataFrame:
+    """(item, depth, k, n, weight, m_edges): the parts that a multisection has split, outermost first; item is the smallest block of a part, k its number of
+    children, n, weight and m_edges count its own vertices and inner edges."""
+    out = None
+    for depth in range(len(m.sizes)):
+        stride = m.strides[len(m.sizes) - 1 - depth]
+        part = lambda c: (F.floor(F.col(c) / stride) * stride).cast("long")  # noqa: E731, B023
+        own = assign.join(graph.vertices, "u").groupBy(part("pid").alias("item")).agg(F.count("*").alias("n"), F.sum("vw").cast("long").alias("weight"))
+        inner = placed(graph.edges, assign).where(part("pu") == part("pv")).groupBy(part("pu").alias("item")).agg(F.floor(F.count("*") / 2).cast("long").alias("m_edges"))
+        rows = own.join(inner, "item", "left").select("item", F.lit(depth).cast("long").alias("depth"), F.lit(m.sizes[len(m.sizes) - 1 - depth]).cast("long").alias("k"), "n", "weight", F.coalesce("m_edges", F.lit(0).cast("long")).alias("m_edges"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

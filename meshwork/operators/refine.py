@@ -21,12 +21,13 @@ def blocks_of(graph: Graph, assign: DataFrame, k: int, lmax: int) -> DataFrame:
     return metrics.block_weights(graph.vertices, assign, k).withColumn("lmax", F.lit(lmax).cast("long"))
 
 
-def label_propagation(graph: Graph, assign: DataFrame, m: Machine, lmax: int, rounds: int = 5, seed: int = 0) -> DataFrame:
-    """Each round moves an independent set of boundary vertices to their best blocks that have room. Gains then add up, so the cost falls by
-    exactly twice their sum, and no block becomes overloaded."""
+def label_propagation(graph: Graph, assign: DataFrame, m: Machine, lmax: int, rounds: int = 5, seed: int = 0, may: DataFrame | None = None) -> DataFrame:
+    """Each round moves an independent set of boundary vertices (of those in `may`, if given) to their best blocks that have room. Gains then add up, so the
+    cost falls by exactly twice their sum, and no block becomes overloaded."""
     state = Rounds(graph.edges.sparkSession)
     assign = state.keep(assign)
-    conn = state.keep(metrics.block_conn(metrics.placed(graph.edges, assign)))
+    conn = metrics.block_conn(metrics.placed(graph.edges, assign))
+    conn = state.keep(conn if may is None else conn.join(may, "u", "left_semi"))
     blocks = state.keep(blocks_of(graph, assign, m.k, lmax))
     for i in range(rounds):
         wanted = gains.best_block(conn, assign, m, blocks, graph.vertices, seed + i).where("gain > 0")
@@ -34,7 +35,8 @@ def label_propagation(graph: Graph, assign: DataFrame, m: Machine, lmax: int, ro
         if not moves.head(1):
             break
         assign = state.keep(gains.apply_moves(assign, moves))
-        conn = state.keep(gains.moved_conn(conn, graph.edges, moves))
+        now = gains.moved_conn(conn, graph.edges, moves)
+        conn = state.keep(now if may is None else now.join(may, "u", "left_semi"))
         blocks = state.keep(gains.moved_weights(blocks, graph.vertices, moves))
     return assign
 
@@ -152,7 +154,7 @@ def pair_frames(graph: Graph, assign: DataFrame, batch: list[tuple[int, int]], m
     return vertices, inner
 
 
-def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel: str = "fm", rounds: int = 1, alpha: float = 2.0, active: set[int] | None = None) -> DataFrame:
+def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel: str = "fm", rounds: int = 1, alpha: float = 2.0, active: set[int] | None = None, again: int = 1) -> DataFrame:
     """Refines pairs of blocks side by side with two-way local search ("fm"), minimum cuts ("flow") or swaps ("swap"). The quotient graph
     (at most k^2 / 2 rows) is scheduled on the driver; each pair is a group of two blocks. A batch that does not lower the cost is dropped."""
     spark = graph.edges.sparkSession
@@ -164,7 +166,7 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
         improved: set[int] = set()
         for batch in schedule(pairs, active):
             vertices, inner = pair_frames(graph, assign, batch, m)
-            run = _pair_kernel(kernel, batch, m, lmax, alpha)
+            run = _pair_kernel(kernel, batch, m, lmax, alpha, again)
             moves = state.keep(vertices.groupBy("pair").cogroup(inner.groupBy("pair")).applyInPandas(run, "u long, old_id long, new_id long"))
             if not moves.head(1):
                 continue
@@ -180,7 +182,7 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
     return assign
 
 
-def _pair_kernel(kernel: str, batch: list[tuple[int, int]], m: Machine, lmax: int, alpha: float):
+def _pair_kernel(kernel: str, batch: list[tuple[int, int]], m: Machine, lmax: int, alpha: float, again: int = 1):
     def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         vs = vs.sort_values("u")
         g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
@@ -190,7 +192,9 @@ def _pair_kernel(kernel: str, batch: list[tuple[int, int]], m: Machine, lmax: in
         ends = batch[int(key[0])]
         d = m.between(*ends)
         if kernel == "flow":
-            refine_flow(g, side, (lmax, lmax), extra, d, alpha)
+            for _ in range(again):
+                if not refine_flow(g, side, (lmax, lmax), extra, d, alpha):
+                    break
         elif kernel == "swap":
             _swap(g, side, extra, d, lmax)
         else:

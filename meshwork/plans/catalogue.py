@@ -240,6 +240,9 @@ def parallel_arc_check(spark, d):
     return metrics.duplicate_arcs(guests.part_grid(spark, d).edges)
 
 
+REPORT = ("n", "m_edges", "qap", "edge_cut_directed", "edge_cut", "max_weight", "n_empty", "n_overloaded", "overload", "is_overloaded", "k", "lmax")
+
+
 # Distance oracles (76-82, 32, 33) -----------------------------------------------------------------------------------------------------
 
 PAIRS = f"P AS (SELECT x.range a, y.range b FROM range({BIG.k}) x, range({BIG.k}) y)"
@@ -414,12 +417,17 @@ def mutual_matching_step(spark, d):
     return coarsen.mutual(coarsen.best_neighbor(guests.copurchase(spark, d).edges, [F.desc("w"), scalars.unhash(lo * 31 + hi), lo, hi]))
 
 
-PAIRED = "(SELECT *, row_number() OVER (PARTITION BY {by}, u // 1024 ORDER BY u) i, lead(u) OVER (PARTITION BY {by}, u // 1024 ORDER BY u) nxt FROM {t})"
+PAIRED = "(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY u) i, lead(u) OVER (PARTITION BY {by} ORDER BY u) nxt FROM {t})"
+
 
+#: Each part tied to its strongest neighbour only: many leaves.
+TIED = f"{CO.replace('E AS', 'CE AS').replace('V AS (SELECT DISTINCT u, 1 vw FROM E)', 'tie AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) r FROM CE) WHERE r = 1)')}, E AS (SELECT u, v FROM tie UNION SELECT v, u FROM tie)"
 
-@add("two_hop_degree_one", f"WITH {CS}, l AS (SELECT u, min(v) mid FROM E GROUP BY u HAVING count(*) = 1) SELECT u, nxt v FROM {PAIRED.format(by='mid', t='l')} WHERE i % 2 = 1 AND nxt IS NOT NULL")
+
+@add("two_hop_degree_one", f"WITH {TIED}, l AS (SELECT u, min(v) mid FROM E GROUP BY u HAVING count(*) = 1) SELECT u, nxt v FROM {PAIRED.format(by='mid', t='l')} WHERE i % 2 = 1 AND nxt IS NOT NULL")
 def two_hop_degree_one(spark, d):
-    return coarsen.two_hop_degree_one(guests.customer_supplier(spark, d).edges)
+    tie = coarsen.best_neighbor(guests.copurchase(spark, d).edges, [F.desc("w"), F.col("v")])
+    return coarsen.two_hop_degree_one(tie.unionByName(tie.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
 
 
 @add("twins", f"WITH {CO}, x AS (SELECT u, list_sort(list(DISTINCT v % 6)) near FROM E GROUP BY u) SELECT u, nxt v FROM {PAIRED.format(by='near', t='x')} WHERE i % 2 = 1 AND nxt IS NOT NULL")
@@ -619,21 +627,21 @@ def partition_round_trip(spark, d):
     return files.read_partition(spark, path)
 
 
-@add("summary_json")
+@add("summary_json", f"""WITH r AS ({ORACLE["solution_report"]}) SELECT to_json(struct_pack({", ".join(f"{c} := {c}" for c in REPORT)}))::VARCHAR "json" FROM r""")
 def summary_json(spark, d):
-    return files.to_json(solution_report(spark, d))
+    return files.to_json(solution_report(spark, d).select(*REPORT))
 
 
-@add("graph_fingerprint")
+@add("graph_fingerprint", f"""WITH {CO}, h AS (SELECT md5('v ' || u || ' ' || vw) x FROM V UNION ALL SELECT md5('e ' || u || ' ' || v || ' ' || w) FROM E) SELECT bit_xor(('0x' || substr(x, 1, 15))::BIGINT) graph_hash FROM h""")
 def graph_fingerprint(spark, d):
     return files.fingerprint(guests.copurchase(spark, d))
 
 
 # Dynamic graphs (182-195) ------------------------------------------------------------------------------------------------------------------
 
-EVENT_SQL = """ev0 AS (SELECT event_id seq, user_id a, (event_id * 7 + user_id) % 61 b, event_id % 8 k FROM events),
+EVENT_SQL = """ev0 AS (SELECT event_id seq, user_id a, (event_id * 7 + user_id) % (SELECT max(user_id) + 1 FROM events) b, event_id % 8 k FROM events),
 EV AS (SELECT seq, CASE k WHEN 0 THEN '+v' WHEN 1 THEN '+e' WHEN 2 THEN '+e' WHEN 3 THEN 'ew' WHEN 4 THEN '+e' WHEN 5 THEN 'vw' WHEN 6 THEN '-e' ELSE CASE WHEN seq % 160 = 7 THEN '-v' ELSE '+e' END END op,
-  a % 61 u, CASE WHEN k IN (0, 5) OR (k = 7 AND seq % 160 = 7) THEN NULL ELSE b END v,
+  a u, CASE WHEN k IN (0, 5) OR (k = 7 AND seq % 160 = 7) THEN NULL ELSE b END v,
   CASE WHEN k IN (0, 1, 2, 4) THEN 1 + seq % 3 WHEN k IN (3, 5) THEN 2 + seq % 5 END w FROM ev0),
 vx AS (SELECT seq, u, op kind, CASE op WHEN '-v' THEN 0 ELSE coalesce(w, 1) END w FROM EV WHERE op IN ('+v', 'vw', '-v')
   UNION ALL SELECT seq, u, 'ensure', 0 FROM EV WHERE op IN ('+e', 'ew') AND u <> v UNION ALL SELECT seq, v, 'ensure', 0 FROM EV WHERE op IN ('+e', 'ew') AND u <> v),
@@ -651,9 +659,11 @@ def graph_events(spark: SparkSession, d: str) -> DataFrame:
     seq, k = F.col("event_id"), F.col("event_id") % 8
     removal = (k == 7) & (seq % 160 == 7)
     op = F.when(k == 0, "+v").when(k.isin(1, 2, 4), "+e").when(k == 3, "ew").when(k == 5, "vw").when(k == 6, "-e").when(removal, "-v").otherwise("+e")
-    v = F.when(~(k.isin(0, 5) | removal), (seq * 7 + F.col("user_id")) % 61)
+    events = guests._table(spark, d, "events")
+    users = (events.agg(F.max("user_id")).first()[0] or 0) + 1
+    v = F.when(~(k.isin(0, 5) | removal), (seq * 7 + F.col("user_id")) % users)
     w = F.when(k.isin(0, 1, 2, 4), 1 + seq % 3).when(k.isin(3, 5), 2 + seq % 5)
-    return guests._table(spark, d, "events").select(seq.alias("seq"), op.alias("op"), (F.col("user_id") % 61).alias("u"), v.alias("v"), w.alias("w"))
+    return events.select(seq.alias("seq"), op.alias("op"), F.col("user_id").cast("long").alias("u"), v.cast("long").alias("v"), w.alias("w"))
 
 
 @add("dyn_events", f"WITH {EVENT_SQL} SELECT seq, op, u, v, w FROM EV")
@@ -697,22 +707,43 @@ def dyn_place_new(spark, d):
     return placed.where("u % 9 = 0").select("u", F.col("pid").alias("new_id"))
 
 
-# Solvers (111-181, 188-193): results depend on hashes and kernels, tests hold their invariants ------------------------------------------------------
+# Solvers (111-181, 188-193): which solution comes out depends on hashes and kernels; the queries return what must hold of it, counted on the solution
+# itself, and SQL counts the same on the tables ------------------------------------------------------
+
+
+def _held(name: str, graph: str, columns: str) -> Callable:
+    return add(name, f"WITH {graph} SELECT {columns} FROM V")
+
+
+def _matched(g: Graph, pairs: DataFrame, cap: int | None = None, assign: DataFrame | None = None) -> DataFrame:
+    """One row: n, weight; whether the pairs are disjoint, are edges, weigh `cap` at most, and no further edge could be matched."""
+    one = coarsen.ends(pairs)
+    rated = coarsen.rated(g.vertices, g.edges, "weight", cap, assign)
+    free = g.vertices.select("u").join(one, "u", "left_anti")
+    left = rated.join(free, "u", "left_semi").join(free.select(F.col("u").alias("v")), "v", "left_semi").count()
+    strange = pairs.join(rated.select("u", "v"), ["u", "v"], "left_anti").count()
+    row = g.vertices.agg(F.count("*").alias("n"), F.sum("vw").cast("long").alias("weight"))
+    return row.withColumns({"is_disjoint": F.lit(one.count() == one.distinct().count()), "are_edges": F.lit(strange == 0), "is_maximal": F.lit(left == 0)})
+
+
+MATCHED = "count(*) n, sum(vw)::BIGINT weight, TRUE is_disjoint, TRUE are_edges, TRUE is_maximal"
 
 
-@add("coarsen_matching")
+@_held("coarsen_matching", GRID, MATCHED)
 def coarsen_matching(spark, d):
     g = guests.part_grid(spark, d)
-    return coarsen.matching(g.vertices, g.edges, cap=100, seed=1)
+    return _matched(g, coarsen.Rounds(spark).keep(coarsen.matching(g.vertices, g.edges, cap=100, seed=1)), 100)
 
 
-@add("coarsen_lp")
+@_held("coarsen_lp", GRID, "count(*) n, sum(vw)::BIGINT weight, TRUE fits, TRUE shrinks")
 def coarsen_lp(spark, d):
     g = guests.part_grid(spark, d)
-    return coarsen.cluster(g, 200, 4, seed=1)
+    clusters = coarsen.Rounds(spark).keep(coarsen.cluster(g, 200, 4, seed=1))
+    sizes = clusters.join(g.vertices, "u").groupBy("c").agg(F.count("*").alias("many"), F.sum("vw").alias("cw"))
+    return sizes.agg(F.sum("many").alias("n"), F.sum("cw").cast("long").alias("weight"), (F.max("cw") <= 200).alias("fits"), (2 * F.count("*") < F.sum("many")).alias("shrinks"))
 
 
-@add("match_paths")
+@_held("match_paths", GRID, "count(*) n, sum(vw)::BIGINT weight, TRUE is_disjoint, TRUE are_edges")
 def match_paths(spark, d):
     """Global paths in each block of the grid."""
     g, a, ea = grid_modulo(spark, d)
@@ -722,89 +753,154 @@ def match_paths(spark, d):
         got = global_paths([(float(r.w), int(r.u), int(r.v)) for r in es.itertuples() if r.u < r.v])
         return pd.DataFrame(got, columns=["u", "v"])
 
-    return inner.groupBy("pid").applyInPandas(run, "u long, v long")
+    return _matched(g, coarsen.Rounds(spark).keep(inner.groupBy("pid").applyInPandas(run, "u long, v long")), None, a).drop("is_maximal")
 
 
+def _placed(g: Graph, a: DataFrame, m: Machine, eps: float, start: DataFrame | None = None) -> DataFrame:
+    """One row: n, weight, k; whether all vertices are placed once, on the machine, within the limit, no block is empty, and the cost isn't above that of the
+    start (a modulo placement, if none is given)."""
+    a = coarsen.Rounds(g.edges.sparkSession).keep(a)
+    start = modulo(g, m.k) if start is None else start
+    row = g.vertices.agg(F.count("*").alias("n"), F.sum("vw").cast("long").alias("weight"))
+    weight = row.first()["weight"]
+    most = scalars.lmax(weight, m.k, eps)
+    whole = a.join(g.vertices, "u").agg(F.count("*").alias("n"), F.sum("vw").alias("w"), F.count_distinct("u").alias("d")).first()
+    inside = a.where((F.col("pid") < 0) | (F.col("pid") >= m.k)).count() == 0
+    balance = [metrics.balance(metrics.block_weights(g.vertices, x, m.k), most).first() for x in (a, start)]
+    return row.withColumns({
+        "k": F.lit(m.k).cast("long"), "is_complete": F.lit(whole["n"] == whole["d"] and whole["w"] == weight and inside), "fits": F.lit(balance[0]["overload"] <= 0 or balance[0]["overload"] < balance[1]["overload"]),
+        "none_empty": F.lit(balance[0]["n_empty"] == 0), "no_worse": F.lit(refine.cost(g, a, m) <= refine.cost(g, start, m)),
+    })
 
-def _report(spark, g, a, m):
-    return metrics.solution_report(g.vertices, g.edges, a, m, EPS)
+
+def placed_well(k: int) -> str:
+    return f"count(*) n, sum(vw)::BIGINT weight, {k}::BIGINT k, TRUE is_complete, TRUE fits, TRUE none_empty, TRUE no_worse"
+
+
+M22, M222 = Machine.parse("2:2", "1:10"), Machine.parse("2:2:2", "1:10:100")
+COARSE = GRID.replace("V AS (SELECT p_partkey u, p_size::BIGINT vw FROM part)", "V AS (SELECT p_partkey // 20 * 20 u, sum(p_size)::BIGINT vw FROM part GROUP BY 1)")
 
 
 def _solvers() -> None:
     def initial(method):
         def f(spark, d):
             g = guests.part_grid(spark, d)
-            mapping = coarsen.Rounds(spark).keep(_mapping(g, 20))
-            small = coarsen.contract(g, mapping)
-            most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 4, EPS)
-            return solver.initial(small, Machine.parse("2:2", "1:10"), most, method, 2)
+            state = coarsen.Rounds(spark)
+            small = coarsen.contract(g, state.keep(_mapping(g, 20)))
+            small = Graph(state.keep(small.vertices), state.keep(small.edges))
+            most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 4, 0.1)
+            start = small.vertices.select("u", (F.col("u") / 20 % 4).cast("long").alias("pid"))
+            return _placed(small, solver.initial(small, M22, most, method, 2, eps=0.1), M22, 0.1, start)
 
         return f
 
     for method in ("ggg", "flow", "greedy"):
-        add(f"initial_{method}")(initial(method))
+        _held(f"initial_{method}", COARSE, placed_well(4))(initial(method))
 
     def refined(kind):
         def f(spark, d):
             g = guests.part_grid(spark, d)
             a = banded(g, 4, 37)
-            m = Machine.parse("2:2", "1:10")
             most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 4, 0.2)
-            if kind == "lp":
-                return refine.label_propagation(g, a, m, most, 2)
-            return refine.refine_pairs(g, a, m, most, kind, 1)
+            new = refine.label_propagation(g, a, M22, most, 2) if kind == "lp" else refine.refine_pairs(g, a, M22, most, kind, 1)
+            return _placed(g, new, M22, 0.2, a)
 
         return f
 
     for kind in ("lp", "fm", "flow", "swap"):
-        add(f"refine_{kind}")(refined(kind))
+        _held(f"refine_{kind}", GRID, placed_well(4))(refined(kind))
 
 
 _solvers()
 
 
-@add("swap_moves")
+@add("swap_moves", f"""{placed_sql(GRID, 16, "u * 7 % {k}")}, C AS (SELECT u, pu pid, pv id, sum(w)::BIGINT w FROM EA GROUP BY ALL),
+S AS (SELECT * FROM (SELECT S.u, S.v, ({_own_gain('S.u', 'S.pu', 'S.pv')} + {_own_gain('S.v', 'S.pv', 'S.pu')} - 2 * S.w * ({SMALL.sql('S.pu', 'S.pv')}))::BIGINT gain FROM (SELECT u, v, w, pu, pv FROM EA WHERE u < v AND pu <> pv) S) WHERE gain > 0),
+both_ AS (SELECT u, v, gain FROM S UNION ALL SELECT v, u, gain FROM S),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, least(u, v), greatest(u, v)) r FROM both_) WHERE r = 1)
+SELECT a.u, x.pid old_id, y.pid new_id, a.gain FROM best a JOIN best b ON a.u = b.v AND a.v = b.u JOIN A x ON x.u = a.u JOIN A y ON y.u = a.v""")
 def swap_moves(spark, d):
-    g, a, _ = grid_modulo(spark, d)
-    return refine.swap_moves(g, a, SMALL)
+    """Scattered blocks, so that many swaps gain."""
+    g = guests.part_grid(spark, d)
+    return refine.swap_moves(g, g.vertices.select("u", (F.col("u") * 7 % 16).alias("pid")), SMALL)
 
 
-@add("rebalance_full")
+@_held("rebalance_full", GRID, "count(*) n, sum(vw)::BIGINT weight, 16::BIGINT k, TRUE is_complete, TRUE fits")
 def rebalance_full(spark, d):
     g, a, _, _ = _heavy(spark, d)
     most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 16, EPS)
-    return refine.rebalance(g, a, SMALL, most)
+    return _placed(g, refine.rebalance(g, a, SMALL, most), SMALL, EPS, a).drop("none_empty", "no_worse")
 
 
-def _solve(name, f):
-    add(name)(f)
+def _solved(name: str, m: Machine, solve: Callable, graph=guests.part_grid, ctes: str = GRID, eps: float = EPS) -> None:
+    def f(spark, d):
+        g = graph(spark, d)
+        return _placed(g, solve(g, m), m, eps)
+
+    _held(name, ctes, placed_well(m.k))(f)
 
 
-M222 = Machine.parse("2:2:2", "1:10:100")
 for _p in ("fast", "eco", "strong"):
-    _solve(f"solve_{_p}", lambda s, d, p=_p: solver.solve(guests.part_grid(s, d), M222 if p != "strong" else Machine.parse("2:2", "1:10"), EPS, solver.profile_with(p, trials=2, lp=2)))
-_solve("partition_kway", lambda s, d: solver.partition(guests.part_grid(s, d), 4, EPS, solver.profile_with("fast", trials=2, lp=2)))
-_solve("solve_deep", lambda s, d: solver.solve_deep(guests.part_grid(s, d), M222, EPS, solver.profile_with("fast", trials=2, lp=1, pairs=0)))
-_solve("solve_by_levels", lambda s, d: solver.solve_by_levels(guests.part_grid(s, d), Machine.parse("2:2", "1:10"), EPS, solver.profile_with("fast", trials=2, lp=1)))
+    _solved(f"solve_{_p}", M222, lambda g, m, p=_p: solver.solve(g, m, EPS, p))
+_solved("partition_kway", Machine.flat(4), lambda g, m: solver.partition(g, m.k, EPS, "fast"))
+_solved("solve_deep", M222, lambda g, m: solver.solve_deep(g, m, EPS, "fast"))
+_solved("solve_by_levels", M22, lambda g, m: solver.solve_by_levels(g, m, EPS, "fast"))
+# beyond the limit of one task: all levels are coarsened and refined in Spark
+_solved("solve_distributed", M22, lambda g, m: solver.solve(g, m, EPS, solver.profile_with("fast", c=64, lp=2, pairs=1), local_arcs=0))
+# hubs: customers and suppliers, where matching alone leaves most vertices
+_solved("solve_hubs", Machine.flat(2), lambda g, m: solver.solve(g, m, 0.1, solver.profile_with("fast", c=64, lp=2, pairs=1), local_arcs=0), guests.customer_supplier, CS + ", V AS (SELECT DISTINCT u, 1 vw FROM E)", 0.1)
+
+LATE = "seq % 1000 >= 900"
+LATE_SQL = EVENT_SQL.replace("EV AS (", "RAW AS (", 1).replace("\nvx AS (", f"\nEV AS (SELECT * REPLACE (CASE WHEN {LATE} THEN seq + (SELECT max(seq) + 1 FROM RAW) ELSE seq END AS seq) FROM RAW),\nvx AS (", 1)
 
 
-@add("dyn_session")
+@add("dyn_session", f"WITH {LATE_SQL} SELECT (SELECT count(*) FROM SV) n, (SELECT sum(vw)::BIGINT FROM SV) weight, (SELECT count(*) FROM SE) m_edges, TRUE is_complete, TRUE fits")
 def dyn_session(spark, d):
-    """The whole log, a partition, more edits, a refinement: one row of figures."""
-    s = dynamic.Session(spark, Machine.parse("2:2", "1:10"), 0.1, solver.profile_with("fast", trials=1, lp=1, pairs=0))
+    """Most of the log, a partition, the rest of the log, a refinement."""
+    s = dynamic.Session(spark, M22, 0.1, "fast")
     events = graph_events(spark, d)
-    s.apply(events.where("seq % 1000 < 900"))
-    s.profile = "custom"
-    solver.PROFILES.setdefault("custom", solver.profile_with("fast", trials=1, lp=1, pairs=0))
+    s.apply(events.where(f"not ({LATE})"))
     s.partition()
-    top = events.agg(F.max("seq")).first()[0]
-    s.apply(events.where("seq % 1000 >= 900").withColumn("seq", F.col("seq") + top + 1))
-    s.refine_fast(1)
-    return s.stats()
-
-
-@add("command_log")
+    top = events.agg(F.max("seq")).first()[0] or 0
+    s.apply(events.where(LATE).withColumn("seq", F.col("seq") + top + 1))
+    s.refine_fast()
+    out = _placed(s.graph, s.assign, M22, 0.1)
+    return out.withColumn("m_edges", F.lit(s.graph.edges.count() // 2).cast("long")).select("n", "weight", "m_edges", "is_complete", "fits")
+
+
+#: Events of each batch after the first, of a thousand; none removes a vertex.
+BATCHES, LIMIT = 4, 60.0
+BATCH_OF = f"CASE WHEN seq % 1000 < {1000 - BATCHES} THEN 0 ELSE seq % 1000 - {999 - BATCHES} END"
+
+
+@add("dyn_autorefine", f"""WITH RECURSIVE {EVENT_SQL}, L AS (SELECT *, {BATCH_OF} b FROM EV WHERE op <> '-v'),
+made AS (SELECT u, b FROM L WHERE op IN ('+v', 'vw') UNION ALL SELECT u, b FROM L WHERE op IN ('+e', 'ew') AND u <> v UNION ALL SELECT v, b FROM L WHERE op IN ('+e', 'ew') AND u <> v),
+named AS (SELECT u, b FROM L UNION ALL SELECT v, b FROM L WHERE v IS NOT NULL),
+sizes AS (SELECT x.range b, (SELECT count(DISTINCT u) FROM made WHERE made.b <= x.range) n FROM range(1, {BATCHES + 1}) x),
+windows AS (SELECT x.range lo, y.range b, (SELECT count(DISTINCT u) FROM named WHERE named.b > x.range AND named.b <= y.range) touched FROM range(0, {BATCHES}) x, range(1, {BATCHES + 1}) y WHERE x.range < y.range),
+steps(b, lo, touched, n, is_partition) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, FALSE
+  UNION ALL SELECT w.b, CASE WHEN 100.0 * w.touched / z.n >= {LIMIT} THEN w.b ELSE s.lo END, w.touched, z.n, 100.0 * w.touched / z.n >= {LIMIT}
+  FROM steps s JOIN windows w ON w.b = s.b + 1 AND w.lo = s.lo JOIN sizes z ON z.b = w.b)
+SELECT b::BIGINT batch, touched, n, CASE WHEN is_partition THEN 'partition' ELSE 'refine' END choice FROM steps WHERE b > 0""")
+def dyn_autorefine(spark, d):
+    """What autorefine does after each of some small batches: it goes by what was touched since the last partition, not the last refinement."""
+    solver.PROFILES.setdefault("light", solver.profile_with("fast", trials=1, lp=1, pairs=0))
+    s = dynamic.Session(spark, M22, 0.5, "light")
+    events = coarsen.Rounds(spark).keep(graph_events(spark, d).where("op <> '-v'").withColumn("b", F.expr(BATCH_OF)))
+    top = (events.agg(F.max("seq")).first()[0] or 0) + 1
+    rows = []
+    for b in range(BATCHES + 1):
+        s.apply(events.where(F.col("b") == b).withColumn("seq", F.col("seq") + b * top).drop("b"))
+        if not b:
+            s.partition()
+            continue
+        rows.append((b, s.unsettled.count(), s.graph.vertices.count(), s.autorefine(LIMIT, "light")))
+    return spark.createDataFrame(rows, "batch long, touched long, n long, choice string")
+
+
+@add("command_log", """SELECT * FROM (VALUES (1::BIGINT, '+v', 1::BIGINT, NULL::BIGINT, 2::BIGINT, FALSE), (2, '+e', 1, 2, 3, FALSE), (4, 'save_partition', NULL, NULL, NULL, TRUE),
+  (5, 'vw', NULL, NULL, NULL, TRUE), (6, '-e', 1, 2, NULL, FALSE), (7, 'stats', NULL, NULL, NULL, FALSE)) t(seq, op, u, v, w, rejected)""")
 def command_log(spark, d):
     """Parsed commands with what was rejected."""
     return files.command_list(spark, ["# a comment", "+v 1 2", "+e 1 2 3", "", "save_partition x", "vw 1", "-e 1 2", "stats"]).select("seq", "op", "u", "v", "w", "rejected")
-

@@ -14,21 +14,24 @@ from meshwork.kernels.local import Local
 from meshwork.kernels.split import split
 from meshwork.operators import coarsen, metrics, refine
 from meshwork.operators.coarsen import Rounds
+from meshwork.sources.files import write_metis
 from meshwork.sources.graph import Graph
 
 
 @dataclass(frozen=True)
 class Profile:
-    """c: the coarsest graph has about k * c vertices; trials: seeds of the initial placement; lp, pairs, flow: rounds of each refiner."""
+    """c: the coarsest graph has about k * c vertices; trials: seeds of the initial placement; lp, pairs, flow: rounds of each refiner;
+    again: how often a pair's cut is replaced in a round of flows; cycles: how often the solve is repeated inside the blocks."""
 
     c: int = 8
     coarsening: str = "matching"
     rating: str = "expansion_star"
     initial: str = "flow"
-    trials: int = 3
+    trials: int = 6
     lp: int = 5
-    pairs: int = 1
+    pairs: int = 2
     flow: int = 0
+    again: int = 5
     alpha: float = 2.0
     swaps: int = 0
     cycles: int = 0
@@ -36,10 +39,10 @@ class Profile:
 
 PROFILES = {
     "fast": Profile(),
-    "eco": Profile(trials=4, flow=1),
-    "strong": Profile(c=64, trials=8, pairs=2, flow=2),
-    "super-strong": Profile(c=64, trials=8, pairs=2, flow=2, alpha=8.0, cycles=1),
-    "experimental": Profile(coarsening="clustering", trials=3, flow=1, swaps=1),
+    "eco": Profile(trials=8, flow=5),
+    "strong": Profile(c=64, trials=16, flow=5),
+    "super-strong": Profile(c=64, trials=16, flow=5, again=10, alpha=8.0, cycles=2),
+    "experimental": Profile(coarsening="clustering", flow=1, swaps=1),
 }
 
 
@@ -47,7 +50,7 @@ def _weight(graph: Graph) -> int:
     return graph.vertices.agg(F.coalesce(F.sum("vw"), F.lit(0))).first()[0]
 
 
-#: Graphs of so many arcs at most are solved in one task (each trial in its own).
+#: Graphs of so many arcs at most are solved in one task (each trial in its own); a parameter of the solvers. 0: all levels run in Spark.
 LOCAL_ARCS = 200_000
 
 
@@ -56,7 +59,7 @@ def _trial_kernel(m: Machine, lmax: int, weight: int, eps: float, p: Profile, me
         vs = vs.sort_values("u")
         trial = int(key[0])
         g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
-        pid = multilevel.solve(g, m, lmax, weight, eps, p.c, method, p.lp, p.pairs, p.flow, p.alpha, seed * 1000 + trial)
+        pid = multilevel.solve(g, m, lmax, weight, eps, p.c, method, p.lp, p.pairs, p.flow, p.alpha, seed * 1000 + trial, p.again)
         loads = [0] * m.k
         for w, b in zip(g.vw, pid, strict=True):
             loads[b] += w
@@ -79,24 +82,36 @@ def initial(graph: Graph, m: Machine, lmax: int, method: str = "flow", trials: i
     return tried.join(F.broadcast(best), "trial").select("u", "pid")
 
 
-def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataFrame | None = None, seed: int = 0, most: int = 30, local: bool = False) -> list[tuple[Graph, DataFrame]]:
-    """[(graph, mapping to the next coarser)], finest first, until `target` vertices or a level shrinks by less than 5 %."""
+def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataFrame | None = None, seed: int = 0, most: int = 60, local_arcs: int = 0) -> list[tuple[Graph, DataFrame]]:
+    """[(graph, mapping to the next coarser)], finest first, until `target` vertices, or `local_arcs` arcs. Where matching leaves more than
+    half of the vertices, those with common neighbours are paired; where clustering stalls, clusters of one are merged; where that isn't enough
+    either, any two vertices. So only the cap ends it: below twice the weight / cap, a bounded number, vertices are left."""
     state = Rounds(graph.edges.sparkSession)
     out, n = [], graph.vertices.count()
     for level in range(most):
-        if n <= target or (local and graph.edges.count() <= LOCAL_ARCS):
+        if n <= target or (local_arcs and graph.edges.count() <= local_arcs):
             break
         if p.coarsening == "clustering":
-            mapping = coarsen.cluster(graph, max(1, cap), 3, seed=seed + level, assign=assign)
+            clusters = coarsen.cluster(graph, max(1, cap), 3, seed=seed + level, assign=assign)
+            if assign is None and clusters.select("c").distinct().count() > 0.5 * n:
+                clusters = coarsen.merge_singletons(graph, clusters, max(1, cap))
+            mapping = state.keep(clusters)
+            count = mapping.select("c").distinct().count()
         else:
-            pairs = coarsen.matching(graph.vertices, graph.edges, p.rating, cap, assign, seed + level, target=0.8)
-            mapping = coarsen.mapping_of(graph.vertices, pairs)
-        mapping = state.keep(mapping)
-        small = coarsen.contract(graph, mapping)
-        small = Graph(state.keep(small.vertices), state.keep(small.edges))
-        count = small.vertices.count()
+            pairs = state.keep(coarsen.matching(graph.vertices, graph.edges, p.rating, cap, assign, seed + level, target=0.8))
+            if 2 * pairs.count() < 0.5 * n:
+                pairs = coarsen.two_hop(graph.vertices, graph.edges, pairs, cap, assign)
+            count = n - pairs.count()
+            if count <= 0.95 * n:
+                mapping = state.keep(coarsen.mapping_of(graph.vertices, pairs))
+        if count > 0.95 * n:
+            pairs = state.keep(coarsen.pair_any(graph.vertices, pairs if p.coarsening != "clustering" else graph.edges.select("u", "v").limit(0), cap, assign))
+            count = n - pairs.count()
+            mapping = state.keep(coarsen.mapping_of(graph.vertices, pairs))
         if count > 0.95 * n:
             break
+        small = coarsen.contract(graph, mapping)
+        small = Graph(state.keep(small.vertices), state.keep(small.edges))
         out.append((graph, mapping))
         if assign is not None:
             assign = state.keep(coarsen.contract_assign(assign, mapping))
@@ -105,6 +120,13 @@ def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataF
     return out
 
 
+def filled(graph: Graph, assign: DataFrame, m: Machine, lmax: int) -> DataFrame:
+    """No block stays empty while others hold several vertices."""
+    if metrics.balance(metrics.block_weights(graph.vertices, assign, m.k), lmax).first()["n_empty"]:
+        assign = Rounds(graph.edges.sparkSession).keep(refine.fill_empty(graph, assign, m, lmax))
+    return assign
+
+
 def improve(graph: Graph, assign: DataFrame, m: Machine, lmax: int, p: Profile, seed: int = 0) -> DataFrame:
     assign = refine.rebalance(graph, assign, m, lmax)
     assign = refine.label_propagation(graph, assign, m, lmax, p.lp, seed)
@@ -113,13 +135,13 @@ def improve(graph: Graph, assign: DataFrame, m: Machine, lmax: int, p: Profile,
     if p.swaps:
         assign = refine.refine_pairs(graph, assign, m, lmax, "swap", p.swaps)
     if p.flow:
-        assign = refine.refine_pairs(graph, assign, m, lmax, "flow", p.flow, p.alpha)
+        assign = refine.refine_pairs(graph, assign, m, lmax, "flow", p.flow, p.alpha, again=p.again)
     return assign
 
 
-def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0, levels: list | None = None) -> DataFrame:
+def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0, levels: list | None = None, local_arcs: int | None = None, dump: str | None = None) -> DataFrame:
     """(u, pid): a placement on the machine with block weights up to ceil((1 + eps) * W / k). `levels` collects a row of figures for each
-    level."""
+    level; `dump` names a folder for the coarsest graph, as a METIS graph."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
     state = Rounds(graph.edges.sparkSession)
     graph = Graph(state.keep(graph.vertices), state.keep(graph.edges))
@@ -127,8 +149,10 @@ def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile =
     most = limit(weight, m.k, eps)
     if not weight:
         return graph.vertices.select("u", F.lit(0).cast("long").alias("pid"))
-    stack = coarse_levels(graph, m.k * p.c, max(1, weight // (m.k * 2)), p, seed=seed, local=True)
+    stack = coarse_levels(graph, m.k * p.c, max(1, weight // (m.k * 2)), p, seed=seed, local_arcs=LOCAL_ARCS if local_arcs is None else local_arcs)
     coarsest = stack[-1][0]
+    if dump is not None:
+        write_metis(coarsest, dump)
     assign = state.keep(initial(coarsest, m, most, p.initial, p.trials, seed, weight, eps, p))
     if levels is not None:
         levels.append(_figures(coarsest, assign, m, most, len(stack) - 1))
@@ -145,7 +169,7 @@ def solve(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile =
         assign = improve(stack[-1][0], state.keep(assign), m, most, p, seed)
         for g, mapping in reversed(stack[:-1]):
             assign = improve(g, state.keep(coarsen.project(assign, mapping)), m, most, p, seed)
-    return assign
+    return filled(graph, state.keep(assign), m, most)
 
 
 def _figures(graph: Graph, assign: DataFrame, m: Machine, lmax: int, level: int) -> dict:
@@ -157,9 +181,9 @@ def level_table(spark: SparkSession, levels: list[dict]) -> DataFrame:
     return spark.createDataFrame(levels, "level int, n long, m long, qap long, max_weight long, lmax long, n_empty long, n_overloaded long")
 
 
-def partition(graph: Graph, k: int, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0) -> DataFrame:
+def partition(graph: Graph, k: int, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0, local_arcs: int | None = None) -> DataFrame:
     """(u, pid): k blocks with a small edge cut; a mapping onto a flat machine."""
-    return solve(graph, Machine.flat(k), eps, profile, seed)
+    return solve(graph, Machine.flat(k), eps, profile, seed, local_arcs=local_arcs)
 
 
 def solve_by_levels(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0, top: int = 1) -> DataFrame:
@@ -186,7 +210,7 @@ def solve_by_levels(graph: Graph, m: Machine, eps: float = 0.03, profile: str |
     return refine.rebalance(graph, state.keep(out), m, limit(weight, m.k, eps))
 
 
-def solve_deep(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0) -> DataFrame:
+def solve_deep(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0, local_arcs: int | None = None) -> DataFrame:
     """For very many PEs: only the outermost level is split on the coarsest graph; blocks are split further while uncoarsening, as soon as
     the level's graph is large enough for them. Child i of a block has the id block + stride * i."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
@@ -194,7 +218,7 @@ def solve_deep(graph: Graph, m: Machine, eps: float = 0.03, profile: str | Profi
     graph = Graph(state.keep(graph.vertices), state.keep(graph.edges))
     weight = _weight(graph)
     final = limit(weight, m.k, eps)
-    if weight and graph.edges.count() <= LOCAL_ARCS:  # the kernel goes level by level in one task
+    if weight and graph.edges.count() <= (LOCAL_ARCS if local_arcs is None else local_arcs):  # the kernel goes level by level in one task
         return initial(graph, m, final, p.initial, p.trials, seed, weight, eps, p)
     stack = coarse_levels(graph, m.sizes[-1] * p.c, max(1, weight // (m.sizes[-1] * 4)), p, seed=seed)
     split_to = 0

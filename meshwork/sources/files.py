@@ -59,10 +59,8 @@ def dense(graph: Graph) -> tuple[Graph, DataFrame]:
 
 def metis_lines(graph: Graph, weights: bool = True) -> DataFrame:
     """(u, value): the vertex lines of a graph with ids 0..n-1."""
-    item = F.concat_ws(" ", F.col("e.v") + 1, F.col("e.w")) if weights else (F.col("e.v") + 1).cast("string")
     near = graph.edges.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("es"))
     one = lambda e: F.concat_ws(" ", (e["v"] + 1).cast("string"), e["w"].cast("string")) if weights else (e["v"] + 1).cast("string")
-    del item
     text = F.concat_ws(" ", F.transform(F.coalesce("es", F.array().cast("array<struct<v:bigint,w:bigint>>")), one))
     joined = graph.vertices.join(near, "u", "left")
     value = F.when(text == "", F.col("vw").cast("string")).otherwise(F.concat_ws(" ", F.col("vw").cast("string"), text)) if weights else text
@@ -88,9 +86,9 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(graph: Graph) -> DataFrame:
-    """One row that tells graphs apart: the xor of the hashes of all vertices and edges."""
-    parts = graph.vertices.select(F.xxhash64(F.lit("v"), "u", "vw").alias("h")).unionByName(graph.edges.select(F.xxhash64(F.lit("e"), "u", "v", "w").alias("h")))
-    return parts.agg(F.bit_xor("h").alias("graph_hash"))
+    """One row that tells graphs apart: the xor of 60 bits of the MD5 of all vertices and edges."""
+    text = graph.vertices.select(F.concat_ws(" ", F.lit("v"), "u", "vw").alias("x")).unionByName(graph.edges.select(F.concat_ws(" ", F.lit("e"), "u", "v", "w").alias("x")))
+    return text.agg(F.bit_xor(F.conv(F.substring(F.md5(F.col("x").cast("binary")), 1, 15), 16, 10).cast("long")).alias("graph_hash"))
 
 
 def write_dataset(graph: Graph, assign: DataFrame, result: dict, path: str) -> None:

@@ -132,8 +132,10 @@ class Session:
         self.state = Rounds(spark)
         self.graph = Graph(spark.createDataFrame([], "u long, vw long"), spark.createDataFrame([], "u long, v long, w long"))
         self.assign: DataFrame | None = None
+        #: Vertices touched since the last refinement or partition, and since the last partition (which `autorefine` goes by).
         self.touched = spark.createDataFrame([], "u long")
-        self.last, self.migrated, self.times, self.rejected = -1, 0, [], []
+        self.unsettled = spark.createDataFrame([], "u long")
+        self.last, self.migrated, self.times, self.rejected, self.choices = -1, 0, [], [], []
 
     # edits -------------------------------------------------------------------------------------------------------
 
@@ -146,7 +148,9 @@ class Session:
             return
         base = self.graph.vertices.select(F.lit(-2).cast("long").alias("seq"), F.lit("vw").alias("op"), "u", F.lit(None).cast("long").alias("v"), F.col("vw").alias("w"))
         base = base.unionByName(self.graph.edges.where("u < v").select(F.lit(-2).cast("long").alias("seq"), F.lit("ew").alias("op"), "u", "v", "w"))
-        self.touched = self.state.keep(self.touched.unionByName(dirty(new, self.graph.edges)).distinct())
+        marked = self.state.keep(dirty(new, self.graph.edges))
+        self.touched = self.state.keep(self.touched.unionByName(marked).distinct())
+        self.unsettled = self.state.keep(self.unsettled.unionByName(marked).distinct())
         now = snapshot(base.unionByName(new))
         self.graph = Graph(self.state.keep(now.vertices), self.state.keep(now.edges))
         self.last = top
@@ -165,35 +169,31 @@ class Session:
         if self.assign is not None:
             new = align(self.graph.vertices, self.assign, new, self.m)
         self._accept(new)
+        self.unsettled = self.spark.createDataFrame([], "u long")
 
     def refine_fast(self, rounds: int = 5, only_touched: bool = False) -> None:
-        """Places new vertices, then refines by label propagation, on the whole graph or around what was touched."""
+        """Places new vertices, then refines by label propagation: all vertices may move, or only those that were touched and their neighbours."""
         most = self.limit
         now = self.assign if self.assign is not None else self.spark.createDataFrame([], "u long, pid long")
         now = self.state.keep(place_new(self.graph, now, self.m, most))
-        graph = self.graph
-        if only_touched:
-            near = graph.edges.join(self.touched, "u", "left_semi")
-            graph = Graph(graph.vertices, near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).distinct())
         now = refine.rebalance(self.graph, now, self.m, most)
-        if not only_touched:
-            now = refine.label_propagation(graph, now, self.m, most, rounds, self.seed)
-        else:
-            near = self.touched.unionByName(graph.edges.select("u")).distinct()
-            own = refine.label_propagation(self.graph, now, self.m, most, rounds, self.seed)
-            moved = own.join(near, "u", "left_semi")
-            cand = self.state.keep(now.join(moved.select("u"), "u", "left_anti").unionByName(moved))
-            if refine.cost(self.graph, cand, self.m) <= refine.cost(self.graph, now, self.m):
-                now = refine.rebalance(self.graph, cand, self.m, most)
-        self._accept(now)
-
-    def autorefine(self, percent: float, profile: str | None = None) -> str:
-        """A full partition if at least `percent` of the vertices were touched, else a refinement."""
-        n = max(1, self.graph.vertices.count())
-        if self.assign is None or 100 * self.touched.count() / n >= percent:
+        may = None
+        if only_touched:
+            near = self.graph.edges.join(self.touched, "u", "left_semi").select(F.col("v").alias("u"))
+            may = self.state.keep(self.touched.unionByName(near).distinct())
+        self._accept(refine.label_propagation(self.graph, now, self.m, most, rounds, self.seed, may))
+
+    def unsettled_share(self) -> float:
+        """Vertices touched since the last partition, in percent of all."""
+        n = self.graph.vertices.count()
+        return 100.0 * self.unsettled.count() / n if n else 0.0
+
+    def autorefine(self, percent: float = 10.0, profile: str = "fast") -> str:
+        """A full partition if at least `percent` of the vertices were touched since the last one, else a refinement."""
+        if self.assign is None or self.unsettled_share() >= percent:
             self.partition(profile)
             return "partition"
-        self.refine_fast({"fast": 5, "eco": 10}.get(profile or self.profile, 20))
+        self.refine_fast({"eco": 10, "strong": 20}.get(profile, 5))
         return "refine"
 
     def _accept(self, new: DataFrame) -> None:
@@ -243,7 +243,7 @@ class Session:
         elif op == "refine-fast":
             self.refine_fast(int(args[0]) if args else 5)
         elif op == "autorefine":
-            self.autorefine(float(args[0]), args[1] if len(args) > 1 else None)
+            self.choices.append(self.autorefine(float(args[0]) if args else 10.0, args[1] if len(args) > 1 else "fast"))
         elif op == "set-hierarchy":
             self.set_machine(Machine.parse(args[0], args[1]))
         elif op == "save-partition":
