@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.llm.scratch import Scratch
-from meshwork.llm.textbytes import NOT_SPACE, U, blocks, eights, pair, range_codes, run_codes, signed, within, words
+from meshwork.llm.textbytes import NOT_SPACE, U, blocks, eights, mix, pair, range_codes, run_codes, signed, within, words
 
 #: The largest id of a row without one, which sorts it last.
 LAST = 2**63 - 1
@@ -41,8 +41,11 @@ class Bytes:
         self.view = eights(data)
 
     def grams(self):
-        at = np.arange(self.n - self.gram + 1)
-        return range_codes(self.data, at, at + self.gram, 11, self.view)
+        many, code = self.n - self.gram + 1, U(0x9E3779B97F4A7C15)
+        for i in range(0, self.gram, 8):
+            chunk, left = self.view[i : i + many], self.gram - i
+            code = mix((chunk if left >= 8 else chunk & U((1 << 8 * left) - 1)) * U(0xD6E8FEB86659FD93) ^ code)
+        return code
 
     def leads(self, at, n):
         """The first eight of n bytes as numbers of the same order."""
@@ -78,16 +81,9 @@ class Words:
         return self.known[n]
 
     def codes(self, start, end, seed):
-        """Spans of words; all of a length are coded at once."""
-        size, out = end - start, np.zeros(len(start), U)
-        for n in np.unique(size).tolist():
-            own = size == n
-            out[own] = self.runs(n)[start[own]]
-        return mixed(out, size)
-
-
-def mixed(codes, size):
-    return pair(codes, size.astype(U))
+        """Spans of no more than two windows' length are told by their first and their last window, which cover them."""
+        one = self.runs(self.width)
+        return pair(pair(one[start], one[end - self.width]), (end - start).astype(U))
 
 
 def anchors(grams: np.ndarray, reach: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ class Scratch:
         """Writes a step and reads it again; `gone` are steps that no later one reads."""
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         del df
@@ -66,10 +67,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def collect_garbage(self) -> None:
-        """Lets Spark's cleaner remove shuffle files that no plan refers to any more."""
+        """Lets Spark's cleaner remove shuffle files that no plan refers to any more; once more a little later, when the listeners have let go of the step's plan."""
         gc.collect()
-        with contextlib.suppress(Exception):
-            self.spark._jvm.System.gc()
+
+        def in_jvm():
+            with contextlib.suppress(Exception):
+                self.spark._jvm.System.gc()
+
+        in_jvm()
+        later = threading.Timer(1.5, in_jvm)
+        later.daemon = True
+        later.start()
 
 
 def n_parts(spark: SparkSession) -> int:

@@ -6,9 +6,9 @@
    what follows the anchor and once by what precedes it, with the lengths of the prefixes that neighbours share. A window at
    distance d from its anchor is repeated if another suffix shares `width - d` bytes behind the anchor and d before it, which are
    runs of the two orders.
-3. Runs that are long, or touch an end of their partition, aren't compared in one task: their spans are cut into smaller blocks of windows, whose
-   heads are longer, and at last into single windows. These carry a 128-bit digest of all their bytes, and equal neighbours are repeated; the few at the ends of
-   partitions are compared with each other.
+3. Runs that are long, or touch an end of their partition, aren't compared in one task. Their spans get a 128-bit digest of all their bytes; those of equal
+   digest are repeated, and only one of them goes on. What is left is cut into smaller blocks of windows, whose heads are longer, and at
+   last into single windows; the few at the ends of partitions are compared with each other.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ WIDTH = 200
 MOST, CHUNK = 4096, 16384
 #: About so many suffixes share a bucket.
 PER_BUCKET = 400_000
-ROWS = "size int, lead long, head long, k long, at long"
 #: What a step says of a row: windows that are repeated (at: first window and count), suffix to compare, suffix to cut finer, window at a partition's end.
 DONE, SHORT, FINER, END = 0, 1, 2, 3
-SAID = "kind int, size int, lead long, head long, k long, at long"
+SAID = "kind int, size int, lead long, head long, first long, second long, k long, at long"
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -63,43 +62,52 @@ def _within_text(seq: Bytes, row, start, n, off):
     return stay, done
 
 
-def _suffixes(size: int):
-    """Rows of the spans; single windows carry a digest of their bytes. Windows repeated in their own text are told at once."""
+def _done(k, pos, n) -> pa.RecordBatch:
+    zero = np.zeros(len(k), np.int64)
+    return _batch(SAID, np.full(len(k), DONE, np.int32), zero.astype(np.int32), n, zero, zero, zero, k, pos)
+
+
+def _suffixes(size: int, digest: bool):
+    """Rows of the spans, with a digest of all their bytes (first, second) if asked. Windows repeated in their own text are told at once."""
 
     def emit(seq: Bytes, batch, lo, row, start, n, off, shared):
         first, k = seq.first, np.asarray(batch.column("k"), np.int64)
         stay, done = _within_text(seq, row, start, n, off)
         if done.any():
             r, s, m = merged(row[done], start[done], n[done])
-            yield _batch(SAID, np.full(len(r), DONE, np.int32), np.zeros(len(r), np.int32), m, np.zeros(len(r), np.int64), k[r + lo], s - first[r])
+            yield _done(k[r + lo], s - first[r], m)
             row, start, n, off, shared = (x[stay] for x in (row, start, n, off, shared))
-        if size > 1:
-            lead, head = seq.leads(shared, seq.width - size + 1), signed(seq.codes(shared, shared + seq.width - size + 1, 14))
-        else:
-            raw, w = seq.data.tobytes(), seq.width
-            got = np.frombuffer(b"".join(hashlib.blake2b(raw[s : s + w], digest_size=16).digest() for s in start.tolist()), np.int64).reshape(-1, 2)
-            lead, head = got[:, 0], got[:, 1]
-        yield _batch(SAID, np.full(len(row), FINER, np.int32), np.full(len(row), size, np.int32), lead, head, k[row + lo], packed(start - first[row], n, off))
+        all_of_it = np.zeros((len(row), 2), np.int64)
+        if digest:
+            raw = seq.data.tobytes()
+            ends = (start + n + seq.width - 1).tolist()
+            all_of_it = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), ends, strict=True)), np.int64).reshape(-1, 2)
+        lead, head = seq.leads(shared, seq.width - size + 1), signed(seq.codes(shared, shared + seq.width - size + 1, 14))
+        yield _batch(SAID, np.full(len(row), FINER, np.int32), np.full(len(row), size, np.int32), lead, head, all_of_it[:, 0], all_of_it[:, 1], k[row + lo], packed(start - first[row], n, off))
 
     return emit
 
 
-def _sifted(size: int):
-    """Of a sorted partition: suffixes that stand alone go; those of short runs are to be compared, others cut finer. Single windows of a run are repeated."""
+def _sifted(size: int, digest: bool):
+    """Of a sorted partition: suffixes of equal digest are repeated, and one of them goes on; what stands alone goes; suffixes of short runs are to be
+    compared, others cut finer. Of a run of single windows at a partition's end one tells the other end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group, vague in groups_of(batches, ["lead", "head"], MOST):
-            many = np.bincount(group)[group] > 1
-            out = lambda kind, keep, lead, at: _batch(SAID, np.full(int(keep.sum()), kind, np.int32), t["size"][keep], lead[keep], t["head"][keep], t["k"][keep], at[keep])  # noqa: E731, B023
+            size_of = len(group)
+            on = np.ones(size_of, bool)
+            if digest:
+                on[1:] = (group[1:] != group[:-1]) | (t["first"][1:] != t["first"][:-1]) | (t["second"][1:] != t["second"][:-1])
+                cls = np.cumsum(on) - 1
+                alike = np.bincount(cls)[cls] > 1
+                pos, n, _ = unpacked(t["at"][alike])
+                yield _done(t["k"][alike], pos, n)
+            out = lambda kind, keep: _batch(SAID, np.full(int(keep.sum()), kind, np.int32), *(t[x][keep] for x in ("size", "lead", "head", "first", "second", "k", "at")))  # noqa: E731, B023
             if size > 1:
-                yield out(FINER, vague, t["lead"], t["at"])
-                yield out(SHORT, many & ~vague, t["lead"], t["at"])
+                yield out(FINER, vague & on)
+                yield out(SHORT, ~vague & on & (np.bincount(group, on)[group] > 1))
             else:
-                pos = t["at"] >> 16
-                yield out(DONE, many, np.ones_like(pos), pos)
-                first = np.ones(len(group), bool)
-                first[1:] = group[1:] != group[:-1]
-                yield out(END, vague & first, t["lead"], pos)
+                yield out(END, vague & on)
 
     return run
 
@@ -213,7 +221,7 @@ def _compared(width: int):
         # distance d is the window that begins left - d behind the first
         row, d = np.nonzero(out)
         r, s, m = merged(row, x[row] + left[row] - d, np.ones(len(row), np.int64))
-        return _batch(SAID, np.zeros(len(r), np.int32), np.zeros(len(r), np.int32), m, np.zeros(len(r), np.int64), t["k"][r], s)
+        return _done(t["k"][r], s, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
@@ -248,26 +256,31 @@ def repeated_strings(texts: DataFrame, width: int, scratch: Scratch) -> DataFram
     short: list[DataFrame] = []
     told = lambda t: t.where(F.col("kind") == DONE).select("k", F.col("at").alias("pos"), F.col("lead").alias("n"))
     spans: DataFrame | None = None
-    for i, size in enumerate(sizes):
-        if i:
+    levels = [(size, True) for size in sizes]
+    if sizes[0] > 1:
+        levels = [(sizes[0], False), *levels]
+    for size, digest in levels:
+        if spans is not None:
             source = texts.select("k", "text").join(spans.hint("merge"), "k")
         else:
             source = texts.select("k", "text")
-        rows = scratch.save(source.mapInArrow(spans_of(Bytes, width, size, _suffixes(size), bool(i)), SAID), "suffixes")
-        done.append(told(rows))
-        sort = ["lead", "head", "k", "at"]
-        ordered = rows.where(F.col("kind") == FINER).select("size", "lead", "head", "k", "at").repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-        out = scratch.save(ordered.mapInArrow(_sifted(size), SAID), "sifted")
+        rows = scratch.save(source.mapInArrow(spans_of(Bytes, width, size, _suffixes(size, digest), spans is not None), SAID), "suffixes", [] if spans is None else [spans])
+        sort = ["lead", "head", "first", "second", "k", "at"]
+        ordered = rows.where(F.col("kind") == FINER).select("size", *sort).repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+        out = scratch.save(ordered.mapInArrow(_sifted(size, digest), SAID), "sifted")
+        kept = scratch.save(rows.where(F.col("kind") == DONE).unionByName(out.where(F.col("kind").isin(DONE, SHORT))), "kept", [rows])
+        done.append(told(kept))
         if size > 1:
-            short.append(out.where(F.col("kind") == SHORT).select("size", "k", "at"))
+            short.append(kept.where(F.col("kind") == SHORT).select("size", "k", "at"))
             finer = out.where(F.col("kind") == FINER).groupBy("k").agg(F.collect_list("at").alias("spans"))
-            spans = scratch.save(finer, "finer")
+            spans = scratch.save(finer, "finer", [out])
         else:
-            done.append(told(out))
             ends = out.where(F.col("kind") == END)
-            met = ends.groupBy("lead", "head").agg(F.count("*").alias("many")).where("many > 1")
+            same = ["first", "second"]
+            met = ends.groupBy(*same).agg(F.count("*").alias("many")).where("many > 1")
             # at most two runs for each partition, so the list is short whatever the corpus
-            done.append(ends.join(F.broadcast(met), ["lead", "head"]).select("k", F.col("at").alias("pos"), F.lit(1).cast("long").alias("n")))
+            met = ends.join(F.broadcast(met), same)
+            done.append(met.select("k", F.shiftright("at", 16).alias("pos"), F.lit(1).cast("long").alias("n")))
     if short:
         by = lambda size: F.collect_list(F.when(F.col("size") == size, F.col("at"))).alias(f"spans{size}")
         each = short[0]
