@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from meshwork.llm.repeats import Words, covered, distinct_texts, key_of, lists, merged, order_of, packed, spans_of, unpacked
 from meshwork.llm.scratch import Scratch, n_parts
-from meshwork.llm.textbytes import NOT_SPACE, blocks, range_codes, run_codes, signed, words
+from meshwork.llm.textbytes import BLOCK, NOT_SPACE, blocks, range_codes, run_codes, signed, words
 
 WIDTH = 13
 #: References in a block, and spans that ask one reference before it is held once more.
-PER_BLOCK, PER_SALT = 256, 20_000
+PER_BLOCK, PER_SALT = 256, 2_000
 COLUMNS = ["n_words", "n_removed", "factors", "kept"]
 ROWS = "head long, full long, ord long, k long, at long"
 SAID = "kind int, head long, ord long, k long, at long, src long, src_at long"
@@ -175,9 +176,9 @@ class Reference:
         self.at, self.gram = fits[order], grams[fits][order]
         self.of, self.text = self.ord[text[self.at]], text
 
-    def _match(self, codes, i: int, p: int) -> int:
-        """How many words from place i of the text and from place p of the block on have the same codes."""
-        most = min(len(codes) - i, int(self.stop[p]) - p)
+    def _match(self, codes, i: int, p: int, stop: int) -> int:
+        """How many words from place i of the text, which ends at `stop`, and from place p of the block on have the same codes."""
+        most = min(stop - i, int(self.stop[p]) - p)
         step, done = 64, 0
         while done < most:
             m = min(step, most - done)
@@ -187,34 +188,45 @@ class Reference:
             done, step = done + m, step * 4
         return done
 
-    def factors(self, raw: bytes, own: int) -> list[tuple[int, int, int, int]]:
-        """(start, words, id of the reference, place in it) of a text's factors against references of smaller id than `own`."""
+    def factors(self, asked: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(k, start, words, id of the reference, place in it) of the factors of texts (k, id, place of the first word, words) against references of smaller id."""
+        raw = b"\n".join(t for *_, t in asked)
+        off = np.concatenate([[0], np.cumsum([len(t) + 1 for *_, t in asked])])
+        off[-1] -= 1
         data = np.frombuffer(raw, np.uint8)
-        start, end, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
+        start, end, first = words(data, off, NOT_SPACE)
         codes = range_codes(data, start, end, 13)
         grams = run_codes(codes, self.width)
-        lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
-        known = lo < hi
-        known[known] = self.of[lo[known]] < own
-        out, places, i = [], np.flatnonzero(known), 0
-        while True:
-            j = int(np.searchsorted(places, i))
-            if j == len(places):
-                return out
-            i = int(places[j])
-            a = int(lo[i])
-            b = a + int(np.searchsorted(self.of[a : int(hi[i])], own))
-            by_length = sorted(((self._match(codes, i, p), -p) for p in self.at[a:b].tolist()), reverse=True)
-            for n, p in by_length:
-                p = -p
-                if raw[start[i] : end[i + n - 1]] != self.raw[self.start[p] : self.end[p + n - 1]]:  # the codes lied: word by word
-                    n = next((x for x in range(n) if raw[start[i + x] : end[i + x]] != self.raw[self.start[p + x] : self.end[p + x]]), n)
-                if n >= self.width:
-                    text = int(self.text[p])
-                    out.append((i, n, int(self.ord[text]), p - int(self.first[text])))
-                    i += n - self.width  # the next factor may begin at the first window that crosses this one's end
-                    break
-            i += 1
+        lo = np.searchsorted(self.gram, grams)
+        known = np.flatnonzero((lo < len(self.gram)) & (self.gram[np.minimum(lo, max(0, len(self.gram) - 1))] == grams)) if len(self.gram) else np.zeros(0, np.int64)
+        row = np.searchsorted(first, known, "right") - 1
+        fits = known + self.width <= first[row + 1]
+        own = np.array([o for _, o, _, _ in asked], np.int64)
+        fits &= self.of[lo[known]] < own[row]  # the first of equal windows has the smallest id
+        known, row = known[fits], row[fits]
+        hi = np.searchsorted(self.gram, grams[known], "right").tolist()
+        lo, cut = lo[known].tolist(), np.searchsorted(row, np.arange(len(asked) + 1)).tolist()
+        at, known = first.tolist(), known.tolist()
+        for r, (k, order, place, _) in enumerate(asked):
+            j, last, stop = cut[r], cut[r + 1], at[r + 1]
+            while j < last:
+                i = known[j]
+                a, b = lo[j], hi[j]
+                if b - a > 1:
+                    b = a + int(np.searchsorted(self.of[a:b], order))
+                tried = sorted(((self._match(codes, i, p, stop), -p) for p in self.at[a:b].tolist()), reverse=True)
+                for n, p in tried:
+                    p = -p
+                    if raw[start[i] : end[i + n - 1]] != self.raw[self.start[p] : self.end[p + n - 1]]:  # the codes lied: word by word
+                        n = next((x for x in range(n) if raw[start[i + x] : end[i + x]] != self.raw[self.start[p + x] : self.end[p + x]]), n)
+                    if n >= self.width:
+                        text = int(self.text[p])
+                        yield k, place + i - at[r], n, int(self.ord[text]), p - int(self.first[text])
+                        # the next factor may begin at the first window that crosses this one's end
+                        j = bisect.bisect_left(known, i + n - self.width + 1, j, last)
+                        break
+                else:
+                    j += 1
 
 
 FACTORS = "k long, start int, n int, ref long, ref_start int"
@@ -224,27 +236,33 @@ def _parsed(width: int):
     """Streams a partition sorted by block and salt: references first, then the texts that ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, texts, index, out = None, [], None, []
-
-        def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=[x.split()[0] for x in FACTORS.split(", ")])
-            out.clear()
-            return got
+        key, texts, asked, size, index = None, [], [], 0, None
+
+        def answered():
+            nonlocal index, asked, size
+            if index is None:
+                index = Reference(texts, width)
+            out = list(index.factors(asked))
+            asked, size = [], 0
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FACTORS.split(", ")])
 
         for batch in batches:
             for block, salt, kind, k, order, start, text in zip(*(batch.column(x).to_pylist() for x in ("block", "salt", "kind", "k", "ord", "start", "words")), strict=True):
                 if (block, salt) != key:
+                    if asked:
+                        yield answered()
                     key, texts, index = (block, salt), [], None
                 if kind == 0:
                     texts.append((k, order, text))
                     continue
-                if index is None:
-                    index, texts = Reference(texts, width), []
-                out.extend((k, start + i, n, ref, at) for i, n, ref, at in index.factors(text, order))
-            if len(out) > 20_000:
-                yield flush()
-        if out:
-            yield flush()
+                asked.append((k, order, start, text))
+                size += len(text)
+                if size > BLOCK:
+                    yield answered()
+        if asked:
+            yield answered()
 
     return run
 
@@ -285,11 +303,11 @@ def _cut(width: int):
                     mine = range(cut[lo + i], cut[lo + i + 1])
                     factors.append(sorted(({"start": int(pos[j]), "end": int(pos[j] + n[j]), "ref": int(ref[j]), "ref_start": int(ref_at[j])} for j in mine), key=lambda x: (x["start"], x["end"])))
                     if mine:
-                        stay = ~gone[a:b]
-                        kept.append(b" ".join([raw[s:e] for s, e in zip(start[a:b][stay].tolist(), end[a:b][stay].tolist(), strict=True)]).decode())
+                        edge = (np.flatnonzero(np.diff(np.concatenate([[1], gone[a:b], [1]]).astype(np.int8))) + a).tolist()
+                        kept.append(b" ".join([joined_words(raw[start[x] : end[y - 1]]) for x, y in zip(edge[::2], edge[1::2], strict=True)]).decode())
                     else:
                         kept.append(joined_words(raw[off[i] : off[i + 1]]).decode())
-                    removed.append(int(gone[a:b].sum()))
+                    removed.append(int(gone[a:b].sum()) if mine else 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("c").slice(lo, hi - lo), batch.column("ord").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors, pa.list_(FACTOR)), pa.array(kept, pa.string())],
                     names=["c", "ord", *COLUMNS],
