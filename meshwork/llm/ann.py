@@ -174,8 +174,8 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     alike = F.size("x") == dims["dim"]
     # Spark keeps the first k + 1 of a vector in each task before the shuffle
-    first = rows.where(alike).distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
-    one = first.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = rows.where(alike).distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
+    one = few.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = scratch.save(one.select(F.monotonically_increasing_id().alias("c"), "x", "ids", F.col("ids")[0].alias("least")), "classes")
     who = usable(queries).where(alike)
     asked = scratch.save(who.select("x").distinct().select(F.monotonically_increasing_id().alias("c"), "x"), "asked")
@@ -189,30 +189,42 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
         """Vectors with the blocks that they go to, in each ordering."""
         own = ranks.where(F.col("kind") == kind).groupBy("c").agg(F.collect_list(F.struct("curve", "rank")).alias("places"))
         each = table.join(own, "c").withColumn("place", F.explode("places")).drop("places")
-        return each.withColumn("block", blocks(F.col("place.rank"))).withColumn("curve", F.col("place.curve")).drop("place")
+        return each.withColumn("curve", F.col("place.curve")).withColumn("block", blocks(F.col("place.rank"))).drop("place")
 
     data = dealt(0, classes.select("c", "least", "x"), block)
-    ask = dealt(1, asked, lambda rank: F.explode(F.sequence(block(F.greatest(rank - width, F.lit(0))), block(rank + width))))
+    near = dealt(1, asked, block).withColumn("floor", F.lit(float("-inf")))
+    around = F.filter(F.sequence(block(F.greatest(F.col("place.rank") - width, F.lit(0))), block(F.col("place.rank") + width)), lambda b: b != block(F.col("place.rank")))
+    far = dealt(1, asked, lambda rank: F.explode(around))
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
         names, types = ["q", "c", "least", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        c, least, xs, qc, qs = np.asarray(a["c"]), np.asarray(a["least"]), matrix(a["x"]), np.asarray(b["c"]), matrix(b["x"])
+        c, least, xs, qc, qs, floor = np.asarray(a["c"]), np.asarray(a["least"]), matrix(a["x"]), np.asarray(b["c"]), matrix(b["x"]), np.asarray(b["floor"])
         out = []
         for lo in range(0, len(qs), 256):
             q = qs[lo : lo + 256]
             # k + 1 entries by score, then smallest id: each holds an id that comes before any of the entries left out
             row, col, score = _near(q @ xs.T, q, xs, least, None, k + 1)
-            out.append((qc[lo:][row], c[col], least[col], score))
+            above = score >= floor[lo:][row]
+            out.append((qc[lo:][row][above], c[col][above], least[col][above], score[above]))
         return pa.table([pa.array(np.concatenate(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     keys = ["curve", "block"]
     deal = lambda df: df.repartition(n_parts(spark), *keys).groupBy(*keys)
-    found = deal(data).cogroup(deal(ask)).applyInArrow(search, "q long, c long, least long, score double")
     by_entry = Window.partitionBy("q").orderBy(F.desc("score"), "least", "c")
-    merged = found.groupBy("q", "c", "least").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= k + 1)
-    merged = scratch.save(merged.drop("n"), "merged")
+
+    def scored(ask: DataFrame, before: DataFrame | None) -> DataFrame:
+        """The k + 1 best entries of each query, of the blocks asked and those found before."""
+        found = deal(data).cogroup(deal(ask)).applyInArrow(search, "q long, c long, least long, score double")
+        every = found if before is None else found.unionByName(before)
+        merged = every.groupBy("q", "c", "least").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= k + 1)
+        return scratch.save(merged.drop("n"), "merged")
+
+    # first the blocks that a query lies in; the others return only what isn't below the last entry found there
+    first = scored(near, None)
+    floors = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") > k).select(F.col("q").alias("c"), "floor")
+    merged = scored(far.join(floors, "c", "left").fillna(float("-inf"), ["floor"]), first)
     listed = merged.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("id"))
     by_id = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     listed = scratch.save(listed.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).drop("n"), "listed")
