@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from meshwork.llm.scratch import small_batches
 from meshwork.llm.textbytes import ALNUM, LOWER, U, blocks, range_codes, words
@@ -15,9 +15,8 @@ from meshwork.llm.textbytes import ALNUM, LOWER, U, blocks, range_codes, words
 BITS, STEM = 18, 5
 N_WORDS = 1 << BITS
 N_ALL = N_WORDS + 128 + 1
-#: The bound of the sample that the model is fitted on.
-TRAIN_ROWS = 8000
-GRADES = 3
+#: The bounds of the sample that the model is fitted on: texts, and the bytes of one. Longer rated texts aren't learnt from; all texts are scored whole.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 1 << 18
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,6 +58,10 @@ class Ordinal:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
+    @property
+    def grades(self) -> int:
+        return len(self.thresholds) + 1
+
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > j) for each j, columns."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
@@ -71,8 +74,8 @@ class Ordinal:
         """Maximum likelihood over features that earn their place. It begins with the characters' shares; each round fits, then adds the words whose
         gradient at the fitted model is far from chance (z >= least, and half of the largest); so words that only go along with
         others (of one language, say) stay out. A word can only count against a text, else long ones would earn credit by their length."""
-        n = len(grade)
-        model = cls(np.zeros(N_ALL), np.array([-2.0, -1.0]))
+        n, cuts = len(grade), max(1, int(grade.max(initial=1)))
+        model = cls(np.zeros(N_ALL), np.arange(cuts) - float(cuts))
         active, may = np.zeros(N_ALL, bool), candidates(number, n)
         active[N_WORDS:] = True
         for _ in range(most_rounds):
@@ -104,15 +107,19 @@ class Ordinal:
         used, number = np.unique(number, return_inverse=True)
         words = used < N_WORDS
         w = np.asarray(model.weights, np.float64)[used].copy()
-        theta = np.array([model.thresholds[0], np.log(max(1e-3, model.thresholds[1] - model.thresholds[0]))])
+        cuts = len(model.thresholds)
+        # the first threshold, and the logarithms of the steps between them, so they stay in order
+        theta = np.concatenate([model.thresholds[:1], np.log(np.maximum(1e-3, np.diff(model.thresholds)))])
+        ordered = lambda x: np.cumsum(np.concatenate([x[:1], np.exp(x[1:])]))
         m1 = v1 = np.zeros(len(used))
-        m2 = v2 = np.zeros(2)
+        m2 = v2 = np.zeros(cuts)
         for t in range(1, steps + 1):
-            now = cls(w, np.array([theta[0], theta[0] + np.exp(theta[1])]))
+            now = cls(w, ordered(theta))
             d_s, d_hi, d_lo = (x / n for x in now._slopes(np.bincount(row, w[number] * value, n), grade))
             g = np.bincount(number, d_s[row] * value, len(used)) + l2 * w
-            by_cut = np.array([(-d_hi[grade == j]).sum() + d_lo[grade == j + 1].sum() for j in range(2)])
-            g2 = np.array([by_cut.sum(), by_cut[1] * np.exp(theta[1])])
+            by_cut = np.array([(-d_hi[grade == j]).sum() + d_lo[grade == j + 1].sum() for j in range(cuts)])
+            behind = by_cut[::-1].cumsum()[::-1]  # a step moves all thresholds behind it
+            g2 = np.concatenate([behind[:1], behind[1:] * np.exp(theta[1:])])
             step = rate * (1 - t / (steps + 1))
             m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
             m2, v2 = 0.9 * m2 + 0.1 * g2, 0.99 * v2 + 0.01 * g2 * g2
@@ -122,7 +129,7 @@ class Ordinal:
             theta = theta - step * fix * m2 / (np.sqrt(v2) + 1e-8)
         full_w = np.zeros(N_ALL)
         full_w[used] = w
-        return cls(full_w, np.array([theta[0], theta[0] + np.exp(theta[1])]))
+        return cls(full_w, ordered(theta))
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -130,12 +137,15 @@ def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic > 0, 0).when(quality <= 0, 1).when(F.coalesce(quality, toxic).isNotNull(), 2)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "doc_id", grade: str = "grade", rows: int = TRAIN_ROWS) -> Ordinal | None:
-    """The model from at most `rows` rated texts, those of the smallest hashes of the id; None if no text is rated."""
+def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "doc_id", grade: str = "grade", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Ordinal | None:
+    """The model from at most `rows` rated texts of at most `most_bytes` each, those of the smallest hashes of the id; None if no text is rated. Grades are 0, 1, 2, ...
+    up to the largest that occurs. Of several ratings of an id the lowest counts, of several texts of an id the first by SHA-256; ratings and texts without id, and negative grades, play no part."""
     small_batches(docs.sparkSession)
-    rated = ratings.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(grade).cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", "grade")
+    rated = ratings.where((F.col(grade) >= 0) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(grade).cast("int").alias("grade"))
+    chosen = rated.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    # as many rows as were chosen, so the sort and the text of one row an id stay small
+    joined = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("grade").alias("grade"), F.min_by("text", F.sha2("text", 256)).alias("text")).select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +170,10 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
 
 
 def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Adds expected_grade (0 to 2), p_good (the tail probability of the top grade) and keep (p_good >= least).
+    """Adds expected_grade (0 to the top grade), p_good (the tail probability of the top grade) and keep (p_good >= least).
 
     A null or empty text has no features, so the model's prior decides; without a model (no ratings) both figures are null and all is kept. Each row is judged by
-    itself; columns of these names are replaced.
+    itself, repeated ones too, long texts whole; columns of these names are replaced, all others are kept, whatever their names; an empty table gives an empty result.
     """
     names = ["expected_grade", "p_good", "keep"]
     carried = [c for c in docs.columns if c not in names]
@@ -176,10 +186,11 @@ def classify(docs: DataFrame, model: Ordinal | None, text: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ordinal(*sent.value)
         for batch in batches:
-            tails = [own.above(own.scores(*features(data, off), hi - lo)) for lo, hi, data, off in blocks(batch.column("__text"))]
-            p = np.concatenate(tails) if tails else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)], names=carried + names)
-
-    fields = [f for f in docs.schema.fields if f.name in carried]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", expected_grade double, p_good double, keep boolean"
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias("__text")).mapInArrow(run, schema)
+            tails = [own.above(own.scores(*features(data, off), hi - lo)) for lo, hi, data, off in blocks(batch.column(1))]
+            p = np.concatenate(tails) if tails else np.zeros((0, len(own.thresholds)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= least)], names=["row", *names])
+
+    # all columns travel in one struct, so that none can clash with the operator's own
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([whole.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    return whole.mapInArrow(run, schema).select("row.*", *names)
