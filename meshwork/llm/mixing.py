@@ -81,7 +81,7 @@ def _drawn_bins(lean: DataFrame, lacks: DataFrame, scratch: Scratch) -> DataFram
 def _cuts(lean: DataFrame, bins: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
     """(__s, __b, source_size, target, most, places, last): what is drawn of each bin, `last` being the place of the source's closing text."""
     given = table.select(F.col("source").alias("__s"), "source_size", "target")
-    drawn = _drawn_bins(lean, given.select("__s", (F.col("target") - _whole() * F.col("source_size")).alias("__left"), F.lit(0).cast("long").alias("__from")), scratch)
+    drawn = _drawn_bins(lean, given.select("__s", (F.col("target") - _whole() * F.col("source_size")).alias("__left"), F.lit(-(2**62)).cast("long").alias("__from")), scratch)
     if drawn is None:
         drawn = bins.select("__source", "__bin", F.lit(None).cast("double").alias("most"), F.lit(None).cast("array<int>").alias("places")).limit(0)
     names = lambda t: t.withColumnsRenamed({"__source": "__s", "__bin": "__b"})
@@ -108,30 +108,69 @@ def _whole() -> Column:
     return F.floor(ratio + 1e-12).cast("long")
 
 
+def size_class(size: Column) -> Column:
+    """How often a size can be halved: 64 classes at most."""
+    return F.when(size > 0, F.floor(F.log2(size.cast("double")) + 1e-9)).otherwise(0).cast("int")
+
+
+def inclusion(classes: DataFrame, table: DataFrame) -> DataFrame:
+    """(__os, __oc, __p, __r) for each source and size class: the probability that a document is drawn beyond its certain copies, and the factor that its random
+    odds get. classes: (__source, __class, words); table: targets.
+
+    Probabilities are in proportion to 1 + class / 8, which longer documents get more of, up to 1, so that the expected words are what the source lacks: with
+    the classes in falling order, the first level that needn't lift the class at hand above 1 is the right one. The factor is the odds of the source's mean probability over those
+    of the class, so ranks spread over (0, 1).
+    """
+    given = table.select(F.col("source").alias("__s"), "source_size", (F.col("target") - _whole() * F.col("source_size")).alias("lack"))
+    own = classes.join(given, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("w", 1 + F.col("__class") / 8)
+    falling = Window.partitionBy("__source").orderBy(F.desc("__class"))
+    first = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    own = own.withColumn("level", F.when(rest > 0, (F.col("lack") - first) / rest))
+    level = F.max_by(F.when((F.col("level") > 0) & (F.col("level") * F.col("w") <= 1), F.col("level")), F.when((F.col("level") > 0) & (F.col("level") * F.col("w") <= 1), F.col("__class"))).over(Window.partitionBy("__source"))
+    p = F.least(F.lit(1.0), F.coalesce(level, F.lit(0.0)) * F.col("w"))
+    mean = F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0)
+    factor = F.when((p >= 1) | (mean <= 0) | (p <= 0), F.when(p >= 1, 0.0).otherwise(1.0)).otherwise((mean / (1 - mean)) * ((1 - p) / p))
+    return own.select(F.col("__source").alias("__os"), F.col("__class").alias("__oc"), p.alias("__p"), factor.alias("__r"))
+
+
 def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 7, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
     """Adds size (words), source_size, target (of the source), copies and taken (copies * size).
 
-    Each document gets the whole part of target / source_size as certain copies. The rest, an inclusion probability p, is drawn
-    by Pareto order sampling: with u uniform from a hash of id and text, documents of a source are gone through in the order of
-    (u/(1-u)) / (p/(1-p)), which is that of u, as p is the source's. Each that fits in the words that the source still lacks is taken, longer
+    Each document gets the whole part of target / source_size as certain copies. The rest is drawn by Pareto order sampling: a document's inclusion probability p grows
+    with the logarithm of its size (`inclusion`); with u uniform from a hash of id and text, documents of a source are gone through in the order of
+    (u/(1-u)) / (p/(1-p)), those of p = 1 first. Each that fits in the words that the source still lacks is taken, longer
     ones are set aside; at the end the shortest one left is added if at least half of it fits. So a source misses its target by half of its
     shortest text that wasn't drawn, at most. The order is cut into bins of about PER_BIN documents, so no source is ever in one task.
     Reruns give the same; null ids and
     sources are values like others (null source last); a null text has size 0 and is never drawn beyond the certain copies; repeated rows are drawn
-    each for itself, ties in any order; columns of the names above are replaced; an empty table gives an empty result.
+    each for itself, ties in any order; columns of the names above are replaced, all others are kept, whatever their names; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     bins = max(1, docs.count() // PER_BIN)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    own = docs.drop("size", "source_size", "target", "copies", "taken").withColumns({"size": n_words(F.col(text)), "__u": u})
-    own = own.withColumn("__bin", F.floor(F.col("__u") * bins).cast("long")).withColumn("__source", F.col(source).cast("string"))
-    lean = scratch.save(own.select("__source", "__bin", "__u", "size"), "sizes")
-    by_bin = scratch.save(lean.groupBy("__source", "__bin").agg(F.sum("size").alias("words")), "bins")
-    sources = by_bin.groupBy(F.col("__source").alias("source")).agg(F.sum("words").cast("long").alias("source_size"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text"), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    carried = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("__source"))
+    own = own.withColumn("size", n_words(F.col("text"))).withColumn("__class", size_class(F.col("size"))).withColumn("__t", u).drop("text")
+    sizes = scratch.save(own.select("__source", "__class", "__t", "size"), "sizes")
+    classes = scratch.save(sizes.groupBy("__source", "__class").agg(F.sum("size").alias("words")), "classes")
+    sources = classes.groupBy(F.col("__source").alias("source")).agg(F.sum("words").cast("long").alias("source_size"))
     table = scratch.save(targets(sources, scratch, share, most, weights), "targets")
+    odds = scratch.save(inclusion(classes, table), "odds")
+    lean = scratch.save(_ordered(sizes, odds, bins).select("__source", "__bin", "__u", "size"), "order", [sizes])
+    by_bin = scratch.save(lean.groupBy("__source", "__bin").agg(F.sum("size").alias("words")), "bins")
     cuts = _cuts(lean, by_bin, table, scratch)
-    met = own.join(cuts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-    met = met.withColumn("__place", F.row_number().over(Window.partitionBy("__source", "__bin").orderBy("__u", "size", doc_id)))
+    met = _ordered(own, odds, bins).join(cuts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    met = met.withColumn("__place", F.row_number().over(Window.partitionBy("__source", "__bin").orderBy("__u", "size", "id")))
     drawn = _drawn() | F.coalesce(F.col("__place") == F.col("last"), F.lit(False))
     out = met.withColumn("copies", _whole() + drawn.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[c for c in own.columns if not c.startswith("__")], "source_size", "target", "copies", "taken")
+    return out.select("row.*", "size", "source_size", "target", "copies", "taken")
+
+
+def _ordered(rows: DataFrame, odds: DataFrame, bins: int) -> DataFrame:
+    """Adds __u, the rank: random odds over inclusion odds, brought to (0, 1) by the odds' own share, or below 0 for what is certain; and __bin, its bin. The
+    table of odds has a row for each source and class; Spark sends it to all tasks only below its own limit, else both are shuffled."""
+    met = rows.join(odds, F.col("__source").eqNullSafe(F.col("__os")) & (F.col("__class") == F.col("__oc"))).drop("__os", "__oc")
+    t, r = F.col("__t"), F.col("__r")
+    rank = F.when(F.col("__p") >= 1, t - 1).otherwise(t * r / (1 - t + t * r))
+    return met.withColumn("__u", rank).withColumn("__bin", F.floor(F.col("__u") * bins).cast("long")).drop("__t", "__p", "__r", "__class")
