@@ -21,7 +21,6 @@ K, SCALE, DATA_BLOCK, QUERY_BLOCK = 5, 256, 4096, 2048
 #: Depths of the steps, as shares of a list, and the accuracy (one in so many rows) with which the values there are found. The bound holds at any accuracy.
 DEPTHS = (1 / 1024, 1 / 128, 1 / 16)
 ACCURACY = 5000
-FOUND = "query_id long, vec_id long, score double"
 
 
 def list_values(data: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -102,11 +101,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str =
             both = new if found is None else new.unionByName(found)
             found = scratch.save(best(both, k, F.col("score").desc(), F.col("vec_id")).drop("rank"), "best")
         if step < len(DEPTHS) and found is not None:
-            kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
+            kth = found.groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
             left = open_.mapInArrow(_bounded(values, step), "id long, x array<double>, dim int, bound double").join(kth, F.col("id") == F.col("query_id"), "left")
-            open_ = scratch.save(left.where("kth is null or kth <= bound").select("id", "x", "dim"), "queries", [open_])
+            open_ = scratch.save(left.where("kth is null or kth <= bound + 1e-9 * abs(bound)").select("id", "x", "dim"), "queries", [open_])
     if found is None:
-        found = spark.createDataFrame([], FOUND)
+        found = spark.createDataFrame([], _shape(bool(scale)))
     out = best(found, k, F.col("score").desc(), F.col("vec_id"))
     return out.select("query_id", "rank", "vec_id", F.col("score").cast("long") if scale else "score")
 
@@ -125,6 +124,10 @@ def _bounded(values: dict, step: int):
     return run
 
 
+def _shape(whole: bool) -> str:
+    return f"query_id long, vec_id long, score {'long' if whole else 'double'}"
+
+
 def _scored(data: DataFrame, asked: DataFrame, n_data: int, n_asked: int, k: int, whole: bool) -> DataFrame:
     """The k best of each pair of blocks for each query."""
     d_blocks, q_blocks = max(1, -(-n_data // DATA_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
@@ -134,17 +137,17 @@ def _scored(data: DataFrame, asked: DataFrame, n_data: int, n_asked: int, k: int
     right = asked.select("id", "x", "dim", of(2, q_blocks).alias("q"), every(d_blocks).alias("d"))
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names, types = ["query_id", "vec_id", "score"], (pa.int64(), pa.int64(), pa.int64() if whole else pa.float64())
         if not a.num_rows or not b.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
+            return pa.table([pa.array([], t) for t in types], names=names)
         ids, x, asked_ids, q = np.asarray(a["id"]), matrix(a["x"]), np.asarray(b["id"]), matrix(b["x"])
         out = []
         for lo in range(0, len(q), 256):
             s = scores(q[lo : lo + 256], x, whole)
             row, col = top_rows(s, ids, asked_ids[lo : lo + 256], k)
-            out.append((asked_ids[lo:][row], ids[col], s[row, col]))
-        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
+            out.append((asked_ids[lo:][row], ids[col], s[row, col].astype(np.int64) if whole else s[row, col]))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     keys = ["dim", "d", "q"]
     deal = lambda df: df.repartition(n_parts(data.sparkSession), *keys).groupBy(*keys)
-    return deal(left).cogroup(deal(right)).applyInArrow(search, FOUND)
+    return deal(left).cogroup(deal(right)).applyInArrow(search, _shape(whole))

@@ -54,11 +54,12 @@ class Automaton:
         for p, c in step:
             w, b = bit(p)
             self.move[c, w] |= b
-        for p, any_byte in loops:
+        for p, any_byte in sorted(loops):  # of several wildcards at one place, the one for any byte counts
             w, b = bit(p)
+            slash = self.stay[ord("/"), w] if any_byte else self.stay[ord("/"), w] & ~b
             self.stay[:, w] |= b
             if not any_byte:
-                self.stay[ord("/"), w] &= ~b
+                self.stay[ord("/"), w] = slash
         for p in starts:
             w, b = bit(p)
             self.start[w] |= b
