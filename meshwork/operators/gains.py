@@ -103,3 +103,18 @@ def moved_weights(blocks: DataFrame, vertices: DataFrame, moves: DataFrame) -> D
     delta = met.select(F.col("old_id").alias("pid"), (-F.col("vw")).alias("d")).unionByName(met.select(F.col("new_id").alias("pid"), F.col("vw").alias("d")))
     sums = delta.groupBy("pid").agg(F.sum("d").alias("d"))
     return blocks.join(sums, "pid", "left").withColumn("bweight", (F.col("bweight") + F.coalesce("d", F.lit(0))).cast("long")).drop("d")
+
+
+def moved_quotient(quotient: DataFrame, edges: DataFrame, assign: DataFrame, moves: DataFrame) -> DataFrame:
+    """The quotient graph (a, b, w), a < b, after the moves, from the edges of moved vertices alone: what they gave the old pair of blocks goes over to the new one.
+    assign: the placement before the moves."""
+    there = moves.select("u", "new_id")
+    hit = edges.join(there.select("u"), "u", "left_semi")
+    # an edge between two moved vertices is met from both ends and counted from the smaller one
+    both = there.select(F.col("u").alias("v"), F.lit(True).alias("other"))
+    hit = hit.join(both, "v", "left").where("other is null or u < v").select("u", "v", "w")
+    old = assign.select("u", "pid")
+    new = old.join(there, "u", "left").select("u", F.coalesce("new_id", "pid").alias("pid"))
+    sign = lambda where, factor: hit.join(where, "u").join(where.select(F.col("u").alias("v"), F.col("pid").alias("qid")), "v").where("pid <> qid").select(F.least("pid", "qid").alias("a"), F.greatest("pid", "qid").alias("b"), (F.col("w") * factor).alias("w"))
+    delta = sign(old, -1).unionByName(sign(new, 1))
+    return quotient.select("a", "b", "w").unionByName(delta).groupBy("a", "b").agg(F.sum("w").cast("long").alias("w")).where("w <> 0")

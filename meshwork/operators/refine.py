@@ -154,17 +154,22 @@ def pair_frames(graph: Graph, assign: DataFrame, batch: list[tuple[int, int]], m
     return vertices, inner
 
 
-def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel: str = "fm", rounds: int = 1, alpha: float = 2.0, active: set[int] | None = None, again: int = 1) -> DataFrame:
+def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel: str = "fm", rounds: int = 1, alpha: float = 2.0, active: set[int] | None = None, again: int = 1, spaced: bool = False) -> DataFrame:
     """Refines pairs of blocks side by side with two-way local search ("fm"), minimum cuts ("flow") or swaps ("swap"). The quotient graph
-    (at most k^2 / 2 rows) is scheduled on the driver; each pair is a group of two blocks. A batch that does not lower the cost is dropped."""
+    (at most k^2 / 2 rows) is scheduled on the driver and kept up to date from the moves; each pair is a group of two blocks. With `spaced`, no two pairs of a batch
+    are joined by an edge of it. A batch that does not lower the cost is dropped."""
     spark = graph.edges.sparkSession
     state = Rounds(spark)
     assign = state.keep(assign)
     now = cost(graph, assign, m)
-    for _ in range(rounds):
-        pairs = [(r["a"], r["b"], r["w"]) for r in metrics.quotient(metrics.placed(graph.edges, assign)).collect()]
+    quotient = state.keep(metrics.quotient(metrics.placed(graph.edges, assign)).select("a", "b", "w"))
+    for turn in range(rounds):
+        pairs = [(r["a"], r["b"], r["w"]) for r in quotient.collect()]
+        if spaced and active is not None:
+            pairs = [p for p in pairs if p[0] in active or p[1] in active]
         improved: set[int] = set()
-        for batch in schedule(pairs, active):
+        before = assign
+        for batch in distance3_schedule(pairs) if spaced else schedule(pairs, active):
             vertices, inner = pair_frames(graph, assign, batch, m)
             run = _pair_kernel(kernel, batch, m, lmax, alpha, again)
             moves = state.keep(vertices.groupBy("pair").cogroup(inner.groupBy("pair")).applyInPandas(run, "u long, old_id long, new_id long"))
@@ -179,6 +184,9 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
         if not improved:
             break
         active = improved
+        if turn + 1 < rounds:
+            moved = before.join(assign.select("u", F.col("pid").alias("new_id")), "u").where("pid <> new_id").select("u", "new_id")
+            quotient = state.keep(gains.moved_quotient(quotient, graph.edges, before, moved))
     return assign
 
 

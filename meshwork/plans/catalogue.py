@@ -400,6 +400,15 @@ def moved_conn(spark, d):
     return gains.moved_conn(conn, g.edges, moves)
 
 
+@add("moved_quotient", f"""{GRID_SMALL}, N AS (SELECT u, CASE WHEN u % 5 = 0 THEN (pid + 1) % 16 ELSE pid END pid FROM A)
+SELECT least(x.pid, y.pid) a, greatest(x.pid, y.pid) b, sum(w)::BIGINT w FROM E JOIN N x ON E.u = x.u JOIN N y ON E.v = y.u WHERE E.u < E.v AND x.pid <> y.pid GROUP BY 1, 2""")
+def moved_quotient(spark, d):
+    """The quotient graph kept up to date from the moves alone, here of every fifth vertex."""
+    g, a, ea = grid_modulo(spark, d)
+    moves = a.where("u % 5 = 0").select("u", ((F.col("pid") + 1) % 16).alias("new_id"))
+    return gains.moved_quotient(metrics.quotient(ea), g.edges, a, moves)
+
+
 # Coarsening (106-127) ------------------------------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
         if name != "dynamic":
             p.add_argument("--graph", required=True, help="METIS file, or a folder of Parquet tables vertices and edges")
         else:
-            p.add_argument("--commands", required=True, help="command log")
+            p.add_argument("--commands", required=True, help="command log, or - for standard input")
         if name == "partition":
             p.add_argument("--k", type=int, required=True)
         else:
@@ -28,6 +28,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--seed", type=int, default=0)
         p.add_argument("--mapping", help="folder for the placement, a block for each line")
         p.add_argument("--json-output", help="folder for the summary")
+        p.add_argument("--save-coarsest-graph", help="folder for the coarsest graph")
+        p.add_argument("--items", help="folder for the index of the parts of the machine's levels")
+        p.add_argument("--dataset", help="folder of the collection that graph, placement and figures are added to")
         if name == "map":
             p.add_argument("--hm-level", type=int, default=0, help="how many outermost levels are split before solving")
         for f in fields(Profile):

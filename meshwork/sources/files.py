@@ -67,6 +67,11 @@ def metis_lines(graph: Graph, weights: bool = True) -> DataFrame:
     return joined.select("u", value.alias("value"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_metis(graph: Graph, path: str, weights: bool = True) -> None:
     """A folder of text whose parts, in the order of their names, are the METIS file (fmt 011 with weights). Ids must be 0..n-1."""
     n, m = graph.vertices.count(), graph.edges.count()

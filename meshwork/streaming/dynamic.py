@@ -14,11 +14,12 @@ sums, and taking off with a floor of 0 is the running sum less its smallest valu
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meshwork.functions.hierarchy import Machine
+from meshwork.functions.profiler import Profiler
 from meshwork.functions.scalars import lmax as limit
 from meshwork.kernels.assignment import assign as assignment
 from meshwork.operators import gains, metrics, refine
@@ -129,7 +130,7 @@ class Session:
 
     def __init__(self, spark: SparkSession, machine: Machine, eps: float = 0.03, profile: str = "fast", seed: int = 0):
         self.spark, self.m, self.eps, self.profile, self.seed = spark, machine, eps, profile, seed
-        self.state = Rounds(spark)
+        self.state, self.profiler = Rounds(spark), Profiler()
         self.graph = Graph(spark.createDataFrame([], "u long, vw long"), spark.createDataFrame([], "u long, v long, w long"))
         self.assign: DataFrame | None = None
         #: Vertices touched since the last refinement or partition, and since the last partition (which `autorefine` goes by).
@@ -165,9 +166,11 @@ class Session:
         """Solves anew and renames the blocks towards the placement before."""
         from meshwork.plans.solver import solve
 
-        new = solve(self.graph, self.m, self.eps, profile or self.profile, self.seed)
+        with self.profiler.scope("solve"):
+            new = self.state.keep(solve(self.graph, self.m, self.eps, profile or self.profile, self.seed))
         if self.assign is not None:
-            new = align(self.graph.vertices, self.assign, new, self.m)
+            with self.profiler.scope("align"):
+                new = self.state.keep(align(self.graph.vertices, self.assign, new, self.m))
         self._accept(new)
         self.unsettled = self.spark.createDataFrame([], "u long")
 
@@ -231,12 +234,31 @@ class Session:
             if r is None or r["op"] == "quit":
                 break
             start = time.time()
-            self._do(r["op"], list(r["args"]))
+            with self.profiler.scope(r["op"]):
+                self._do(r["op"], list(r["args"]))
             self.times.append((r["op"], time.time() - start))
             at = r["seq"]
         top = commands.agg(F.max("seq")).first()[0]
         self.last = max(self.last, top if top is not None else self.last)
 
+    def listen(self, lines: Iterable[str], say: Callable[[str], None] = print) -> None:
+        """Runs commands line by line as they come, say from standard input, until `quit`. Edits are folded together when another command comes, or at the end."""
+        from meshwork.sources.files import COMMANDS, command_list
+
+        held: list[str] = []
+        for line in lines:
+            held.append(line)
+            word = (line.split() or ["#"])[0]
+            if word.startswith("#") or word in ("+v", "+e", "-v", "-e", "vw", "ew") or word not in COMMANDS:
+                continue
+            Session.run(self, command_list(self.spark, held))
+            held = []
+            say(word)
+            if word == "quit":
+                return
+        if held:
+            Session.run(self, command_list(self.spark, held))
+
     def _do(self, op: str, args: list[str]) -> None:
         if op == "partition":
             self.partition(args[0] if args else None)
