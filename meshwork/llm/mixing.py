@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: About so many documents share a bin of the order.
 PER_BIN = 1000
+#: A source whose draw lacks no more than this share of its target is full.
+NEAR = 1e-4
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -59,29 +61,29 @@ def _drawn_bins(lean: DataFrame, lacks: DataFrame, scratch: Scratch) -> DataFram
     what the source still lacks is taken: all documents of at most `most` words, or those at `places` of a bin in which some don't fit.
 
     A round passes over all bins up to the first where the documents that fit one by one don't fit together; this bin is gone
-    through row by row, and the next round starts behind it with what is left. lacks: (__s, __left, __from).
+    through row by row, and the next round starts behind it with what is left, until that is less than `__near`. lacks: (__s, __left, __near, __from).
     """
-    state, parts = scratch.save(lacks.where("__left >= 1"), "lacks"), []
+    state, parts = scratch.save(lacks.where("__left >= __near"), "lacks"), []
     while not state.isEmpty():
         met = lean.join(state, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") >= F.col("__from")) & (F.col("size") > 0) & (F.col("size") <= F.col("__left")))
         ahead = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        words = met.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.first("__left").alias("most"))
+        words = met.groupBy("__source", "__bin").agg(F.sum("size").alias("words"), F.first("__left").alias("most"), F.first("__near").alias("near"))
         words = words.withColumn("left", F.col("most") - F.coalesce(F.sum("words").over(ahead), F.lit(0))).where("left >= 0")
         reached = scratch.save(words, "reached")
-        last = reached.where("words > left").select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), "left")
+        last = reached.where("words > left").select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), "left", "near")
         rows = lean.join(last, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
-        rows = rows.groupBy("__source", "__bin").agg(F.first("left").alias("left"), F.collect_list(F.struct("__u", "size")).alias("rows"))
-        gone = scratch.save(rows.select("__source", "__bin", _scanned(F.col("left"), F.col("rows")).alias("got")).select("__source", "__bin", "got.left", "got.drawn"), "gone")
+        rows = rows.groupBy("__source", "__bin").agg(F.first("left").alias("left"), F.first("near").alias("near"), F.collect_list(F.struct("__u", "size")).alias("rows"))
+        gone = scratch.save(rows.select("__source", "__bin", "near", _scanned(F.col("left"), F.col("rows")).alias("got")).select("__source", "__bin", "near", "got.left", "got.drawn"), "gone")
         parts.append(reached.where("words <= left").select("__source", "__bin", "most", F.lit(None).cast("array<int>").alias("places")))
         parts.append(gone.select("__source", "__bin", F.lit(None).cast("double").alias("most"), F.col("drawn").alias("places")))
-        state = scratch.save(gone.where("left >= 1").select(F.col("__source").alias("__s"), F.col("left").alias("__left"), (F.col("__bin") + 1).alias("__from")), "lacks")
+        state = gone.where("left >= near").select(F.col("__source").alias("__s"), F.col("left").alias("__left"), "near", (F.col("__bin") + 1).alias("__from")).withColumnRenamed("near", "__near")
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _cuts(lean: DataFrame, bins: DataFrame, table: DataFrame, scratch: Scratch) -> DataFrame:
     """(__s, __b, source_size, target, most, places, last): what is drawn of each bin, `last` being the place of the source's closing text."""
     given = table.select(F.col("source").alias("__s"), "source_size", "target")
-    drawn = _drawn_bins(lean, given.select("__s", (F.col("target") - _whole() * F.col("source_size")).alias("__left"), F.lit(-(2**62)).cast("long").alias("__from")), scratch)
+    drawn = _drawn_bins(lean, given.select("__s", (F.col("target") - _whole() * F.col("source_size")).alias("__left"), F.greatest(F.lit(1.0), F.col("target") * NEAR).alias("__near"), F.lit(-(2**62)).cast("long").alias("__from")), scratch)
     if drawn is None:
         drawn = bins.select("__source", "__bin", F.lit(None).cast("double").alias("most"), F.lit(None).cast("array<int>").alias("places")).limit(0)
     names = lambda t: t.withColumnsRenamed({"__source": "__s", "__bin": "__b"})
@@ -140,7 +142,7 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     Each document gets the whole part of target / source_size as certain copies. The rest is drawn by Pareto order sampling: a document's inclusion probability p grows
     with the logarithm of its size (`inclusion`); with u uniform from a hash of id and text, documents of a source are gone through in the order of
     (u/(1-u)) / (p/(1-p)), those of p = 1 first. Each that fits in the words that the source still lacks is taken, longer
-    ones are set aside; at the end the shortest one left is added if at least half of it fits. So a source misses its target by half of its
+    ones are set aside, until the source lacks less than NEAR of its target; at the end the shortest one left is added if at least half of it fits. So a source misses its target by NEAR of it, or half of its
     shortest text that wasn't drawn, at most. The order is cut into bins of about PER_BIN documents, so no source is ever in one task.
     Reruns give the same; null ids and
     sources are values like others (null source last); a null text has size 0 and is never drawn beyond the certain copies; repeated rows are drawn
@@ -150,7 +152,8 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     bins = max(1, docs.count() // PER_BIN)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text"), 11) + F.lit(0.5)) / F.lit(float(2**53))
     carried = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("__source"))
+    # carried columns get names of their own, so that none can clash with the operator's
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("__source"))
     own = own.withColumn("size", n_words(F.col("text"))).withColumn("__class", size_class(F.col("size"))).withColumn("__t", u).drop("text")
     sizes = scratch.save(own.select("__source", "__class", "__t", "size"), "sizes")
     classes = scratch.save(sizes.groupBy("__source", "__class").agg(F.sum("size").alias("words")), "classes")
@@ -164,7 +167,7 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     met = met.withColumn("__place", F.row_number().over(Window.partitionBy("__source", "__bin").orderBy("__u", "size", "id")))
     drawn = _drawn() | F.coalesce(F.col("__place") == F.col("last"), F.lit(False))
     out = met.withColumn("copies", _whole() + drawn.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("row.*", "size", "source_size", "target", "copies", "taken")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], "size", "source_size", "target", "copies", "taken")
 
 
 def _ordered(rows: DataFrame, odds: DataFrame, bins: int) -> DataFrame:

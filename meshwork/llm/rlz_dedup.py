@@ -329,10 +329,11 @@ def rlz_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     spans = parsed(texts, width, scratch)
     each = texts.select("k", "c", "ord", "text").join(spans, "k", "left").select("c", "ord", "text", "spans")
     result = scratch.save(each.mapInArrow(_cut(width), OUT), "result", [texts])
-    # all columns travel in one struct, so that none can clash with the operator's own
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]).alias("row"), key_of(F.col(f"`{text}`")).alias("c"), order_of(F.col(f"`{doc_id}`")).alias("own"))
+    carried = [c for c in docs.columns if c not in COLUMNS]
+    # carried columns get names of their own, so that none can clash with the operator's
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], key_of(F.col(f"`{text}`")).alias("c"), order_of(F.col(f"`{doc_id}`")).alias("own"))
     copy = (F.col("own") > F.col("ord")) & (F.col("n_words") >= width)
     at = lambda x: F.lit(x).cast("long")
     all_of_it = F.array(F.struct(at(0).alias("start"), F.col("n_words").alias("end"), F.col("ord").alias("ref"), at(0).alias("ref_start")))
     out = whole.join(result, "c").withColumns({"n_removed": F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")), "factors": F.when(copy, all_of_it).otherwise(F.col("factors")), "kept": F.when(copy, "").otherwise(F.col("kept"))})
-    return out.select("row.*", *COLUMNS)
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], *COLUMNS)
