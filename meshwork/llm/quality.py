@@ -52,6 +52,15 @@ def candidates(number: np.ndarray, n: int) -> np.ndarray:
     return (found >= 8) & ((found <= n / 5) | (np.arange(N_ALL) >= N_WORDS))
 
 
+def summed(index: np.ndarray, weight, size: int, step: int = 1 << 18) -> np.ndarray:
+    """Sums by index of weight(slice), a part at a time, so that nothing as long as the index is held in doubles."""
+    out = np.zeros(size)
+    for lo in range(0, len(index), step):
+        own = slice(lo, lo + step)
+        out += np.bincount(index[own], weight(own), size)
+    return out
+
+
 class Ordinal:
     """P(grade <= j) = logistic(theta_j - x.w): weights shared by all grades, thresholds in order (theta_0, then positive steps)."""
 
@@ -67,7 +76,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
     def scores(self, row, number, value, n: int) -> np.ndarray:
-        return np.bincount(row, self.weights[number] * value, n)
+        return summed(row, lambda own: self.weights[number[own]] * value[own], n)
 
     @classmethod
     def fit(cls, row, number, value, grade, l2: float = 1e-4, steps: int = 150, rate: float = 0.2, least: float = 5.0, most_rounds: int = 12) -> Ordinal:
@@ -82,7 +91,8 @@ class Ordinal:
             on = active[number]
             model = cls._fitted(model, row[on], number[on], value[on], grade, l2, steps, rate)
             slope = model._slopes(model.scores(row, number, value, n), grade)[0]
-            sums, spread = np.bincount(number, slope[row] * value, N_ALL), np.bincount(number, value * value, N_ALL) * (slope * slope).mean()
+            sums = summed(number, lambda own, slope=slope: slope[row[own]] * value[own], N_ALL)
+            spread = summed(number, lambda own: value[own] * value[own], N_ALL) * (slope * slope).mean()
             z = sums / np.sqrt(np.maximum(spread, 1e-12))
             z[active | ~may] = 0
             if z.max() < least:
