@@ -49,3 +49,28 @@ WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] q FROM emb
 s AS (SELECT a.vec_id query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
 SELECT query_id, r::INTEGER "rank", vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5
 """
+
+#: crc32 byte by byte, deletion neighbourhoods for near words, and a recursive walk along the forms.
+OP13 = """
+with recursive bits as (select i, i as c, 0 as k from range(256) t(i)
+  union all select i, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from bits where k < 8),
+lut as (select list(c order by i) as t from bits where k = 8),
+raw as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) as run from documents),
+runs as (select coalesce(cast(doc_id as varchar), '') || ':' as head, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from raw where length(run) >= 7 group by all),
+points as (select run, n, list_transform(string_split(head || run, ''), lambda x: unicode(x)) as p from runs),
+bytes as (select run, n, flatten(list_transform(p, lambda c: case when c < 128 then [c] else [195, c % 64 + 128] end)) as b from points),
+crc as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, b::bigint[]), lambda s, x: xor(s // 256, t[(xor(s, x) % 256) + 1])), 4294967295) as h from bytes, lut),
+cut as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from crc),
+words as (select word, sum(n)::bigint as n from cut where length(word) >= 7 group by word having sum(n) >= 2),
+gaps as (select word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as k from words)),
+near as (select a.word, b.word as other, b.n as m from gaps a join gaps b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+  union select g.word, w.word, w.n from gaps g join words w on g.rest = w.word
+  union select w.word, g.word, g.n from gaps g join words w on g.rest = w.word),
+best as (select word, count(*) as n_near, max(m) as m, arg_min(other, struct_pack(a := -m, b := other)) as other from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n
+  from words w left join best b on w.word = b.word),
+walk as (select word, word as at from formed union all select w.word, f.form from walk w join formed f on w.at = f.word where f.form is not null),
+ends as (select w.word, w.at as root from walk w join formed f on w.at = f.word where f.form is null)
+select f.word, f.form, e.root, f.n, f.n_near::bigint as n_near, f.form_n from formed f join ends e on f.word = e.word
+"""
