@@ -3,7 +3,8 @@
 Every document becomes token ids and an end id; only documents longer than a sequence are cut. Pieces that fill a sequence are one by themselves. The
 others are dealt at random to partitions of about `PART` sequences. Each partition packs its pieces by best fit in decreasing length and holds the number of
 its sequences against a lower bound from dual feasible functions (no packing of these pieces has fewer). A partition that meets its bound is certified: it
-gives away only its emptiest sequence, as slack of less than a sequence in each of many partitions may add up. One that doesn't meet it has a gap: it gives
+gives away only its emptiest sequences, those that hold all but a tenth of a sequence of its slack, as slack of less than a sequence in each of many
+partitions adds up. One that doesn't meet it has a gap: it gives
 away all its pieces in the first rounds and, once partitions no longer grow, those of its sequences that aren't full. What was given away is dealt anew, to
 partitions `GROWTH` times as large, and packed again, until the sum of all is the lower bound of the whole table, or one partition held all that was left, or
 a round saved nothing.
@@ -117,7 +118,11 @@ def packed_parts(items: DataFrame, capacity: int, growing: bool) -> DataFrame:
         sizes, counts = np.unique(length, return_counts=True)
         bound = bin_bound(sizes, counts, capacity)
         if len(room) == bound:
-            stays = (np.arange(len(room)) != room.argmax()) | (room == 0)
+            by_room = np.argsort(-room, kind="stable")
+            slack = int(room.sum()) - np.cumsum(room[by_room])  # what is left after giving away so many
+            given = int(np.argmax(slack <= capacity // 10)) + 1 if room.sum() < capacity else 1
+            stays = np.ones(len(room), bool)
+            stays[by_room[:given]] = room[by_room[:given]] == 0
         else:
             stays = (room == 0) & (not growing)
         out = group.drop(columns="part").assign(bin=at, offset=offset, kept=stays[at], part=group["part"], bins=len(room), bound=bound)
