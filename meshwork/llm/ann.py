@@ -23,7 +23,7 @@ K, CURVES, AXES, BITS = 20, 8, 4, 10
 #: Vectors whose true neighbours are found to fit the window, and vectors that the scale of the cells is taken from.
 PROBES, SAMPLE = 256, 8192
 RECALL = 0.97
-#: Ranks in a block; a window is as many blocks as it needs.
+#: Ranks in a block; a window takes what it covers of as many blocks as it needs.
 BLOCK = 4096
 
 
@@ -78,8 +78,11 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _near(score: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int):
-    """(row, column, exact score) of each row's k best by exact score, ties to the smaller id. `score` may be off in its last bits."""
+    """(row, column, exact score) of each row's k best by exact score, ties to the smaller id. `score` may be off in its last bits; what is outside a
+    row's window has none (-inf)."""
     row, col = top_rows(score, ids, own, k, 1e-9)
+    inside = score[row, col] > -np.inf
+    row, col = row[inside], col[inside]
     exact = _exact(q[row], x[col])
     order = np.lexsort((ids[col], -exact, row))
     row, col, exact = row[order], col[order], exact[order]
@@ -158,29 +161,35 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which is all that an answer can hold; so a vector that fills a third of
     the table is one entry, and queries of equal vectors are one. A window holds at least k + 1 entries on each side, so no query finds fewer than k where the table has them. Of entries with equal scores those
-    of the smallest ids stay. Vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids or vectors of another length than
-    the commonest; rows repeated with the same id count once. An empty table or query set gives an empty result. Other columns, whatever their names, play no part.
+    of the smallest ids stay. Vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids; vectors of different lengths are
+    indexed and searched by length; rows repeated with the same id count once. An empty table or query set gives an empty result. Other columns, whatever their names, play no part.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
     x = F.transform(F.col(embedding), lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
 
     def usable(df):
         return df.where(F.col(vec_id).isNotNull() & finite(F.col(embedding), True)).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
 
-    rows = usable(vectors)
-    dims = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    alike = F.size("x") == dims["dim"]
+    rows, who = usable(vectors), usable(queries)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = rows.select(F.size("x").alias("dim")).distinct().join(who.select(F.size("x").alias("dim")).distinct(), "dim").collect()  # a row for each length
+    for dim in sorted(r["dim"] for r in lengths):
+        alike = F.size("x") == dim
+        out = out.unionByName(_of_length(rows.where(alike), who.where(alike), dim, k, recall))
+    return out
+
+
+def _of_length(rows: DataFrame, who: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
+    """The search among vectors of one length. rows, who: (id, x) of the vectors and of the queries."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "ann")
     # Spark keeps the first k + 1 of a vector in each task before the shuffle
-    few = rows.where(alike).distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
+    few = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("n") <= k + 1)
     one = few.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     classes = scratch.save(one.select(F.monotonically_increasing_id().alias("c"), "x", "ids", F.col("ids")[0].alias("least")), "classes")
-    who = usable(queries).where(alike)
     asked = scratch.save(who.select("x").distinct().select(F.monotonically_increasing_id().alias("c"), "x"), "asked")
     sample = matrix(classes.orderBy(F.xxhash64(F.lit(3), "c"), "c").limit(SAMPLE).select("x").toArrow()["x"])
-    curves = Curves(dims["dim"], float(np.sqrt((sample**2).mean()) or 1.0))
+    curves = Curves(dim, float(np.sqrt((sample**2).mean()) or 1.0))
     ranks = _ranked(classes, asked, curves, scratch)
     width = _window(classes, ranks, k, recall)
     block = lambda rank: F.floor(rank / BLOCK).cast("int")
@@ -189,7 +198,7 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
         """Vectors with the blocks that they go to, in each ordering."""
         own = ranks.where(F.col("kind") == kind).groupBy("c").agg(F.collect_list(F.struct("curve", "rank")).alias("places"))
         each = table.join(own, "c").withColumn("place", F.explode("places")).drop("places")
-        return each.withColumn("curve", F.col("place.curve")).withColumn("block", blocks(F.col("place.rank"))).drop("place")
+        return each.withColumns({"curve": F.col("place.curve"), "rank": F.col("place.rank"), "block": blocks(F.col("place.rank"))}).drop("place")
 
     data = dealt(0, classes.select("c", "least", "x"), block)
     near = dealt(1, asked, block).withColumn("floor", F.lit(float("-inf")))
@@ -200,14 +209,18 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_i
         names, types = ["q", "c", "least", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        c, least, xs, qc, qs, floor = np.asarray(a["c"]), np.asarray(a["least"]), matrix(a["x"]), np.asarray(b["c"]), matrix(b["x"]), np.asarray(b["floor"])
+        a, b = a.sort_by("rank"), b.sort_by("rank")
+        c, least, xs, at = np.asarray(a["c"]), np.asarray(a["least"]), matrix(a["x"]), np.asarray(a["rank"])
+        qc, qs, floor, own = np.asarray(b["c"]), matrix(b["x"]), np.asarray(b["floor"]), np.asarray(b["rank"])
         out = []
-        for lo in range(0, len(qs), 256):
-            q = qs[lo : lo + 256]
+        for lo in range(0, len(qs), 64):  # queries of neighbouring ranks look at almost the same entries
+            q, mid = qs[lo : lo + 64], own[lo : lo + 64]
+            i, j = np.searchsorted(at, mid[0] - width), np.searchsorted(at, mid[-1] + width, "right")
+            score = np.where(np.abs(at[None, i:j] - mid[:, None]) <= width, q @ xs[i:j].T, -np.inf)
             # k + 1 entries by score, then smallest id: each holds an id that comes before any of the entries left out
-            row, col, score = _near(q @ xs.T, q, xs, least, None, k + 1)
+            row, col, score = _near(score, q, xs[i:j], least[i:j], None, k + 1)
             above = score >= floor[lo:][row]
-            out.append((qc[lo:][row][above], c[col][above], least[col][above], score[above]))
+            out.append((qc[lo:][row][above], c[i:j][col][above], least[i:j][col][above], score[above]))
         return pa.table([pa.array(np.concatenate(v), t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     keys = ["curve", "block"]

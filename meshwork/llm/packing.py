@@ -40,12 +40,14 @@ def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int
     return sorted(bounds)
 
 
-def pieces(docs: DataFrame, length: Column, doc_id: str, longest: int) -> DataFrame:
-    """(doc_id, part, start, length): texts cut into pieces of at most `longest` words; an empty one is a piece of length 0."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), length.alias("n"))
+def pieces(docs: DataFrame, length: Column, doc_id: str, longest: int, text: str | None = None) -> DataFrame:
+    """(doc_id, part, start, length, h): texts cut into pieces of at most `longest` words; an empty one is a piece of length 0. h: a hash that scatters
+    them, of the text too, so that rows without an id are scattered."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), length.alias("n"), (F.xxhash64(F.col(text)) if text else F.lit(0).cast("long")).alias("h"))
     parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0)).cast("long"))
-    own = own.select("doc_id", "n", F.explode(parts).alias("part"))
-    return own.select("doc_id", "part", (F.col("part") * longest).alias("start"), F.least(F.col("n") - F.col("part") * longest, F.lit(longest)).cast("long").alias("length"))
+    own = own.select("doc_id", "n", "h", F.explode(parts).alias("part"))
+    size = F.least(F.col("n") - F.col("part") * longest, F.lit(longest)).cast("long")
+    return own.select("doc_id", "part", (F.col("part") * longest).alias("start"), size.alias("length"), F.xxhash64("doc_id", "part", size, "h").alias("h"))
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET, length: Column | None = None) -> DataFrame:
@@ -58,18 +60,18 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", longest: i
     may give the number of tokens instead of words.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    got = pieces(docs, n_words(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long"), doc_id, longest)
+    got = pieces(docs, n_words(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long"), doc_id, longest, text if text in docs.columns else None)
     all_ = scratch.save(got, "pieces")
     histogram = all_.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()
     bounds = best_bounds([r["length"] for r in histogram], [r["n"] for r in histogram], buckets)
     if not bounds:
         none = {x: F.lit(None).cast("long") for x in ("bucket", "batch", "slot")}
-        return all_.withColumns(none)
+        return all_.drop("h").withColumns(none)
     groups = max(1, sum(r["n"] for r in histogram) // PER_GROUP)
     bucket = F.when(F.col("length") == 0, None)
     for b in bounds:
         bucket = bucket.when(F.col("length") <= b, F.lit(b).cast("long"))
-    own = all_.withColumns({"bucket": bucket, "__hash": F.xxhash64("doc_id", "part", "length")}).withColumn("__group", F.pmod("__hash", F.lit(groups)))
+    own = all_.withColumns({"bucket": bucket, "__hash": F.col("h")}).withColumn("__group", F.pmod("__hash", F.lit(groups)))
     ahead = Window.partitionBy("bucket").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     firsts = own.where("length > 0").groupBy("bucket", "__group").agg(F.count("*").alias("n")).select("bucket", "__group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__first"))
     inside = F.row_number().over(Window.partitionBy("bucket", "__group").orderBy("__hash", "doc_id", "part"))

@@ -15,6 +15,7 @@ in common; what goes is decided on the texts' own bytes (`suffix_dedup`, `rlz_de
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.llm.scratch import Scratch
-from meshwork.llm.textbytes import NOT_SPACE, U, blocks, eights, mix, pair, range_codes, run_codes, signed, within, words
+from meshwork.llm.textbytes import NOT_SPACE, U, blocks, eights, mix, pair, range_codes, run_codes, run_lanes, signed, within, word_lanes, words
 
 #: The largest id of a row without one, which sorts it last.
 LAST = 2**63 - 1
@@ -61,24 +62,24 @@ class Bytes:
 class Words:
     """Texts as runs of bytes that aren't white space: windows of `width` words."""
 
-    def __init__(self, width: int = 13):
-        self.width, self.gram = width, max(1, min(4, width // 3))
+    def __init__(self, width: int = 13, key: int = 0):
+        self.width, self.gram, self.key = width, max(1, min(4, width // 3)), key
         self.reach = width - self.gram + 1
         self.blocks = sorted({self.reach, 1}, reverse=True)
 
     def load(self, data, off):
         self.start, self.end, self.first = words(data, off, NOT_SPACE)
-        self.value = range_codes(data, self.start, self.end, 13)
-        self.n = len(self.value)
-        self.known: dict[int, np.ndarray] = {}
+        self.lanes = word_lanes(data, self.start, self.end, self.key)
+        self.n = len(self.start)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def grams(self):
-        return self.runs(self.gram)
+        return run_codes(self.lanes[0], self.gram)
 
-    def runs(self, n):
+    def runs(self, n, lane=0):
         if n not in self.known:
-            self.known[n] = run_codes(self.value, n)
-        return self.known[n]
+            self.known[n] = run_lanes(self.lanes, n)
+        return self.known[n][lane]
 
     def codes(self, start, end, seed):
         """Spans of no more than two windows' length are told by their first and their last window, which cover them."""
@@ -200,6 +201,13 @@ def distinct_texts(docs: DataFrame, text: str, doc_id: str, scratch: Scratch) ->
     return scratch.save(one.select(F.monotonically_increasing_id().alias("k"), "*"), "texts")
 
 
+def key_of_table(texts: DataFrame) -> int:
+    """A key for codes, from the digests of all texts: the same for the same texts, and not known to who writes one of them."""
+    x = F.xxhash64("c")
+    r = texts.agg(F.count("*"), F.bit_xor(x), F.sum(x.cast("decimal(20,0)")), F.hex(F.min("c")), F.hex(F.max("c"))).first()
+    return int.from_bytes(hashlib.blake2b(str(tuple(r)).encode(), digest_size=8).digest(), "little")
+
+
 def covered(first: np.ndarray, n_all: int, cut: np.ndarray, pos: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     """Which elements of a block lie in one of the windows; cut: offsets of each text's spans (first window, count)."""
     row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshwork.llm.repeats import Words, covered, distinct_texts, key_of, lists, merged, order_of, packed, spans_of, unpacked
+from meshwork.llm.repeats import Words, covered, distinct_texts, key_of, key_of_table, lists, merged, order_of, packed, spans_of, unpacked
 from meshwork.llm.scratch import Scratch, n_parts
 from meshwork.llm.textbytes import BLOCK, NOT_SPACE, blocks, range_codes, run_codes, signed, words
 
@@ -36,7 +37,8 @@ FOUND, FINER, END = 0, 1, 2
 def _suffixes(size: int):
     def emit(seq: Words, batch, lo, row, start, n, off, shared):
         head = signed(seq.runs(seq.width - size + 1)[shared])
-        full = signed(seq.codes(start, start + n + seq.width - 1, 0)) if size > 1 else np.zeros(len(row), np.int64)
+        # a span is told by what its windows share and by all of it, a single window by both codes of its words
+        full = signed(seq.codes(start, start + n + seq.width - 1, 0) if size > 1 else seq.runs(seq.width, 1)[start])
         order, k = (np.asarray(batch.column(x), np.int64)[row + lo] for x in ("ord", "k"))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head, full, order, k, packed(start - seq.first[row], n, off))], names=["head", "full", "ord", "k", "at"])
 
@@ -93,12 +95,13 @@ def _found(texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(k, at, src): spans of windows whose words also stand in the text `src`, which has a smaller id."""
     parts = n_parts(texts.sparkSession)
     found = []
+    kind = partial(Words, key=key_of_table(texts))
     for size in Words(width).blocks:
         if found:
             source = texts.select("k", "ord", "text").join(spans.hint("merge"), "k")
         else:
             source = texts.select("k", "ord", "text")
-        rows = scratch.save(source.mapInArrow(spans_of(Words, width, size, _suffixes(size), bool(found)), ROWS), "suffixes")
+        rows = scratch.save(source.mapInArrow(spans_of(kind, width, size, _suffixes(size), bool(found)), ROWS), "suffixes")
         sort = ["head", "full", "ord", "k", "at"]
         ordered = rows.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
         out = scratch.save(ordered.mapInArrow(_looked_up(size == 1), SAID), "looked-up", [rows])

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meshwork.llm.scratch import Scratch
-from meshwork.llm.textbytes import blocks
-from meshwork.llm.tokens import word_array
+from meshwork.llm.textbytes import blocks, word_array
 from meshwork.llm.wavelet import WaveletTree
 
 #: The contract's fixed values: words have 7 code points and 2 occurrences at least, a form is 10 times as frequent, one run in 31 loses a code point.

@@ -55,7 +55,7 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 def range_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, view: np.ndarray | None = None) -> np.ndarray:
     """64-bit codes of the byte ranges [start, end): eight bytes after the other go through a bijection that is no sum or
-    product of them, so texts of a special shape collide no oftener than others. Equal ranges have equal codes."""
+    product of them. Equal ranges have equal codes; unequal ones can be made to have one (eight bytes undo the eight before), so these codes only propose."""
     view = eights(data) if view is None else view
     size = end - start
     code = mix(size.astype(U) + U((seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
@@ -77,6 +77,52 @@ def range_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int,
     return code
 
 
+def word_array(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as a column of their own (ranges in order, none overlapping)."""
+    size = end - start
+    off = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    edge = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] if len(raw) else raw
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _keys(key: int, n: int) -> list[np.uint64]:
+    """Round constants of a key."""
+    raw = hashlib.blake2b(key.to_bytes(8, "little"), digest_size=8 * n).digest()
+    return [U(int.from_bytes(raw[8 * i : 8 * i + 8], "little")) for i in range(n)]
+
+
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Words of so many bytes at most have codes of their own.
+SHORT = 15
+
+
+def word_lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two codes of each byte range, for where codes decide and nothing compares bytes afterwards. Ranges of up to 15 bytes are, with their size, 16 bytes that a
+    keyed bijection scrambles, so no two have the same pair of codes; longer ones are told by 120 bits of BLAKE2b, marked by a size that no short one has."""
+    size = end - start
+    view = eights(data)
+    top = len(data)
+    b = view[np.minimum(start + 8, top)] & _LOW[np.clip(size - 8, 0, 8)] | np.minimum(size, 255).astype(U) << U(56)
+    a = view[start] & _LOW[np.clip(size, 0, 8)]
+    salt = key.to_bytes(8, "little")
+    for j in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[start[j] : end[j]].tobytes(), digest_size=16, salt=salt).digest()
+        a[j], b[j] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:15] + b"\xff", "little")
+    for k in _keys(key, 3):
+        a, b = b, a ^ mix(b + k)
+    return a, b
+
+
+def run_lanes(lanes: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two codes of each run of n words, each made from both codes of the words."""
+    a, b = run_codes(lanes[0], n), run_codes(lanes[1] ^ U(0x94D049BB133111EB), n)
+    return mix(a ^ mix(b + U(0xBF58476D1CE4E5B9))), mix(b ^ mix(a + U(0x9E6C63D0876A9A63)))
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U(0xC2B2AE3D27D4EB4F) + mix(b ^ U(0x165667B19E3779F9)))
 

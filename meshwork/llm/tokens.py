@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from meshwork.llm.textbytes import text_bytes, words
+from meshwork.llm.textbytes import text_bytes, word_array, words
 
 #: ASCII white space (tab to carriage return, file to unit separators are left to the tokenizer, space). The tokenizer's pattern never
 #: reaches over white space and its normalizer doesn't either, so texts may be cut there.
@@ -31,18 +31,6 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def word_array(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte ranges as a column of their own (ranges in order, none overlapping)."""
-    size = end - start
-    off = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=off[1:])
-    edge = np.zeros(len(raw) + 1, np.int8)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    data = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] if len(raw) else raw
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids (unsigned, 32 bits) and len+1 offsets into them; null counts as an empty text."""
     raw, off = text_bytes(texts)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.llm.textbytes import text_bytes
@@ -101,28 +102,30 @@ def url_filter(pages: DataFrame, url: str = "url", rules=None, blocked=None) ->
 
     A rule fits its host and all subdomains where the path starts with the rule's; of equally long ones, the one of the longer
     host, then the smaller text, wins. Without a rule the verdict is block if a glob of `blocked` matches, else allow. A url that is
-    null, empty or without `://` has empty host and path, so no rule. Columns of these names are replaced; rows stay as they are,
-    repeated ones too.
+    null, empty or without `://` has empty host and path, so no rule. Columns of these names are replaced, others of any name stay; rows stay as they
+    are, repeated ones too.
     """
     rules, blocked = RULES if rules is None else rules, BLOCKED if blocked is None else blocked
     rules = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2]))
     globs = [g for _, h, p in rules for g in (f"{h}{p}**", f"*.{h}{p}**")] + list(blocked)
     names, verdicts = [h + p for _, h, p in rules], [v for v, _, _ in rules]
     host, path = host_and_path(F.col(url))
-    base = pages.drop("rule", "verdict").withColumns({"__host": host, "__path": path}).drop("host", "path").withColumnsRenamed({"__host": "host", "__path": "path"}).withColumn("__key", F.concat("host", "path"))
-    fields = [f for f in base.schema.fields if f.name != "__key"]
-    carried = [f.name for f in fields]
+    carried = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # the row travels as one struct with names of its own, so that no column's name can clash
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
+    base = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton(globs)
         for batch in batches:
-            hit = auto.matches(*text_bytes(batch.column("__key")))
+            key = pc.binary_join_element_wise(batch.column("host"), batch.column("path"), "")
+            hit = auto.matches(*text_bytes(key))
             by_rule = hit[:, : 2 * len(rules)].reshape(len(hit), len(rules), 2).any(2) if rules else np.zeros((len(hit), 1), bool)
             which = np.where(by_rule.any(1), by_rule.argmax(1), -1)
             bad = hit[:, 2 * len(rules) :].any(1)
             rule = [names[i] if i >= 0 else None for i in which.tolist()]
             verdict = [verdicts[i] if i >= 0 else "block" if b else "allow" for i, b in zip(which.tolist(), bad.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=carried + ["rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["row", "host", "path", "rule", "verdict"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", rule string, verdict string"
-    return base.mapInArrow(run, schema)
+    out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carried)], "host", "path", "rule", "verdict")
