@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
             size = text_bytes(texts)[1]
             lo = 0
             while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + 8 * BLOCK, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + 16 * BLOCK, "right")) - 1)
                 ids, off = token_ids(texts.slice(lo, hi - lo), path)
                 out = []
                 for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):

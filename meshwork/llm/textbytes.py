@@ -78,13 +78,13 @@ def range_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int,
 
 
 def word_array(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte ranges as a column of their own (ranges in order, none overlapping)."""
+    """The byte ranges as a column of their own (ranges in order, none empty or overlapping)."""
     size = end - start
     off = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=off[1:])
     edge = np.zeros(len(raw) + 1, np.int8)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
+    edge[start] += 1
+    edge[end] -= 1
     data = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] if len(raw) else raw
     return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
 
