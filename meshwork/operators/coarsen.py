@@ -5,41 +5,13 @@ Rounds write their state (`Rounds`), so their plans stay small and a lost execut
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meshwork.functions.scalars import rating, unhash
+from meshwork.operators.rounds import Rounds, ranked
 from meshwork.sources.graph import Graph
 
 
-class Rounds:
-    """State tables of iterative operators, written to the folder of spark.checkpoint.dir (to a temporary one only where the
-    session names none and runs on one machine)."""
-
-    _own: str | None = None
-
-    def __init__(self, spark: SparkSession):
-        given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not given:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            if Rounds._own is None:
-                Rounds._own = tempfile.mkdtemp(prefix="meshwork-rounds-")
-                atexit.register(shutil.rmtree, Rounds._own, True)
-            given = "file://" + Rounds._own
-        self.spark, self.root, self.n = spark, f"{given.rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def rated(vertices: DataFrame, edges: DataFrame, kind: str = "expansion_star", cap: int | None = None, assign: DataFrame | None = None) -> DataFrame:
     """(u, v, w, r) of the edges that may be contracted: both ends in one block, their weight within the cap."""
     a, b = vertices.select("u", F.col("vw").alias("cu")), vertices.select(F.col("u").alias("v"), F.col("vw").alias("cv"))
@@ -105,20 +77,9 @@ def twins(edges: DataFrame) -> DataFrame:
     return _paired(near, ["near"])
 
 
-def _ahead(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
-    """Adds __ahead, the sum of `amount` over the rows of the group with smaller u: inside ranges of 1024 ids, plus what the ranges
-    before hold, so no task sees all rows of a hot group."""
-    past = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("__range", F.shiftright("u", 10)).withColumn("__amount", amount)
-    sums = own.groupBy(*by, "__range").agg(F.sum("__amount").alias("__sum"))
-    starts = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(past(*by).orderBy("__range")), F.lit(0)).alias("__start"))
-    inside = F.coalesce(F.sum("__amount").over(past(*by, "__range").orderBy("u")), F.lit(0))
-    return own.withColumn("__inside", inside).join(starts, [*by, "__range"]).withColumn("__ahead", F.col("__start") + F.col("__inside")).drop("__range", "__amount", "__start", "__inside")
-
-
-def _paired(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows 1 and 2, 3 and 4, ... of each group by u; at most one of a group is left over."""
-    numbered = _ahead(rows, by, F.lit(1).cast("long")).withColumn("__pair", F.floor(F.col("__ahead") / 2))
+def _paired(rows: DataFrame, by: list[str], order: tuple[str, ...] = ("u",)) -> DataFrame:
+    """Rows 1 and 2, 3 and 4, ... of each group in this order; at most one of a group is left over."""
+    numbered = ranked(rows, by, list(order), Rounds(rows.sparkSession)).withColumn("__pair", F.floor(F.col("rank") / 2))
     pairs = numbered.groupBy(*by, "__pair").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.count("*").alias("n"))
     return pairs.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -129,12 +90,22 @@ def two_hop_matchmaker(edges: DataFrame, free: DataFrame) -> DataFrame:
     return _paired(best.withColumnRenamed("v", "mid"), ["mid"])
 
 
-def two_hop(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, cap: int, assign: DataFrame | None = None) -> DataFrame:
+#: A matching of this share of the vertices is enough; below it, vertices that share a neighbour are paired. Fixed value.
+ENOUGH = 0.75
+TWO_HOP = (("degree one", two_hop_degree_one), ("twins", twins), ("matchmaker", lambda e: two_hop_matchmaker(e, e.select("u").distinct())))
+
+
+def two_hop(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, cap: int, assign: DataFrame | None = None, enough: float = ENOUGH, report: list | None = None) -> DataFrame:
     """(u, v), u < v: `pairs` and, of the vertices they leave, those that share a neighbour: vertices of degree one first, then twins,
-    then vertices with the same strongest neighbour. Pairs weigh `cap` at most and stay inside a block of `assign`."""
+    then vertices with the same strongest neighbour; each step only while less than the share `enough` of the vertices is matched. Pairs weigh `cap` at
+    most and stay inside a block of `assign`. `report` gets the steps taken."""
     state = Rounds(edges.sparkSession)
-    found = pairs
-    for step in (two_hop_degree_one, twins, lambda e: two_hop_matchmaker(e, e.select("u").distinct())):
+    found, n = pairs, vertices.count()
+    for name, step in TWO_HOP:
+        if 2 * found.count() >= enough * n:
+            break
+        if report is not None:
+            report.append(name)
         free = state.keep(vertices.select("u").join(ends(found), "u", "left_anti"))
         found = state.keep(found.unionByName(allowed(step(edges.join(free, "u", "left_semi")), vertices, cap, assign)))
     return found
@@ -149,13 +120,11 @@ def allowed(pairs: DataFrame, vertices: DataFrame, cap: int, assign: DataFrame |
 
 
 def pair_any(vertices: DataFrame, pairs: DataFrame, cap: int, assign: DataFrame | None = None) -> DataFrame:
-    """`pairs` and, of the vertices they leave, lightest first, any two of a range of ids: the last resort where nothing is adjacent, which bounds what coarsening leaves."""
+    """`pairs` and, of the vertices they leave, in each block and lightest first, every two that follow each other: the last resort where nothing is adjacent, which
+    bounds what coarsening leaves, whatever the ids."""
     free = vertices.join(ends(pairs), "u", "left_anti").where(F.col("vw") < cap)
     free = free.join(assign, "u") if assign is not None else free.withColumn("pid", F.lit(0).cast("long"))
-    line = Window.partitionBy("pid", F.shiftright("u", 12)).orderBy("vw", "u")
-    numbered = free.withColumn("i", F.row_number().over(line)).withColumn("v", F.lead("u").over(line))
-    more = numbered.where("i % 2 = 1 and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return pairs.unionByName(allowed(more, vertices, cap, assign))
+    return pairs.unionByName(allowed(_paired(free, ["pid"], ("vw", "u")), vertices, cap, assign))
 
 
 def mapping_of(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,7 +200,7 @@ def merge_singletons(graph: Graph, clusters: DataFrame, max_w: int) -> DataFrame
     """Vertices alone in their cluster that hang on the same strongest neighbour are packed together while they fit."""
     lone = clusters.join(clusters.groupBy("c").agg(F.count("*").alias("n")).where("n = 1").select("c"), "c", "left_semi")
     best = best_neighbor(graph.edges.join(lone.select("u"), "u", "left_semi"), [F.desc("w"), F.col("v")]).join(graph.vertices, "u")
-    bins = _ahead(best, ["v"], F.col("vw")).withColumn("bin", F.floor(F.col("__ahead") * 2 / max_w))
+    bins = ranked(best, ["v"], ["u"], Rounds(graph.edges.sparkSession), "vw").withColumn("bin", F.floor(F.col("ahead") * 2 / max_w))
     head = bins.withColumn("head", F.min("u").over(Window.partitionBy("v", "bin"))).withColumn("sofar", F.sum("vw").over(Window.partitionBy("v", "bin").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
     new = head.where(F.col("sofar") <= max_w).select("u", F.col("head").alias("n"))
     return clusters.join(new, "u", "left").select("u", F.coalesce("n", "c").alias("c"))

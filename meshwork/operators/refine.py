@@ -9,7 +9,7 @@ from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.local import Local
 from meshwork.kernels.split import refine_flow, refine_pair
 from meshwork.operators import gains, metrics
-from meshwork.operators.coarsen import Rounds
+from meshwork.operators.rounds import Rounds
 from meshwork.sources.graph import Graph
 
 

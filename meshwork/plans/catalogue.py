@@ -523,7 +523,7 @@ SELECT u node, min(root) root FROM reach GROUP BY 1""")
 def components_min_label(spark, d):
     """Components of the grid without its vertical edges: the rows. Minimum labels spread along edges, doubled by following the
     label's own label, until nothing changes."""
-    from meshwork.operators.coarsen import Rounds
+    from meshwork.operators.rounds import Rounds
 
     g = guests.part_grid(spark, d)
     edges = g.edges.where(F.floor(F.col("u") / 20) == F.floor(F.col("v") / 20))
@@ -619,7 +619,7 @@ def metis_lines(spark, d):
 @add("metis_round_trip", f"WITH {GRID} SELECT u, v, w FROM E")
 def metis_round_trip(spark, d):
     """Written to text and read again."""
-    from meshwork.operators.coarsen import Rounds
+    from meshwork.operators.rounds import Rounds
 
     g = guests.part_grid(spark, d)
     path = f"{Rounds(spark).root}/metis"
@@ -629,7 +629,7 @@ def metis_round_trip(spark, d):
 
 @add("partition_round_trip", f"WITH {GRID} SELECT u, (u // 40) % 16 pid FROM V")
 def partition_round_trip(spark, d):
-    from meshwork.operators.coarsen import Rounds
+    from meshwork.operators.rounds import Rounds
 
     path = f"{Rounds(spark).root}/partition"
     files.write_partition(banded(guests.part_grid(spark, d), 16), path)

@@ -13,7 +13,8 @@ from meshwork.kernels import multilevel
 from meshwork.kernels.local import Local
 from meshwork.kernels.split import split
 from meshwork.operators import coarsen, metrics, refine
-from meshwork.operators.coarsen import Rounds
+from meshwork.operators.paths import global_paths
+from meshwork.operators.rounds import Rounds
 from meshwork.sources.files import write_metis
 from meshwork.sources.graph import Graph
 
@@ -50,6 +51,8 @@ def _weight(graph: Graph) -> int:
     return graph.vertices.agg(F.coalesce(F.sum("vw"), F.lit(0))).first()[0]
 
 
+#: A cluster weighs at most the block limit over SHARE at first; where a level leaves more than STALL of the vertices that is halved, down to LEAST_SHARE.
+SHARE, LEAST_SHARE, STALL = 18.0, 4.0, 0.95
 #: Graphs of so many arcs at most are solved in one task (each trial in its own); a parameter of the solvers. 0: all levels run in Spark.
 LOCAL_ARCS = 200_000
 
@@ -84,23 +87,30 @@ def initial(graph: Graph, m: Machine, lmax: int, method: str = "flow", trials: i
 
 def coarse_levels(graph: Graph, target: int, cap: int, p: Profile, assign: DataFrame | None = None, seed: int = 0, most: int = 60, local_arcs: int = 0) -> list[tuple[Graph, DataFrame]]:
     """[(graph, mapping to the next coarser)], finest first, until `target` vertices, or `local_arcs` arcs. Where matching leaves more than
-    half of the vertices, those with common neighbours are paired; where clustering stalls, clusters of one are merged; where that isn't enough
-    either, any two vertices. So only the cap ends it: below twice the weight / cap, a bounded number, vertices are left."""
+    a quarter of the vertices, those with common neighbours are paired; where clustering stalls, clusters may become heavier and those of one vertex are merged; where
+    that isn't enough either, any two vertices. So only the cap ends it: below twice the weight / cap, a bounded number, vertices are left."""
     state = Rounds(graph.edges.sparkSession)
-    out, n = [], graph.vertices.count()
+    out, n, share = [], graph.vertices.count(), SHARE
     for level in range(most):
         if n <= target or (local_arcs and graph.edges.count() <= local_arcs):
             break
         if p.coarsening == "clustering":
-            clusters = coarsen.cluster(graph, max(1, cap), 3, seed=seed + level, assign=assign)
-            if assign is None and clusters.select("c").distinct().count() > 0.5 * n:
-                clusters = coarsen.merge_singletons(graph, clusters, max(1, cap))
+            while True:  # where clustering stalls, clusters may weigh twice as much
+                room = max(1, -int(-2 * cap // share))
+                clusters = coarsen.cluster(graph, room, 3, seed=seed + level, assign=assign)
+                if assign is None and clusters.select("c").distinct().count() > 0.5 * n:
+                    clusters = coarsen.merge_singletons(graph, clusters, room)
+                if share <= LEAST_SHARE or clusters.select("c").distinct().count() <= STALL * n:
+                    break
+                share = max(LEAST_SHARE, share / 2)
             mapping = state.keep(clusters)
             count = mapping.select("c").distinct().count()
         else:
-            pairs = state.keep(coarsen.matching(graph.vertices, graph.edges, p.rating, cap, assign, seed + level, target=0.8))
-            if 2 * pairs.count() < 0.5 * n:
-                pairs = coarsen.two_hop(graph.vertices, graph.edges, pairs, cap, assign)
+            if p.coarsening == "paths":
+                pairs = global_paths(coarsen.rated(graph.vertices, graph.edges, p.rating, cap, assign), seed + level)
+            else:
+                pairs = state.keep(coarsen.matching(graph.vertices, graph.edges, p.rating, cap, assign, seed + level, target=0.8))
+            pairs = coarsen.two_hop(graph.vertices, graph.edges, pairs, cap, assign)
             count = n - pairs.count()
             if count <= 0.95 * n:
                 mapping = state.keep(coarsen.mapping_of(graph.vertices, pairs))

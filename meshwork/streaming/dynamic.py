@@ -23,7 +23,7 @@ from meshwork.functions.profiler import Profiler
 from meshwork.functions.scalars import lmax as limit
 from meshwork.kernels.assignment import assign as assignment
 from meshwork.operators import gains, metrics, refine
-from meshwork.operators.coarsen import Rounds
+from meshwork.operators.rounds import Rounds
 from meshwork.sources.files import parse_commands, write_metis, write_partition
 from meshwork.sources.graph import Graph
 
@@ -140,9 +140,9 @@ class Session:
 
     # edits -------------------------------------------------------------------------------------------------------
 
-    def apply(self, events: DataFrame) -> None:
-        """Folds a batch of edits into the snapshot; rows of seq seen before are dropped."""
-        new = events.where(F.col("seq") > self.last).dropDuplicates(["seq"])
+    def apply(self, events: DataFrame, replays: bool = True) -> None:
+        """Folds a batch of edits into the snapshot; rows of seq seen before are dropped, unless the caller knows that there are none (`replays`)."""
+        new = (events.where(F.col("seq") > self.last) if replays else events).dropDuplicates(["seq"])
         new = self.state.keep(new.select("seq", "op", "u", "v", "w"))
         top = new.agg(F.max("seq")).first()[0]
         if top is None:
@@ -154,7 +154,7 @@ class Session:
         self.unsettled = self.state.keep(self.unsettled.unionByName(marked).distinct())
         now = snapshot(base.unionByName(new))
         self.graph = Graph(self.state.keep(now.vertices), self.state.keep(now.edges))
-        self.last = top
+        self.last = max(self.last, top)
 
     @property
     def limit(self) -> int:
@@ -230,7 +230,8 @@ class Session:
         at = base - 1
         for r in [*others, None]:
             span = commands.where(edit & (F.col("seq") > at))
-            self.apply(span if r is None else span.where(F.col("seq") < r["seq"]))
+            # commands of a run are no replays, even if an `exec` among them has used numbers beyond theirs
+            self.apply(span if r is None else span.where(F.col("seq") < r["seq"]), replays=False)
             if r is None or r["op"] == "quit":
                 break
             start = time.time()
