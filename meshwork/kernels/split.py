@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 from meshwork.kernels.flow import Network, balanced_min_cut
@@ -51,20 +52,45 @@ def grow_half(g: Local, seed: int, target: int, most: int) -> list[bool]:
     return inside
 
 
-def refine_pair(g: Local, side: list[int], most: tuple[int, int], extra: list[tuple[int, int]] | None = None, rounds: int = 3, factor: int = 1, patience: int = 60) -> int:
-    """Two-way local search with rollback: moves the best vertex that fits, each once a round, and keeps the best prefix. extra: what a
-    vertex pays on side 0 and 1 for neighbours elsewhere; factor: what an edge between the sides costs. Returns the gain."""
+class Steps:
+    """When a search should give up: gains since the best prefix, by their running mean and variance. As long as the mean could be chance it goes on; it ends
+    once steps * mean^2 is above alpha * variance + beta."""
+
+    def __init__(self, alpha: float = 1.0, beta: float = 0.0, least: int = 15):
+        self.alpha, self.beta, self.least = alpha, beta, least
+        self.reset()
+
+    def reset(self) -> None:
+        self.n, self.mean, self.spread = 0, 0.0, 0.0
+
+    def add(self, gain: float) -> bool:
+        """Takes a step's gain; whether to stop."""
+        self.n += 1
+        off = gain - self.mean
+        self.mean += off / self.n
+        self.spread += off * (gain - self.mean)
+        return self.n > self.least and self.mean < 0 and self.n * self.mean**2 > self.alpha * self.spread / self.n + self.beta
+
+
+def refine_pair(
+    g: Local, side: list[int], most: tuple[int, int], extra: list[tuple[int, int]] | None = None, rounds: int = 3, factor: int = 1, base: tuple[int, int] = (0, 0), steps: Steps | None = None
+) -> int:
+    """Two-way local search with rollback: moves the best vertex that fits, each once a round, and keeps the best prefix; a round ends when `steps` says that what
+    follows the best prefix falls for good. extra: what a vertex pays on side 0 and 1 for neighbours elsewhere; factor: what an edge between the sides costs; base: what
+    the sides weigh besides. Returns the gain."""
     extra = extra or [(0, 0)] * len(g)
+    steps = steps or Steps(beta=math.log(len(g) + 1))
     total = 0
     for _ in range(rounds):
-        load = [sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
+        load = [base[x] + sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
         gain = [factor * sum(w if side[v] != side[u] else -w for v, w in g.near[u].items()) + extra[u][side[u]] - extra[u][1 - side[u]] for u in range(len(g))]
         heap = [(-gain[u], u) for u in range(len(g))]
         heapq.heapify(heap)
         locked, moved, now, best, best_at, held = [False] * len(g), [], 0, 0, 0, []
         over = max(0, load[0] - most[0]) + max(0, load[1] - most[1])
         best_over = over
-        while heap and len(moved) - best_at < patience:
+        steps.reset()
+        while heap:
             key, u = heapq.heappop(heap)
             if locked[u] or -key != gain[u]:
                 continue
@@ -88,6 +114,9 @@ def refine_pair(g: Local, side: list[int], most: tuple[int, int], extra: list[tu
             over = max(0, load[0] - most[0]) + max(0, load[1] - most[1])
             if (over, -now) < (best_over, -best):
                 best, best_over, best_at = now, over, len(moved)
+                steps.reset()
+            elif steps.add(gain[u]):
+                break
         for u in moved[best_at:]:
             side[u] = 1 - side[u]
         total += best
@@ -96,11 +125,12 @@ def refine_pair(g: Local, side: list[int], most: tuple[int, int], extra: list[tu
     return total
 
 
-def refine_flow(g: Local, side: list[int], most: tuple[int, int], extra: list[tuple[int, int]] | None = None, factor: int = 1, alpha: float = 2.0) -> int:
+def refine_flow(g: Local, side: list[int], most: tuple[int, int], extra: list[tuple[int, int]] | None = None, factor: int = 1, alpha: float = 2.0, base: tuple[int, int] = (0, 0)) -> int:
     """Replaces the cut in a corridor around the border by a minimum cut of it. The corridor grows from the border on each side as long as the
-    other side could take it. Returns the gain; the sides change only if it is positive, or zero and better balanced."""
+    other side could take it. base: what the sides weigh besides. Returns the gain; the sides change only if it is positive, or zero and better balanced."""
     extra = extra or [(0, 0)] * len(g)
-    load = [sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
+    whole = g.total + base[0] + base[1]
+    load = [base[x] + sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
     border = [u for u in range(len(g)) if any(side[v] != side[u] for v in g.near[u])]
     if not border:
         return 0
@@ -139,12 +169,12 @@ def refine_flow(g: Local, side: list[int], most: tuple[int, int], extra: list[tu
     flow = net.max_flow(s, t)
     if flow > before:
         return 0
-    own = g.total - most[1], most[0]
+    own = whole - most[1], most[0]
     left = balanced_min_cut(net, s, t, weight, own[0] - fixed[0], own[1] - fixed[0])
     if left is None:
         return 0
     after = fixed[0] + sum(weight[i] for i in range(n) if left[i])
-    if flow == before and abs(2 * after - g.total) >= abs(2 * load[0] - g.total):
+    if flow == before and abs(2 * after - whole) >= abs(2 * load[0] - whole):
         return 0
     for u in inner:
         side[u] = 0 if left[at[u]] else 1

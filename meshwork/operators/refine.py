@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.local import Local
 from meshwork.kernels.split import refine_flow, refine_pair
-from meshwork.operators import gains, metrics
+from meshwork.operators import corridors, gains, metrics
 from meshwork.operators.rounds import Rounds
 from meshwork.sources.graph import Graph
 
@@ -41,15 +41,11 @@ def label_propagation(graph: Graph, assign: DataFrame, m: Machine, lmax: int, ro
     return assign
 
 
-def rebalance_candidates(conn: DataFrame, assign: DataFrame, vertices: DataFrame, blocks: DataFrame, m: Machine, every_block: bool = False) -> DataFrame:
-    """(u, old_id, new_id, gain): for the vertices of overloaded blocks the best block with room, neighbours only or all blocks."""
+def rebalance_candidates(conn: DataFrame, assign: DataFrame, vertices: DataFrame, blocks: DataFrame, m: Machine) -> DataFrame:
+    """(u, old_id, new_id, gain): for the vertices of overloaded blocks the best of their neighbour blocks with room."""
     over = blocks.where("bweight > lmax").select(F.col("pid"))
     inside = assign.join(over, "pid", "left_semi")
-    if every_block:
-        spare = blocks.where("bweight < lmax")
-        moves = inside.crossJoin(F.broadcast(spare.select(F.col("pid").alias("new_id")))).where("new_id <> pid").select("u", F.col("pid").alias("old_id"), "new_id")
-    else:
-        moves = gains.candidates(conn, inside)
+    moves = gains.candidates(conn, inside)
     fits = moves.join(vertices, "u").join(blocks.select(F.col("pid").alias("new_id"), "bweight", "lmax"), "new_id").where("bweight + vw <= lmax").select("u", "old_id", "new_id")
     first = Window.partitionBy("u").orderBy(F.desc("gain"), "new_id")
     return gains.gain(conn, fits, m).withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
@@ -139,47 +135,62 @@ def distance3_schedule(pairs: list[tuple[int, int, int]]) -> list[list[tuple[int
     return [b for _, b in batches]
 
 
-def pair_frames(graph: Graph, assign: DataFrame, batch: list[tuple[int, int]], m: Machine) -> tuple[DataFrame, DataFrame]:
-    """(pair, u, vw, side, pay0, pay1) and (pair, u, v, w) for the scheduled pairs. pay: what a vertex pays on either side for its
-    neighbours outside the pair, summed in Spark, so a kernel gets inner edges only."""
-    spark = graph.edges.sparkSession
-    table = F.broadcast(spark.createDataFrame([(i, s, b, p[0], p[1]) for i, p in enumerate(batch) for s, b in enumerate(p)], "pair int, side int, pid long, left long, right long"))
-    own = assign.join(table, "pid")
-    vertices = own.join(graph.vertices, "u").select("pair", "u", "vw", "side")
-    met = metrics.placed(graph.edges, assign)
-    met = met.join(table.select(F.col("pid").alias("pu"), "pair", "left", "right"), "pu")
-    outer = met.where("pv <> left and pv <> right").groupBy("pair", "u").agg(F.sum(F.col("w") * m.distance(F.col("left"), F.col("pv"))).alias("pay0"), F.sum(F.col("w") * m.distance(F.col("right"), F.col("pv"))).alias("pay1"))
-    inner = met.where("pv = left or pv = right").select((F.col("pair") + 0).alias("pair"), "u", "v", "w")  # a column of its own for the cogroup
-    vertices = vertices.join(outer, ["pair", "u"], "left").fillna(0, ["pay0", "pay1"])
-    return vertices, inner
+def cost_change(graph: Graph, assign: DataFrame, moves: DataFrame, m: Machine) -> int:
+    """What moves (u, new_id) change the cost by, from the edges of the vertices that move: each such edge counts in both directions."""
+    there = moves.select("u", "new_id")
+    hit = graph.edges.join(there, "u").join(assign.select("u", F.col("pid").alias("old_u")), "u")
+    hit = hit.join(there.select(F.col("u").alias("v"), F.col("new_id").alias("moved_v")), "v", "left").join(assign.select(F.col("u").alias("v"), F.col("pid").alias("old_v")), "v")
+    change = F.col("w") * (m.distance(F.col("new_id"), F.coalesce("moved_v", "old_v")) - m.distance(F.col("old_u"), F.col("old_v")))
+    # an edge between two vertices that move is met in both directions
+    twice = F.when(F.col("moved_v").isNull(), 2).otherwise(1)
+    return hit.agg(F.coalesce(F.sum(change * twice), F.lit(0)).cast("long")).first()[0]
+
+
+def coloured(quotient: DataFrame, k: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The pairs of the quotient graph (at most k^2 / 2) by static colour, the colours with the most weight first; pairs of a colour share no block."""
+    rows = quotient.select("a", "b", "w", corridors.colour(F.col("a"), F.col("b"), k).alias("colour")).collect()
+    classes: dict[int, list] = {}
+    for r in rows:
+        classes.setdefault(r["colour"], []).append((r["a"], r["b"], r["w"]))
+    order = sorted(classes, key=lambda c: (-sum(w for *_, w in classes[c]), c))
+    return [(c, sorted((a, b) for a, b, _ in classes[c])) for c in order]
+
+
+#: How many times over the room of the other side a corridor may weigh, for the searches that have no alpha of their own.
+WIDE = 8.0
 
 
 def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel: str = "fm", rounds: int = 1, alpha: float = 2.0, active: set[int] | None = None, again: int = 1, spaced: bool = False) -> DataFrame:
-    """Refines pairs of blocks side by side with two-way local search ("fm"), minimum cuts ("flow") or swaps ("swap"). The quotient graph
-    (at most k^2 / 2 rows) is scheduled on the driver and kept up to date from the moves; each pair is a group of two blocks. With `spaced`, no two pairs of a batch
-    are joined by an edge of it. A batch that does not lower the cost is dropped."""
+    """Refines pairs of blocks side by side with two-way local search ("fm"), minimum cuts ("flow") or swaps ("swap"). All pairs of one static colour are a stage; each
+    pair's corridor is a group. With `spaced`, no two pairs of a stage are joined by an edge of the quotient graph either. The cost is kept from the edges of moved
+    vertices; a stage that does not lower it is dropped. Pairs of which no block changed in the last round are left out (`active`)."""
     spark = graph.edges.sparkSession
     state = Rounds(spark)
     assign = state.keep(assign)
-    now = cost(graph, assign, m)
+    blocks = state.keep(blocks_of(graph, assign, m.k, lmax))
     quotient = state.keep(metrics.quotient(metrics.placed(graph.edges, assign)).select("a", "b", "w"))
     for turn in range(rounds):
-        pairs = [(r["a"], r["b"], r["w"]) for r in quotient.collect()]
-        if spaced and active is not None:
-            pairs = [p for p in pairs if p[0] in active or p[1] in active]
+        if spaced:
+            stages = distance3_schedule([(r["a"], r["b"], r["w"]) for r in quotient.collect()])
+        else:
+            stages = [pairs for _, pairs in coloured(quotient, m.k)]
         improved: set[int] = set()
         before = assign
-        for batch in distance3_schedule(pairs) if spaced else schedule(pairs, active):
-            vertices, inner = pair_frames(graph, assign, batch, m)
-            run = _pair_kernel(kernel, batch, m, lmax, alpha, again)
-            moves = state.keep(vertices.groupBy("pair").cogroup(inner.groupBy("pair")).applyInPandas(run, "u long, old_id long, new_id long"))
+        for stage in stages:
+            stage = [p for p in stage if active is None or p[0] in active or p[1] in active]
+            if not stage:
+                continue
+            pairs = spark.createDataFrame(stage, "a long, b long")
+            members = corridors.corridors(graph, assign, pairs, blocks, alpha if kernel == "flow" else max(alpha, WIDE))
+            vertices, inner = corridors.pair_frames(graph, assign, members, blocks, m)
+            run = _pair_kernel(kernel, m, lmax, alpha, again)
+            moves = state.keep(vertices.groupBy("a", "b").cogroup(inner.groupBy("a", "b")).applyInPandas(run, "u long, old_id long, new_id long"))
             if not moves.head(1):
                 continue
-            new = state.keep(gains.apply_moves(assign, moves))
-            value = cost(graph, new, m)
-            fits = value < now or (value == now and _overload(graph, new, m.k, lmax) < _overload(graph, assign, m.k, lmax))
-            if fits:
-                assign, now = new, value
+            change = cost_change(graph, assign, moves, m)
+            after = state.keep(gains.moved_weights(blocks, graph.vertices, moves))
+            if change < 0 or (change == 0 and _over(after) < _over(blocks)):
+                assign, blocks = state.keep(gains.apply_moves(assign, moves)), after
                 improved |= {r["pid"] for r in moves.select(F.explode(F.array("old_id", "new_id")).alias("pid")).distinct().collect()}
         if not improved:
             break
@@ -190,35 +201,79 @@ def refine_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, kernel:
     return assign
 
 
-def _pair_kernel(kernel: str, batch: list[tuple[int, int]], m: Machine, lmax: int, alpha: float, again: int = 1):
+def _over(blocks: DataFrame) -> int:
+    return blocks.agg(F.coalesce(F.sum(F.greatest(F.col("bweight") - F.col("lmax"), F.lit(0))), F.lit(0))).first()[0]
+
+
+def partner_moves(conn: DataFrame, assign: DataFrame, pairs: DataFrame, m: Machine) -> DataFrame:
+    """(u, old_id, new_id, gain): what moving to the partner of its block would gain each vertex that is connected to it. pairs: (a, b), sharing no block."""
+    partner = pairs.select(F.col("a").alias("pid"), F.col("b").alias("new_id")).unionByName(pairs.select(F.col("b").alias("pid"), F.col("a").alias("new_id")))
+    wanted = assign.join(F.broadcast(partner), "pid").select("u", F.col("pid").alias("old_id"), "new_id")
+    met = wanted.join(conn.select("u", F.col("id").alias("new_id")), ["u", "new_id"], "left_semi").select("u", "old_id", "new_id")
+    return gains.gain(conn, met, m)
+
+
+def label_propagation_by_pairs(graph: Graph, assign: DataFrame, m: Machine, lmax: int, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """Label propagation over block pairs: colour after colour of the static colouring, vertices move to the partner of their block if that gains. Of a colour
+    an independent set moves, as far as the targets have room; so the cost falls by twice the sum of the gains."""
+    spark = graph.edges.sparkSession
+    state = Rounds(spark)
+    assign = state.keep(assign)
+    ea = metrics.placed(graph.edges, assign)
+    conn = state.keep(metrics.block_conn(ea))
+    blocks = state.keep(blocks_of(graph, assign, m.k, lmax))
+    quotient = state.keep(metrics.quotient(ea).select("a", "b", "w"))
+    active: set[int] | None = None
+    for i in range(rounds):
+        improved: set[int] = set()
+        before = assign
+        for _, pairs in coloured(quotient, m.k):
+            pairs = [p for p in pairs if active is None or p[0] in active or p[1] in active]
+            if not pairs:
+                continue
+            wanted = partner_moves(conn, assign, spark.createDataFrame(pairs, "a long, b long"), m).where("gain > 0")
+            moves = state.keep(gains.admitted(gains.independent(wanted, graph.edges, seed + i), graph.vertices, blocks))
+            hit = [r["pid"] for r in moves.select(F.explode(F.array("old_id", "new_id")).alias("pid")).distinct().collect()]
+            if not hit:
+                continue
+            improved |= set(hit)
+            assign = state.keep(gains.apply_moves(assign, moves))
+            conn = state.keep(gains.moved_conn(conn, graph.edges, moves))
+            blocks = state.keep(gains.moved_weights(blocks, graph.vertices, moves))
+        if not improved:
+            break
+        active = improved
+        moved = before.join(assign.select("u", F.col("pid").alias("new_id")), "u").where("pid <> new_id").select("u", "new_id")
+        quotient = state.keep(gains.moved_quotient(quotient, graph.edges, before, moved))
+    return assign
+
+
+def _pair_kernel(kernel: str, m: Machine, lmax: int, alpha: float, again: int = 1):
     def run(key, vs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         vs = vs.sort_values("u")
         g = Local(vs["u"], vs["vw"], es[["u", "v", "w"]].itertuples(index=False, name=None))
         side = [int(s) for s in vs["side"]]
         old = list(side)
         extra = [(int(a), int(b)) for a, b in zip(vs["pay0"], vs["pay1"], strict=True)]
-        ends = batch[int(key[0])]
+        ends = int(key[0]), int(key[1])
+        base = (int(vs["base0"].iloc[0]), int(vs["base1"].iloc[0])) if len(vs) else (0, 0)
         d = m.between(*ends)
         if kernel == "flow":
             for _ in range(again):
-                if not refine_flow(g, side, (lmax, lmax), extra, d, alpha):
+                if not refine_flow(g, side, (lmax, lmax), extra, d, alpha, base):
                     break
         elif kernel == "swap":
-            _swap(g, side, extra, d, lmax)
+            _swap(g, side, extra, d, lmax, base)
         else:
-            refine_pair(g, side, (lmax, lmax), extra, 2, d)
+            refine_pair(g, side, (lmax, lmax), extra, 2, d, base)
         return pd.DataFrame([(g.ids[i], ends[old[i]], ends[s]) for i, s in enumerate(side) if s != old[i]], columns=["u", "old_id", "new_id"])
 
     return run
 
 
-def _overload(graph: Graph, assign: DataFrame, k: int, lmax: int) -> int:
-    return metrics.balance(metrics.block_weights(graph.vertices, assign, k), lmax).first()["overload"]
-
-
-def _swap(g, side: list[int], extra, d: int, lmax: int) -> None:
+def _swap(g, side: list[int], extra, d: int, lmax: int, base: tuple[int, int] = (0, 0)) -> None:
     """Exchanges the ends of cut edges while that gains and fits."""
-    load = [sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
+    load = [base[x] + sum(w for w, s in zip(g.vw, side, strict=True) if s == x) for x in (0, 1)]
 
     def gain(u):
         return d * sum(w if side[v] != side[u] else -w for v, w in g.near[u].items()) + extra[u][side[u]] - extra[u][1 - side[u]]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meshwork.functions import scalars
 from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.paths import global_paths
-from meshwork.operators import coarsen, gains, metrics, refine
+from meshwork.operators import coarsen, corridors, gains, metrics, paths, refine
 from meshwork.plans import solver
 from meshwork.sources import files, graph as guests
 from meshwork.sources.graph import Graph
@@ -716,6 +716,68 @@ def dyn_place_new(spark, d):
     return placed.where("u % 9 = 0").select("u", F.col("pid").alias("new_id"))
 
 
+# Corridors, colours, paths ----------------------------------------------------------------------------------------------------------------
+
+ALPHA, HOPS = 4.0, 6
+PAIRS_16 = "Q AS (SELECT least(pu, pv) a, greatest(pu, pv) b, sum(w)::BIGINT w FROM EA WHERE u < v AND pu <> pv GROUP BY 1, 2)"
+COLOUR_16 = "CASE WHEN b = 15 THEN (2 * a) % 15 ELSE (a + b) % 15 END"
+
+
+@add("quotient_colours", f"{CO_BIG}, Q AS (SELECT least(pu, pv) a, greatest(pu, pv) b, sum(w)::BIGINT w FROM EA WHERE u < v AND pu <> pv GROUP BY 1, 2) SELECT a, b, w, CASE WHEN b = 191 THEN (2 * a) % 191 ELSE (a + b) % 191 END colour FROM Q")
+def quotient_colours(spark, d):
+    """The static colour of each pair of adjacent blocks."""
+    ea = metrics.placed((g := guests.copurchase(spark, d)).edges, modulo(g, BIG.k))
+    return metrics.quotient(ea).select("a", "b", "w", corridors.colour(F.col("a"), F.col("b"), BIG.k).alias("colour"))
+
+
+@add("colour_conflicts", f"""{CO_BIG}, Q AS (SELECT DISTINCT least(pu, pv) a, greatest(pu, pv) b FROM EA WHERE pu <> pv), C AS (SELECT a, b, CASE WHEN b = 191 THEN (2 * a) % 191 ELSE (a + b) % 191 END colour FROM Q),
+ends AS (SELECT colour, a x FROM C UNION ALL SELECT colour, b FROM C)
+SELECT colour, count(*)::BIGINT n_blocks, (count(*) - count(DISTINCT x))::BIGINT n_conflicts FROM ends GROUP BY 1""")
+def colour_conflicts(spark, d):
+    """How many blocks a colour holds, and how many of them more than once (none)."""
+    one = quotient_colours(spark, d)
+    ends = one.select("colour", F.explode(F.array("a", "b")).alias("x"))
+    return ends.groupBy("colour").agg(F.count("*").alias("n_blocks"), (F.count("*") - F.count_distinct("x")).alias("n_conflicts"))
+
+
+@add("corridor_members", f"""{GRID_SMALL.replace("WITH ", "WITH RECURSIVE ", 1)}, {PAIRS_16}, {BLOCKS.format(k=16)}, {LMAX},
+R AS (SELECT Q.a, Q.b, s.range side, CASE s.range WHEN 0 THEN a ELSE b END own, CASE s.range WHEN 0 THEN b ELSE a END other FROM Q, range(0, 2) s),
+T AS (SELECT R.*, floor({ALPHA} * greatest(L.lmax - B.bweight, floor(L.lmax / 32)))::BIGINT room FROM R JOIN B ON B.pid = R.other, L),
+S AS (SELECT DISTINCT T.a, T.b, T.side, EA.u, 0::BIGINT hop FROM T JOIN EA ON EA.pu = T.own AND EA.pv = T.other
+  UNION SELECT S.a, S.b, S.side, EA.v, S.hop + 1 FROM S JOIN EA ON EA.u = S.u AND EA.pu = EA.pv WHERE S.hop < {HOPS}),
+N AS (SELECT a, b, side, u, min(hop) hop FROM S GROUP BY ALL),
+W AS (SELECT N.*, V.vw, sum(V.vw) OVER (PARTITION BY a, b, side ORDER BY hop, N.u ROWS UNBOUNDED PRECEDING) upto FROM N JOIN V ON N.u = V.u)
+SELECT W.a, W.b, W.side::INTEGER side, W.u, W.vw, W.hop FROM W JOIN T ON W.a = T.a AND W.b = T.b AND W.side = T.side WHERE upto <= room""")
+def corridor_members(spark, d):
+    """What a kernel would get of each pair of adjacent bands."""
+    g = guests.part_grid(spark, d)
+    a = banded(g, 16)
+    pairs = metrics.quotient(metrics.placed(g.edges, a)).select("a", "b")
+    most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 16, EPS)
+    return corridors.corridors(g, a, pairs, refine.blocks_of(g, a, 16, most), ALPHA, HOPS)
+
+
+@add("lp_pair_moves", f"""{CONN}, A2 AS (SELECT u, pid FROM A), Q AS (SELECT DISTINCT least(pid, id) a, greatest(pid, id) b FROM C WHERE pid <> id),
+P AS (SELECT a, b FROM Q WHERE ({COLOUR_16}) = 1), X AS (SELECT a pid, b new_id FROM P UNION ALL SELECT b, a FROM P),
+M AS (SELECT A2.u, A2.pid old_id, X.new_id FROM A2 JOIN X USING (pid) WHERE EXISTS (SELECT 1 FROM C WHERE C.u = A2.u AND C.id = X.new_id))
+SELECT M.u, old_id, new_id, sum(C.w * (({SMALL.sql('old_id', 'C.id')}) - ({SMALL.sql('new_id', 'C.id')})))::BIGINT gain FROM M JOIN C ON M.u = C.u GROUP BY 1, 2, 3""")
+def lp_pair_moves(spark, d):
+    """For the pairs of one colour, what moving to the partner of its block would gain each vertex."""
+    _, a, ea = grid_modulo(spark, d)
+    pairs = metrics.quotient(ea).where(corridors.colour(F.col("a"), F.col("b"), 16) == 1).select("a", "b")
+    return refine.partner_moves(metrics.block_conn(ea), a, pairs, SMALL)
+
+
+@add("path_scores", f"""WITH RECURSIVE {GRID}, line AS (SELECT u // 20 path, (u % 20)::BIGINT pos, w::DOUBLE r FROM one WHERE v = u + 1),
+S AS (SELECT path, pos, 0::DOUBLE before, r keep FROM line WHERE pos = 0 UNION ALL SELECT S.path, line.pos, S.keep, greatest(S.keep, S.before + line.r) FROM S JOIN line ON line.path = S.path AND line.pos = S.pos + 1)
+SELECT path, pos, before, keep FROM S""")
+def path_scores(spark, d):
+    """The best matching of each prefix of each row of the grid, in chunks of four edges."""
+    edges = guests.part_grid(spark, d).edges.where("v = u + 1")
+    line = edges.select(F.floor(F.col("u") / 20).alias("path"), F.lit(0).alias("variant"), (F.col("u") % 20).alias("pos"), F.col("w").cast("double").alias("r"))
+    return paths.path_scores(line, coarsen.Rounds(spark), chunk=4).select("path", "pos", "before", "keep")
+
+
 # Solvers (111-181, 188-193): which solution comes out depends on hashes and kernels; the queries return what must hold of it, counted on the solution
 # itself, and SQL counts the same on the tables ------------------------------------------------------
 
@@ -752,6 +814,14 @@ def coarsen_lp(spark, d):
     return sizes.agg(F.sum("many").alias("n"), F.sum("cw").cast("long").alias("weight"), (F.max("cw") <= 200).alias("fits"), (2 * F.count("*") < F.sum("many")).alias("shrinks"))
 
 
+@_held("match_global_paths", GRID, MATCHED.replace(", TRUE is_maximal", ""))
+def match_global_paths(spark, d):
+    """Global paths of the whole grid, grown and scored on Spark."""
+    g = guests.part_grid(spark, d)
+    rated = coarsen.rated(g.vertices, g.edges, "expansion_star", 100)
+    return _matched(g, paths.global_paths(rated, 1), 100).drop("is_maximal")
+
+
 @_held("match_paths", GRID, "count(*) n, sum(vw)::BIGINT weight, TRUE is_disjoint, TRUE are_edges")
 def match_paths(spark, d):
     """Global paths in each block of the grid."""
@@ -811,12 +881,17 @@ def _solvers() -> None:
             g = guests.part_grid(spark, d)
             a = banded(g, 4, 37)
             most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 4, 0.2)
-            new = refine.label_propagation(g, a, M22, most, 2) if kind == "lp" else refine.refine_pairs(g, a, M22, most, kind, 1)
+            if kind == "lp":
+                new = refine.label_propagation(g, a, M22, most, 2)
+            elif kind == "lp_pairs":
+                new = refine.label_propagation_by_pairs(g, a, M22, most, 2)
+            else:
+                new = refine.refine_pairs(g, a, M22, most, kind, 1)
             return _placed(g, new, M22, 0.2, a)
 
         return f
 
-    for kind in ("lp", "fm", "flow", "swap"):
+    for kind in ("lp", "lp_pairs", "fm", "flow", "swap"):
         _held(f"refine_{kind}", GRID, placed_well(4))(refined(kind))
 
 
