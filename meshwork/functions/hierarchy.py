@@ -105,6 +105,10 @@ class Machine:
         """Which form `auto` picks: identifiers from more than 1024 PEs on."""
         return "binary" if self.k > 1024 else "division"
 
+    def auto_distance(self, x: Column, y: Column) -> Column:
+        """The distance in the form that `oracle` picks."""
+        return self.distance_by_bits(self.identifier(x), self.identifier(y)) if self.oracle() == "binary" else self.distance(x, y)
+
     # for kernels and SQL -----------------------------------------------------------------------------------------
 
     def between(self, x: int, y: int) -> int:

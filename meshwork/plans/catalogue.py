@@ -12,7 +12,7 @@ from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.paths import global_paths
 from meshwork.operators import coarsen, corridors, gains, metrics, paths, refine
 from meshwork.plans import solver
-from meshwork.sources import files, graph as guests
+from meshwork.sources import files, graph as guests, metis
 from meshwork.sources.graph import Graph
 from meshwork.streaming import dynamic
 
@@ -245,59 +245,70 @@ REPORT = ("n", "m_edges", "qap", "edge_cut_directed", "edge_cut", "max_weight",
 
 # Distance oracles (76-82, 32, 33) -----------------------------------------------------------------------------------------------------
 
-PAIRS = f"P AS (SELECT x.range a, y.range b FROM range({BIG.k}) x, range({BIG.k}) y)"
+# pairs of PEs that communicate when the co-purchase graph is placed on the large machine, with what they send
+PAIRS = f"{CO_BIG}, P AS (SELECT pu a, pv b, sum(w)::BIGINT w FROM EA GROUP BY 1, 2)"
 
 
-def _pairs(spark, m=BIG):
-    return spark.range(m.k * m.k).select(F.floor(F.col("id") / m.k).cast("long").alias("a"), (F.col("id") % m.k).alias("b"))
+def _pairs(spark, d):
+    return metrics.block_pairs(co_modulo(spark, d)[2]).select(F.col("pu").alias("a"), F.col("pv").alias("b"), "w")
 
 
-@add("oracle_division", f"WITH {PAIRS} SELECT a, b, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
+@add("oracle_division", f"{PAIRS} SELECT a, b, w, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
 def oracle_division(spark, d):
-    return _pairs(spark).select("a", "b", BIG.distance(F.col("a"), F.col("b")).alias("d"))
+    return _pairs(spark, d).withColumn("d", BIG.distance(F.col("a"), F.col("b")))
 
 
-@add("oracle_binary", f"WITH {PAIRS} SELECT a, b, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
+@add("oracle_binary", f"{PAIRS} SELECT a, b, w, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
 def oracle_binary(spark, d):
-    return _pairs(spark).select("a", "b", BIG.distance_by_bits(BIG.identifier(F.col("a")), BIG.identifier(F.col("b"))).alias("d"))
+    return _pairs(spark, d).withColumn("d", BIG.distance_by_bits(BIG.identifier(F.col("a")), BIG.identifier(F.col("b"))))
 
 
-@add("oracle_stored", f"WITH {PAIRS} SELECT a, b, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
+@add("oracle_stored", f"{PAIRS} SELECT a, b, w, ({BIG.sql('a', 'b')})::BIGINT d FROM P")
 def oracle_stored(spark, d):
     pes = BIG.pes(spark)
-    met = _pairs(spark).join(F.broadcast(pes.alias("x")), F.col("a") == F.col("x.pid")).join(F.broadcast(pes.alias("y")), F.col("b") == F.col("y.pid"))
-    return met.select("a", "b", BIG.distance_by_groups("x", "y").alias("d"))
+    met = _pairs(spark, d).join(F.broadcast(pes.alias("x")), F.col("a") == F.col("x.pid")).join(F.broadcast(pes.alias("y")), F.col("b") == F.col("y.pid"))
+    return met.select("a", "b", "w", BIG.distance_by_groups("x", "y").alias("d"))
 
 
-@add("oracle_level", f"WITH {PAIRS} SELECT a, b, ({BIG.sql('a', 'b')})::BIGINT d, ({BIG.sql('a', 'b', True)})::INTEGER h FROM P")
+@add("oracle_level", f"{PAIRS} SELECT a, b, w, ({BIG.sql('a', 'b')})::BIGINT d, ({BIG.sql('a', 'b', True)})::INTEGER h FROM P")
 def oracle_level(spark, d):
-    return BIG.matrix(spark)
+    """Looked up in the table of all pairs of PEs (k^2 rows)."""
+    return _pairs(spark, d).join(F.broadcast(BIG.matrix(spark)), ["a", "b"]).select("a", "b", "w", "d", "h")
 
 
-@add("oracle_equivalence", "SELECT 0::BIGINT a, 0::BIGINT b WHERE false")
+@add("oracle_auto", f"""{placed_sql(CO, 2048)} SELECT count(*)::BIGINT n_pairs, sum(w * ({Machine.parse('8:8:32', '1:10:100').sql('pu', 'pv')}))::BIGINT qap FROM (SELECT pu, pv, sum(w)::BIGINT w FROM EA GROUP BY 1, 2)""")
+def oracle_auto(spark, d):
+    """The cost on a machine of 2,048 PEs, with the distances that the automatic oracle picks for its size."""
+    m = Machine.parse("8:8:32", "1:10:100")
+    g = guests.copurchase(spark, d)
+    pairs = metrics.block_pairs(metrics.placed(g.edges, modulo(g, m.k)))
+    return pairs.agg(F.count("*").alias("n_pairs"), F.sum(F.col("w") * m.auto_distance(F.col("pu"), F.col("pv"))).cast("long").alias("qap"))
+
+
+@add("oracle_equivalence", f"{PAIRS} SELECT count(*)::BIGINT n_pairs, 0::BIGINT n_binary, 0::BIGINT n_stored, 0::BIGINT n_level FROM P")
 def oracle_equivalence(spark, d):
-    """Pairs for which the four forms disagree: none."""
-    one = oracle_division(spark, d)
-    out = None
-    for other in (oracle_binary(spark, d), oracle_stored(spark, d), BIG.matrix(spark).select("a", "b", "d")):
-        diff = one.exceptAll(other).unionByName(other.exceptAll(one)).select("a", "b")
-        out = diff if out is None else out.unionByName(diff)
-    return out
+    """How many of the pairs there are, and for how many each other form disagrees with the divisions: none."""
+    pes = BIG.pes(spark)
+    met = _pairs(spark, d).join(F.broadcast(pes.alias("x")), F.col("a") == F.col("x.pid")).join(F.broadcast(pes.alias("y")), F.col("b") == F.col("y.pid")).join(F.broadcast(BIG.matrix(spark)), ["a", "b"])
+    one = BIG.distance(F.col("a"), F.col("b"))
+    forms = {"n_binary": BIG.distance_by_bits(F.col("x.ident"), F.col("y.ident")), "n_stored": BIG.distance_by_groups("x", "y"), "n_level": F.col("d")}
+    return met.agg(F.count("*").alias("n_pairs"), *[F.count_if(one != form).alias(name) for name, form in forms.items()])
 
 
-@add("pe_digits", f"SELECT range pid, range // 4 g1, range // 32 g2, range // 192 g3, ((range % 4) | ((range // 4 % 8) << 2) | ((range // 32) << 5))::BIGINT ident FROM range({BIG.k})")
+@add("pe_digits", f"{CO_BIG} SELECT u, pid, pid // 4 g1, pid // 32 g2, pid // 192 g3, ((pid % 4) | ((pid // 4 % 8) << 2) | ((pid // 32) << 5))::BIGINT ident FROM A")
 def pe_digits(spark, d):
-    return BIG.pes(spark)
+    """Each vertex with the groups and the identifier of its PE."""
+    return co_modulo(spark, d)[1].join(F.broadcast(BIG.pes(spark)), "pid").select("u", "pid", "g1", "g2", "g3", "ident")
 
 
-@add("last_level_pairs", f"WITH {PAIRS} SELECT a, b FROM P WHERE a // 4 = b // 4")
+@add("last_level_pairs", f"{PAIRS} SELECT a, b, w FROM P WHERE a // 4 = b // 4")
 def last_level_pairs(spark, d):
-    return _pairs(spark).where(BIG.last_level_pair(F.col("a"), F.col("b")))
+    return _pairs(spark, d).where(BIG.last_level_pair(F.col("a"), F.col("b")))
 
 
-@add("neighbors_at_level", f"WITH {PAIRS} SELECT a, b FROM P WHERE a // 32 = b // 32")
+@add("neighbors_at_level", f"{PAIRS} SELECT a, b, w FROM P WHERE a // 32 = b // 32")
 def neighbors_at_level(spark, d):
-    return _pairs(spark).where(BIG.are_neighbors(F.col("a"), F.col("b"), 1))
+    return _pairs(spark, d).where(BIG.are_neighbors(F.col("a"), F.col("b"), 1))
 
 
 # Ratings and scalar functions (83-95) ------------------------------------------------------------------------------------------------
@@ -983,8 +994,45 @@ def dyn_autorefine(spark, d):
     return spark.createDataFrame(rows, "batch long, touched long, n long, choice string")
 
 
-@add("command_log", """SELECT * FROM (VALUES (1::BIGINT, '+v', 1::BIGINT, NULL::BIGINT, 2::BIGINT, FALSE), (2, '+e', 1, 2, 3, FALSE), (4, 'save_partition', NULL, NULL, NULL, TRUE),
-  (5, 'vw', NULL, NULL, NULL, TRUE), (6, '-e', 1, 2, NULL, FALSE), (7, 'stats', NULL, NULL, NULL, FALSE)) t(seq, op, u, v, w, rejected)""")
+@add("command_log", f"""WITH {EVENT_SQL}, T AS (SELECT seq, CASE WHEN seq % 50 = 0 THEN 'stats' WHEN seq % 50 = 1 THEN '# a comment' WHEN seq % 50 = 2 THEN 'save_partition x' WHEN seq % 50 = 3 THEN op || ' x' ELSE concat_ws(' ', op, u, v, w) END l FROM EV)
+SELECT EV.seq, split_part(l, ' ', 1) op, CASE WHEN EV.seq % 50 > 3 THEN u END u, CASE WHEN EV.seq % 50 > 3 THEN v END v, CASE WHEN EV.seq % 50 > 3 THEN w END w, EV.seq % 50 IN (2, 3) rejected
+FROM T JOIN EV USING (seq) WHERE EV.seq % 50 <> 1""")
 def command_log(spark, d):
-    """Parsed commands with what was rejected."""
-    return files.command_list(spark, ["# a comment", "+v 1 2", "+e 1 2 3", "", "save_partition x", "vw 1", "-e 1 2", "stats"]).select("seq", "op", "u", "v", "w", "rejected")
+    """The log of edits written as commands, with some that aren't edits, and some that must be rejected; parsed."""
+    e, at = graph_events(spark, d), F.col("seq") % 50
+    text = F.when(at == 0, "stats").when(at == 1, "# a comment").when(at == 2, "save_partition x").when(at == 3, F.concat("op", F.lit(" x"))).otherwise(F.concat_ws(" ", "op", "u", "v", "w"))
+    return files.parse_commands(e.select(F.col("seq").alias("line"), text.alias("value"))).select("seq", "op", "u", "v", "w", "rejected")
+
+
+@add("metis_source", f"WITH {GRID} SELECT E.u, E.v, E.w, V.vw FROM E JOIN V ON E.u = V.u")
+def metis_source(spark, d):
+    """A METIS file written from the grid and read by the data source, with the weight of each arc's first vertex."""
+    path = f"{coarsen.Rounds(spark).root}/metis"
+    files.write_metis(guests.part_grid(spark, d), path)
+    g = metis.read_graph(spark, path, 4096)
+    return g.edges.join(g.vertices, "u")
+
+
+@add("dataset_round_trip", f"WITH {GRID_SMALL[5:]} SELECT A.u, pid, vw FROM A JOIN V ON A.u = V.u")
+def dataset_round_trip(spark, d):
+    """A placed grid added to a collection of instances, and found there by its fingerprint."""
+    g, a, _ = grid_modulo(spark, d)
+    path = f"{coarsen.Rounds(spark).root}/collection"
+    files.write_dataset(g, a, {"k": 16}, path)
+    key = F.col("graph_hash").cast("string") == F.lit(str(files.fingerprint(g).first()[0]))
+    read = lambda name: spark.read.parquet(f"{path}/{name}").where(key)
+    return read("assign").join(read("vertices"), "u").select("u", "pid", "vw")
+
+
+@add("multisection_items", f"""{GRID_SMALL}, D AS (SELECT 0::BIGINT depth, 16 s, 4::BIGINT k UNION ALL SELECT 1, 4, 4)
+SELECT item, depth, k, n, weight, coalesce(m_edges, 0)::BIGINT m_edges FROM (SELECT D.depth, D.k, pid // s * s item, count(*) n, sum(vw)::BIGINT weight FROM A JOIN V ON A.u = V.u, D GROUP BY ALL)
+LEFT JOIN (SELECT D.depth, pu // s * s item, count(*) // 2 m_edges FROM EA, D WHERE pu // s = pv // s GROUP BY ALL) USING (depth, item)""")
+def multisection_items(spark, d):
+    """The parts that a multisection of the grid has split, with the size of each part's own graph."""
+    g, a, _ = grid_modulo(spark, d)
+    return metrics.multisection_items(g, a, SMALL)
+
+
+@add("unweighted_sink", f"WITH {GRID}, n AS (SELECT u, string_agg((v + 1)::VARCHAR, ' ' ORDER BY v) t FROM E GROUP BY u) SELECT V.u, coalesce(t, '') \"value\" FROM V LEFT JOIN n ON V.u = n.u")
+def unweighted_sink(spark, d):
+    return files.metis_lines(guests.part_grid(spark, d), weights=False)
