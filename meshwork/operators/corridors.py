@@ -1,12 +1,13 @@
 """Corridors of pairs of blocks, and which pairs may be refined at once.
 
 A corridor is what a kernel gets of a pair of blocks instead of the blocks: on each side the vertices nearest to the border, as many as the other side could take
-`alpha` times over. It is grown by a search from all borders of all pairs at once, a hop a round; what a round finds is admitted by running
-weights over ranges of ids, so no task sees a whole side.
+`alpha` times over. It is grown by a search from all borders of all pairs at once, a hop a round, and cut by running weights over ranges of (hop, id), so no task sees a whole side.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.functions.hierarchy import Machine
@@ -47,25 +48,19 @@ def corridors(graph: Graph, assign: DataFrame, pairs: DataFrame, blocks: DataFra
     cut = ea.where("pu <> pv").select("u", F.col("pu").alias("own"), F.col("pv").alias("other")).distinct()
     fresh = cut.join(F.broadcast(limits), ["own", "other"]).select(*SIDE, "u")
     inner = ea.where("pu = pv").select("u", "v")
-    seen = used = None
+    found: list[DataFrame] = []
     hop = 0
-    while hop <= most_hops:
-        weighed = fresh.join(graph.vertices, "u").select(*SIDE, "u", "vw")
-        ahead = ranked(weighed, SIDE, ["u"], state, "vw").drop("rank")
-        left = limits.select(*SIDE, "room") if used is None else limits.join(used, SIDE, "left").select(*SIDE, (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
-        fits = ahead.join(F.broadcast(left), SIDE).withColumn("full", F.col("ahead") + F.col("vw") > F.col("room"))
-        fits = state.keep(fits.select(*SIDE, "u", "vw", F.lit(hop).cast("long").alias("hop"), "full"))
-        new = fits.where("not full").drop("full")
-        seen = state.keep(new if seen is None else seen.unionByName(new))
-        # a side of which something didn't fit is done: all that is further comes behind it
-        done = fits.where("full").select(*SIDE).distinct()
-        open_ = new.join(F.broadcast(done), SIDE, "left_anti").select(*SIDE, "u")
-        if not open_.head(1):
-            break
-        used = state.keep(seen.groupBy(*SIDE).agg(F.sum("vw").alias("used")))
-        fresh = open_.join(inner, "u").select(*SIDE, F.col("v").alias("u")).distinct().join(seen.select(*SIDE, "u"), [*SIDE, "u"], "left_anti")
+    while True:
+        found.append(state.keep(fresh.join(graph.vertices, "u").select(*SIDE, "u", "vw", F.lit(hop).cast("long").alias("hop"))))
+        seen = reduce(DataFrame.unionByName, found)
+        # a side that weighs more than its room is done: all that is further comes behind what it has
+        open_ = seen.groupBy(*SIDE).agg(F.sum("vw").alias("used")).join(F.broadcast(limits), SIDE).where("used < room").select(*SIDE)
+        fresh = found[-1].join(F.broadcast(open_), SIDE, "left_semi").join(inner, "u").select(*SIDE, F.col("v").alias("u")).distinct().join(seen.select(*SIDE, "u"), [*SIDE, "u"], "left_anti")
         hop += 1
-    return seen
+        if hop > most_hops or not found[-1].head(1):
+            break
+    inside = ranked(seen, SIDE, ["hop", "u"], state, "vw").join(F.broadcast(limits), SIDE).where(F.col("ahead") + F.col("vw") <= F.col("room"))
+    return state.keep(inside.select(*SIDE, "u", "vw", "hop"))
 
 
 def pair_frames(graph: Graph, assign: DataFrame, members: DataFrame, blocks: DataFrame, m: Machine) -> tuple[DataFrame, DataFrame]:

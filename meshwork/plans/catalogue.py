@@ -847,8 +847,8 @@ def match_paths(spark, d):
 
 
 def _placed(g: Graph, a: DataFrame, m: Machine, eps: float, start: DataFrame | None = None) -> DataFrame:
-    """One row: n, weight, k; whether all vertices are placed once, on the machine, within the limit, no block is empty, and the cost isn't above that of the
-    start (a modulo placement, if none is given)."""
+    """One row: n, weight, k; whether all vertices are placed once, on the machine; the weight above the limit; whether no block is empty, and the cost isn't above
+    that of the start (a modulo placement, if none is given)."""
     a = coarsen.Rounds(g.edges.sparkSession).keep(a)
     start = modulo(g, m.k) if start is None else start
     row = g.vertices.agg(F.count("*").alias("n"), F.sum("vw").cast("long").alias("weight"))
@@ -856,15 +856,15 @@ def _placed(g: Graph, a: DataFrame, m: Machine, eps: float, start: DataFrame | N
     most = scalars.lmax(weight, m.k, eps)
     whole = a.join(g.vertices, "u").agg(F.count("*").alias("n"), F.sum("vw").alias("w"), F.count_distinct("u").alias("d")).first()
     inside = a.where((F.col("pid") < 0) | (F.col("pid") >= m.k)).count() == 0
-    balance = [metrics.balance(metrics.block_weights(g.vertices, x, m.k), most).first() for x in (a, start)]
+    balance = metrics.balance(metrics.block_weights(g.vertices, a, m.k), most).first()
     return row.withColumns({
-        "k": F.lit(m.k).cast("long"), "is_complete": F.lit(whole["n"] == whole["d"] and whole["w"] == weight and inside), "fits": F.lit(balance[0]["overload"] <= 0 or balance[0]["overload"] < balance[1]["overload"]),
-        "none_empty": F.lit(balance[0]["n_empty"] == 0), "no_worse": F.lit(refine.cost(g, a, m) <= refine.cost(g, start, m)),
+        "k": F.lit(m.k).cast("long"), "is_complete": F.lit(whole["n"] == whole["d"] and whole["w"] == weight and inside), "overload": F.lit(balance["overload"]).cast("long"),
+        "none_empty": F.lit(balance["n_empty"] == 0), "no_worse": F.lit(refine.cost(g, a, m) <= refine.cost(g, start, m)),
     })
 
 
 def placed_well(k: int) -> str:
-    return f"count(*) n, sum(vw)::BIGINT weight, {k}::BIGINT k, TRUE is_complete, TRUE fits, TRUE none_empty, TRUE no_worse"
+    return f"count(*) n, sum(vw)::BIGINT weight, {k}::BIGINT k, TRUE is_complete, 0::BIGINT overload, TRUE none_empty, TRUE no_worse"
 
 
 M22, M222 = Machine.parse("2:2", "1:10"), Machine.parse("2:2:2", "1:10:100")
@@ -920,7 +920,7 @@ def swap_moves(spark, d):
     return refine.swap_moves(g, g.vertices.select("u", (F.col("u") * 7 % 16).alias("pid")), SMALL)
 
 
-@_held("rebalance_full", GRID, "count(*) n, sum(vw)::BIGINT weight, 16::BIGINT k, TRUE is_complete, TRUE fits")
+@_held("rebalance_full", GRID, "count(*) n, sum(vw)::BIGINT weight, 16::BIGINT k, TRUE is_complete, 0::BIGINT overload")
 def rebalance_full(spark, d):
     g, a, _, _ = _heavy(spark, d)
     most = scalars.lmax(g.vertices.agg(F.sum("vw")).first()[0], 16, EPS)
@@ -949,7 +949,7 @@ LATE = "seq % 1000 >= 900"
 LATE_SQL = EVENT_SQL.replace("EV AS (", "RAW AS (", 1).replace("\nvx AS (", f"\nEV AS (SELECT * REPLACE (CASE WHEN {LATE} THEN seq + (SELECT max(seq) + 1 FROM RAW) ELSE seq END AS seq) FROM RAW),\nvx AS (", 1)
 
 
-@add("dyn_session", f"WITH {LATE_SQL} SELECT (SELECT count(*) FROM SV) n, (SELECT sum(vw)::BIGINT FROM SV) weight, (SELECT count(*) FROM SE) m_edges, TRUE is_complete, TRUE fits")
+@add("dyn_session", f"WITH {LATE_SQL} SELECT (SELECT count(*) FROM SV) n, (SELECT sum(vw)::BIGINT FROM SV) weight, (SELECT count(*) FROM SE) m_edges, TRUE is_complete, 0::BIGINT overload")
 def dyn_session(spark, d):
     """Most of the log, a partition, the rest of the log, a refinement."""
     s = dynamic.Session(spark, M22, 0.1, "fast")
@@ -960,7 +960,7 @@ def dyn_session(spark, d):
     s.apply(events.where(LATE).withColumn("seq", F.col("seq") + top + 1))
     s.refine_fast()
     out = _placed(s.graph, s.assign, M22, 0.1)
-    return out.withColumn("m_edges", F.lit(s.graph.edges.count() // 2).cast("long")).select("n", "weight", "m_edges", "is_complete", "fits")
+    return out.withColumn("m_edges", F.lit(s.graph.edges.count() // 2).cast("long")).select("n", "weight", "m_edges", "is_complete", "overload")
 
 
 #: Events of each batch after the first, of a thousand; none removes a vertex.
@@ -980,8 +980,8 @@ steps(b, lo, touched, n, is_partition) AS (
 SELECT b::BIGINT batch, touched, n, CASE WHEN is_partition THEN 'partition' ELSE 'refine' END choice FROM steps WHERE b > 0""")
 def dyn_autorefine(spark, d):
     """What autorefine does after each of some small batches: it goes by what was touched since the last partition, not the last refinement."""
-    solver.PROFILES.setdefault("light", solver.profile_with("fast", trials=1, lp=1, pairs=0))
-    s = dynamic.Session(spark, M22, 0.5, "light")
+    light = solver.profile_with("fast", trials=1, lp=1, pairs=0)
+    s = dynamic.Session(spark, M22, 0.5, light)
     events = coarsen.Rounds(spark).keep(graph_events(spark, d).where("op <> '-v'").withColumn("b", F.expr(BATCH_OF)))
     top = (events.agg(F.max("seq")).first()[0] or 0) + 1
     rows = []
@@ -990,7 +990,7 @@ def dyn_autorefine(spark, d):
         if not b:
             s.partition()
             continue
-        rows.append((b, s.unsettled.count(), s.graph.vertices.count(), s.autorefine(LIMIT, "light")))
+        rows.append((b, s.unsettled.count(), s.graph.vertices.count(), s.autorefine(LIMIT, light)))
     return spark.createDataFrame(rows, "batch long, touched long, n long, choice string")
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -27,6 +28,9 @@ from meshwork.operators.rounds import Rounds
 from meshwork.sources.files import parse_commands, write_metis, write_partition
 from meshwork.sources.graph import Graph
 
+if TYPE_CHECKING:
+    from meshwork.plans.solver import Profile
+
 EVENTS = "seq long, op string, u long, v long, w long"
 
 
@@ -128,7 +132,7 @@ def align(vertices: DataFrame, old: DataFrame, new: DataFrame, m: Machine) -> Da
 class Session:
     """A placement that follows a log of commands."""
 
-    def __init__(self, spark: SparkSession, machine: Machine, eps: float = 0.03, profile: str = "fast", seed: int = 0):
+    def __init__(self, spark: SparkSession, machine: Machine, eps: float = 0.03, profile: str | Profile = "fast", seed: int = 0):
         self.spark, self.m, self.eps, self.profile, self.seed = spark, machine, eps, profile, seed
         self.state, self.profiler = Rounds(spark), Profiler()
         self.graph = Graph(spark.createDataFrame([], "u long, vw long"), spark.createDataFrame([], "u long, v long, w long"))
@@ -162,7 +166,7 @@ class Session:
 
     # placements --------------------------------------------------------------------------------------------------
 
-    def partition(self, profile: str | None = None) -> None:
+    def partition(self, profile: str | Profile | None = None) -> None:
         """Solves anew and renames the blocks towards the placement before."""
         from meshwork.plans.solver import solve
 
@@ -191,7 +195,7 @@ class Session:
         n = self.graph.vertices.count()
         return 100.0 * self.unsettled.count() / n if n else 0.0
 
-    def autorefine(self, percent: float = 10.0, profile: str = "fast") -> str:
+    def autorefine(self, percent: float = 10.0, profile: str | Profile = "fast") -> str:
         """A full partition if at least `percent` of the vertices were touched since the last one, else a refinement."""
         if self.assign is None or self.unsettled_share() >= percent:
             self.partition(profile)
