@@ -14,7 +14,7 @@ from meshwork.operators import coarsen, corridors, gains, metrics, paths, refine
 from meshwork.plans import solver
 from meshwork.sources import files, graph as guests, metis
 from meshwork.sources.graph import Graph
-from meshwork.streaming import dynamic
+from meshwork.streaming import dynamic, keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -701,6 +701,22 @@ def dyn_snapshot_edges(spark, d):
     return dynamic.edge_weights(graph_events(spark, d))
 
 
+@add("dyn_keyed_edges", f"WITH {EVENT_SQL} SELECT u, v, w, (SELECT sum(vw)::BIGINT FROM SV) weight FROM SE")
+def dyn_keyed_edges(spark, d):
+    """The log as a stream of files whose edits are kept as state by vertex: the edges that are left, and the weight of all vertices."""
+    state = coarsen.Rounds(spark)
+    folder = f"{state.root}/edits"
+    graph_events(spark, d).write.parquet(folder)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    try:
+        keyed.follow(spark.readStream.schema(dynamic.EVENTS).parquet(folder), f"{state.root}/log", f"{state.root}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    g = keyed.graph_of(spark.read.schema(keyed.CHANGES).parquet(f"{state.root}/log"))
+    return g.edges.where("u < v").crossJoin(F.broadcast(g.vertices.agg(F.sum("vw").alias("weight"))))
+
+
 @add("dyn_dirty", f"""WITH {EVENT_SQL} SELECT DISTINCT u FROM (SELECT u FROM EV WHERE op IN ('+v', 'vw', '+e', '-e', 'ew') UNION ALL SELECT v FROM EV WHERE op IN ('+e', '-e', 'ew'))""")
 def dyn_dirty(spark, d):
     return dynamic.dirty(graph_events(spark, d))
