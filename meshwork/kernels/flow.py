@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import deque
-from itertools import product
+from collections.abc import Iterator
+from random import Random
 
 
 class Network:
@@ -126,33 +127,85 @@ class Network:
         return comp
 
 
-def balanced_min_cut(net: Network, s: int, t: int, weight: list[int], low: int, high: int, exact: int = 12) -> list[bool] | None:
+#: Random orders tried besides the natural one where there are too many free components to try all sets. Fixed value.
+ORDERS = 12
+
+
+def closed_sets(after: list[int]) -> Iterator[int]:
+    """All sets of components, as bit masks, that hold what follows each of their members. after[i]: mask of what directly follows i, all of smaller number."""
+    yield 0
+    sets = [0]
+    for i, need in enumerate(after):
+        grown = [x | 1 << i for x in sets if x & need == need]
+        yield from grown
+        sets += grown
+
+
+def random_order(after: list[int], rng: Random) -> list[int]:
+    """An order in which all that follows a component stands before it, so that every prefix is closed; any of those that may come next is picked."""
+    done, order = 0, []
+    waiting = [bin(x).count("1") for x in after]
+    users: list[list[int]] = [[] for _ in after]
+    for i, need in enumerate(after):
+        for j in range(i):
+            if need >> j & 1:
+                users[j].append(i)
+    ready = [i for i, n in enumerate(waiting) if not n]
+    while ready:
+        at = rng.randrange(len(ready))
+        ready[at], ready[-1] = ready[-1], ready[at]
+        i = ready.pop()
+        order.append(i)
+        done |= 1 << i
+        for u in users[i]:
+            waiting[u] -= 1
+            if not waiting[u]:
+                ready.append(u)
+    return order
+
+
+def balanced_min_cut(net: Network, s: int, t: int, weight: list[int], low: int, high: int, exact: int = 12, orders: int = ORDERS) -> list[bool] | None:
     """Of all minimum cuts of a solved network, the source side whose weight is nearest to the middle of [low, high], or None if none is
-    inside. A source side is a set of strong components closed under residual successors: all are tried if few are free,
-    else the prefixes of one topological order."""
+    inside. A source side is a set of strong components closed under residual successors: all closed sets are tried if few components are free, else the
+    prefixes of the topological order that the components are numbered by and of some random ones."""
     comp = net.strong_components()
     k = max(comp) + 1
     w = [0] * k
     for u, c in enumerate(comp):
         w[c] += weight[u]
-    succ: list[set[int]] = [set() for _ in range(k)]
-    for u in range(net.n):
-        for a in net.out[u]:
-            if net.cap[a] > 0 and comp[net.to[a]] != comp[u]:
-                succ[comp[u]].add(comp[net.to[a]])
     must = {comp[u] for u, x in enumerate(net.source_side(s)) if x}
     never = {comp[u] for u, x in enumerate(net.sink_side(t)) if x}
     free = [c for c in range(k) if c not in must and c not in never]
-    base, middle, best = sum(w[c] for c in must), (low + high) / 2, None
-    options = (
-        ({c for c, b in zip(free, bits, strict=True) if b} for bits in product((0, 1), repeat=len(free)))
-        if len(free) <= exact
-        else (set(free[:i]) for i in range(len(free) + 1))  # smaller numbers come after in topological order: prefixes are closed
-    )
-    for chosen in options:
-        if any(x not in must and x not in chosen for c in chosen for x in succ[c]):
+    place = {c: i for i, c in enumerate(free)}
+    after = [0] * len(free)
+    for u in range(net.n):
+        i = place.get(comp[u])
+        if i is None:
             continue
-        total = base + sum(w[c] for c in chosen)
+        for a in net.out[u]:
+            j = place.get(comp[net.to[a]])
+            if net.cap[a] > 0 and j is not None and j != i:
+                after[i] |= 1 << j
+    base, middle = sum(w[c] for c in must), (low + high) / 2
+    best: tuple[float, set[int]] | None = None
+
+    def offer(total: int, members) -> None:
+        nonlocal best
         if low <= total <= high and (best is None or abs(total - middle) < best[0]):
-            best = (abs(total - middle), must | chosen)
-    return None if best is None else [c in best[1] for c in comp]
+            best = (abs(total - middle), set(members()))
+
+    if len(free) <= exact:
+        for mask in closed_sets(after):
+            offer(base + sum(w[c] for i, c in enumerate(free) if mask >> i & 1), lambda mask=mask: (c for i, c in enumerate(free) if mask >> i & 1))
+    else:
+        rng = Random(len(free))
+        for turn in range(orders + 1):
+            order = random_order(after, rng) if turn else list(range(len(free)))  # smaller numbers follow, so prefixes of the natural order are closed
+            total = base
+            offer(total, lambda: ())
+            for n, i in enumerate(order, 1):
+                total += w[free[i]]
+                offer(total, lambda n=n, order=order: (free[x] for x in order[:n]))
+            if best is not None and best[0] < 1:
+                break
+    return None if best is None else [c in must or c in best[1] for c in comp]

@@ -156,3 +156,39 @@ def test_multilevel_of_odd_graphs():
     for g in (grid(1, 1), graph(3, []), graph(5, [(0, i, 1) for i in range(1, 5)], [100, 1, 1, 1, 1]), grid(3, 1)):
         pid = multilevel.solve(g, m, max(1, -(-g.total // 4)), g.total, 0.03)
         assert len(pid) == len(g) and all(0 <= b < 4 for b in pid)
+
+
+def test_balanced_cuts_by_closed_sets_and_random_orders():
+    """Sets are those of brute force; above the limit, several orders are never farther from the middle than the natural one, and every cut is a minimum one."""
+    import itertools
+
+    from meshwork.kernels.flow import Network, balanced_min_cut, closed_sets, random_order
+
+    rng = random.Random(3)
+    after = [sum(1 << j for j in range(i) if rng.random() < 0.3) for i in range(9)]
+    brute = {m for m in range(512) if all(m & after[i] == after[i] for i in range(9) if m >> i & 1)}
+    sets = list(closed_sets(after))
+    assert set(sets) == brute and len(sets) == len(brute)
+    order = random_order(after, rng)
+    assert sorted(order) == list(range(9)) and all(not after[i] & ~sum(1 << x for x in order[:n]) for n, i in enumerate(order))
+    better = 0
+    for trial in range(30):
+        n = 40
+        net = Network(n + 2)
+        s, t = n, n + 1
+        for i, j in itertools.pairwise(range(n)):
+            if rng.random() < 0.8:
+                net.add(i, j, 1 if rng.random() < 0.2 else 2, 0)
+        net.add(s, 0, 1)
+        net.add(n - 1, t, 1)
+        weight = [rng.randint(1, 5) for _ in range(n)] + [0, 0]
+        net.max_flow(s, t)
+        total = sum(weight)
+        away = []
+        for orders in (0, 12):
+            got = balanced_min_cut(net, s, t, weight, 0, total, exact=0, orders=orders)
+            assert got is not None and all(net.cap[a] == 0 for u in range(n + 2) if got[u] for a in net.out[u] if not got[net.to[a]])
+            away.append(abs(sum(x for x, g in zip(weight, got, strict=True) if g) - total / 2))
+        assert away[1] <= away[0]
+        better += away[1] < away[0]
+    assert better
