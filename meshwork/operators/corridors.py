@@ -6,8 +6,6 @@ A corridor is what a kernel gets of a pair of blocks instead of the blocks: on e
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshwork.functions.hierarchy import Machine
@@ -48,16 +46,15 @@ def corridors(graph: Graph, assign: DataFrame, pairs: DataFrame, blocks: DataFra
     cut = ea.where("pu <> pv").select("u", F.col("pu").alias("own"), F.col("pv").alias("other")).distinct()
     fresh = cut.join(F.broadcast(limits), ["own", "other"]).select(*SIDE, "u")
     inner = ea.where("pu = pv").select("u", "v")
-    found: list[DataFrame] = []
-    hop = 0
-    while True:
-        found.append(state.keep(fresh.join(graph.vertices, "u").select(*SIDE, "u", "vw", F.lit(hop).cast("long").alias("hop"))))
-        seen = reduce(DataFrame.unionByName, found)
-        # a side that weighs more than its room is done: all that is further comes behind what it has
-        open_ = seen.groupBy(*SIDE).agg(F.sum("vw").alias("used")).join(F.broadcast(limits), SIDE).where("used < room").select(*SIDE)
-        fresh = found[-1].join(F.broadcast(open_), SIDE, "left_semi").join(inner, "u").select(*SIDE, F.col("v").alias("u")).distinct().join(seen.select(*SIDE, "u"), [*SIDE, "u"], "left_anti")
-        hop += 1
-        if hop > most_hops or not found[-1].head(1):
+    seen = state.keep(fresh.join(graph.vertices, "u").select(*SIDE, "u", "vw", F.lit(0).cast("long").alias("hop")))
+    for hop in range(most_hops):
+        # a side that weighs as much as its room is done: all that is further comes behind what it has
+        used = seen.groupBy(*SIDE).agg(F.sum("vw").alias("used"))
+        open_ = used.join(F.broadcast(limits), SIDE).where("used < room").select(*SIDE)
+        edge = seen.where(F.col("hop") == hop).join(F.broadcast(open_), SIDE, "left_semi")
+        fresh = edge.join(inner, "u").select(*SIDE, F.col("v").alias("u")).distinct().join(seen.select(*SIDE, "u"), [*SIDE, "u"], "left_anti")
+        seen = state.keep(seen.unionByName(fresh.join(graph.vertices, "u").select(*SIDE, "u", "vw", F.lit(hop + 1).cast("long").alias("hop"))))
+        if not seen.where(F.col("hop") == hop + 1).head(1):
             break
     inside = ranked(seen, SIDE, ["hop", "u"], state, "vw").join(F.broadcast(limits), SIDE).where(F.col("ahead") + F.col("vw") <= F.col("room"))
     return state.keep(inside.select(*SIDE, "u", "vw", "hop"))

@@ -30,45 +30,43 @@ def test_pairs_of_a_colour_share_no_block(spark, k):
 
 def test_corridors_are_bounded_by_the_room(spark):
     """A wide grid in two halves: the corridor is a band around the border, nearest vertices first, and no heavier than alpha times the room."""
-    h, w = 12, 20
+    h, w = 6, 12
     g = grid(spark, h, w)
-    a = g.vertices.select("u", F.when(F.col("u") % w < 10, 0).otherwise(1).cast("long").alias("pid"))
-    blocks = refine.blocks_of(g, a, 2, 132)
+    a = g.vertices.select("u", F.when(F.col("u") % w < 6, 0).otherwise(1).cast("long").alias("pid"))
+    blocks = refine.blocks_of(g, a, 2, 42)
     pairs = spark.createDataFrame([(0, 1)], "a long, b long")
-    for alpha in (1.0, 2.0, 100.0):
+    for alpha in (2.0, 100.0):
         got = corridors.corridors(g, a, pairs, blocks, alpha).collect()
         for side in (0, 1):
             mine = sorted((r["hop"], r["u"]) for r in got if r["side"] == side)
-            away = {u: (9 - u % w) if side == 0 else u % w - 10 for u in range(h * w) if (u % w < 10) == (side == 0)}
-            want = sorted((d, u) for u, d in away.items())[: int(alpha * 12)]
+            away = {u: (5 - u % w) if side == 0 else u % w - 6 for u in range(h * w) if (u % w < 6) == (side == 0)}
+            want = sorted((d, u) for u, d in away.items())[: int(alpha * 6)]
             assert mine == want
 
 
 @pytest.mark.parametrize("kernel", ["fm", "flow", "swap"])
 def test_refinement_of_corridors_keeps_balance_and_lowers_the_cost(spark, kernel):
-    g = grid(spark, 10, 16)
-    a = g.vertices.select("u", ((F.col("u") * 7 + F.floor(F.col("u") / 16)) % 4).cast("long").alias("pid") if kernel == "swap" else F.floor(F.col("u") / 40).cast("long").alias("pid"))
-    before = refine.cost(g, a, M)
-    new = refine.refine_pairs(g, a, M, 44, kernel, 2)
+    g = grid(spark, 6, 8)
+    a = g.vertices.select("u", (F.col("u") * 7 % 3).cast("long").alias("pid") if kernel == "swap" else F.floor(F.col("u") / 16).cast("long").alias("pid"))
+    new = refine.refine_pairs(g, a, Machine.flat(3), 18, kernel, 1)
     rows = {r["u"]: r["pid"] for r in new.collect()}
-    loads = [list(rows.values()).count(b) for b in range(4)]
-    assert len(rows) == 160 and max(loads) <= 44 and refine.cost(g, new, M) <= before
-    if kernel == "swap":
-        assert refine.cost(g, new, M) < before
+    loads = [list(rows.values()).count(b) for b in range(3)]
+    before, after = (refine.cost(g, x, Machine.flat(3)) for x in (a, new))
+    assert len(rows) == 48 and max(loads) <= 18 and after <= before and (after < before or kernel != "swap")
 
 
 def test_spaced_stages(spark):
-    g = grid(spark, 8, 16)
-    a = g.vertices.select("u", (F.col("u") % 16 / 4).cast("long").alias("pid"))
-    new = refine.refine_pairs(g, a, M, 40, "fm", 1, spaced=True)
-    assert refine.cost(g, new, M) <= refine.cost(g, a, M)
+    g = grid(spark, 4, 8)
+    a = g.vertices.select("u", (F.col("u") % 8 / 4).cast("long").alias("pid"))
+    new = refine.refine_pairs(g, a, Machine.flat(2), 20, "fm", 1, spaced=True)
+    assert refine.cost(g, new, Machine.flat(2)) <= refine.cost(g, a, Machine.flat(2))
 
 
 def test_label_propagation_by_pairs(spark):
     rng = random.Random(3)
     g = grid(spark, 8, 10)
     a = spark.createDataFrame([(u, rng.randrange(4)) for u in range(80)], "u long, pid long")
-    new = refine.label_propagation_by_pairs(g, a, M, 26, 3)
+    new = refine.label_propagation_by_pairs(g, a, M, 26, 1)
     loads = [r["bweight"] for r in metrics.block_weights(g.vertices, new, 4).collect()]
     assert refine.cost(g, new, M) < refine.cost(g, a, M) and sum(loads) == 80 and max(loads) <= 26
 
