@@ -25,6 +25,8 @@ PROBES, SAMPLE = 256, 8192
 RECALL = 0.97
 #: Ranks in a block; a window takes what it covers of as many blocks as it needs.
 BLOCK = 4096
+#: A window reaches so many ranks to each side at least.
+LEAST_WINDOW = 1024
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -152,7 +154,7 @@ def _window(classes: DataFrame, ranks: DataFrame, k: int, recall: float) -> int:
     places = ranks.where("kind = 0").select("curve", "c", "rank")
     met = near.join(places, "c").join(places.select("curve", F.col("c").alias("probe"), F.col("rank").alias("own")), ["curve", "probe"])
     away = met.groupBy("probe", "c").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("away")).select("away").toArrow()["away"].to_numpy()
-    return max(k + 1, int(np.quantile(away, recall, method="higher"))) if len(away) else k + 1
+    return max(k + 1, LEAST_WINDOW, int(np.quantile(away, recall, method="higher")) if len(away) else 0)
 
 
 def ann(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
