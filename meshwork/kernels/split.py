@@ -181,44 +181,82 @@ def refine_flow(g: Local, side: list[int], most: tuple[int, int], extra: list[tu
     return before - flow
 
 
+class Piercing:
+    """A flow between terminals around a and b that goes on as they grow."""
+
+    def __init__(self, g: Local, a: int, b: int):
+        n = len(g)
+        self.g, self.net, self.s, self.t, self.value = g, Network(n + 2), n, n + 1, 0
+        for u in range(n):
+            for v, w in g.near[u].items():
+                if u < v:
+                    self.net.add(u, v, w, w)
+        self.ends, self.held = (a, b), {}
+        self.from_b, self.from_a = g.hops([b]), g.hops([a])
+        self.hold(a, 0)
+        self.hold(b, 1)
+
+    def hold(self, u: int, x: int) -> None:
+        big = 1 << 50
+        self.held[u] = x
+        if x == 0:
+            self.net.add(self.s, u, big)
+        else:
+            self.net.add(u, self.t, big)
+
+    def flow(self, limit: int | None = None) -> int:
+        """The minimum cut between the terminals as they are; a bound at or above `limit` if that is reached. It is no more than any cut that the job can end with."""
+        if limit is None or self.value < limit:
+            self.value += self.net.max_flow(self.s, self.t, None if limit is None else limit - self.value)
+        return self.value
+
+    def grow(self, most: int) -> None:
+        """Terminals become balls of `most` weight at most: both searches go on by turns, the lighter first, and skip what is too heavy."""
+        queues = [[self.ends[0]], [self.ends[1]]]
+        at, load = [0, 0], [self.g.vw[u] for u in self.ends]
+        while True:
+            able = [x for x in (0, 1) if load[x] < most and at[x] < len(queues[x])]
+            if not able:
+                return
+            x = min(able, key=lambda x: load[x])
+            u = queues[x][at[x]]
+            at[x] += 1
+            for v in sorted(self.g.near[u]):
+                if v not in self.held and load[x] + self.g.vw[v] <= most:
+                    self.hold(v, x)
+                    queues[x].append(v)
+                    load[x] += self.g.vw[v]
+
+    def run(self, low: int, high: int) -> list[bool] | None:
+        """The first side, of a weight in [low, high]: the lighter side is closed into its terminal, with one more vertex from the border (piercing), and the
+        flow goes on. None if no vertex is left to take."""
+        g, net, s, t, held = self.g, self.net, self.s, self.t, self.held
+        n = len(g)
+        for _ in range(2 * n):
+            self.flow()
+            left, right = net.source_side(s), net.sink_side(t)
+            wl, wr = sum(g.vw[i] for i in range(n) if left[i]), sum(g.vw[i] for i in range(n) if right[i])
+            got = balanced_min_cut(net, s, t, [*g.vw, 0, 0], low, high, exact=6)
+            if got is not None:
+                return got[:n]
+            x = 0 if wl <= wr else 1
+            mine, theirs = (left, right) if x == 0 else (right, left)
+            grown = [i for i in range(n) if mine[i]]
+            for i in grown:
+                if i not in held:
+                    self.hold(i, x)
+            away = self.from_b if x == 0 else self.from_a
+            next_ = {v for i in grown for v in g.near[i] if not mine[v]} or {i for i in range(n) if not mine[i] and not theirs[i]}
+            next_ = [v for v in next_ if not theirs[v]] or [v for v in next_ if v not in held]
+            if not next_:
+                return None
+            self.hold(max(next_, key=lambda i: (away[i], -sum(w for v, w in g.near[i].items() if not mine[v]), -i)), x)
+        return None
+
+
 def flow_half(g: Local, a: int, b: int, low: int, high: int, rng) -> list[bool] | None:
-    """Minimum cut between terminals around a and b, which grow until the first side's weight lies in [low, high]: the lighter
-    side is closed into its terminal, with one more vertex from the border (piercing), and the flow goes on."""
-    n = len(g)
-    net = Network(n + 2)
-    for u in range(n):
-        for v, w in g.near[u].items():
-            if u < v:
-                net.add(u, v, w, w)
-    s, t, big = n, n + 1, 1 << 50
-    net.add(s, a, big)
-    net.add(b, t, big)
-    held = {a: 0, b: 1}
-    from_b = g.hops([b])
-    from_a = g.hops([a])
-    for _ in range(2 * n):
-        net.max_flow(s, t)
-        left, right = net.source_side(s), net.sink_side(t)
-        wl, wr = sum(g.vw[i] for i in range(n) if left[i]), sum(g.vw[i] for i in range(n) if right[i])
-        got = balanced_min_cut(net, s, t, [*g.vw, 0, 0], low, high, exact=6)
-        if got is not None:
-            return got[:n]
-        x = 0 if wl <= wr else 1
-        mine, theirs = (left, right) if x == 0 else (right, left)
-        grown = [i for i in range(n) if mine[i]]
-        for i in grown:
-            if i not in held:
-                held[i] = x
-                net.add(s, i, big) if x == 0 else net.add(i, t, big)
-        away = from_b if x == 0 else from_a
-        next_ = {v for i in grown for v in g.near[i] if not mine[v]} or {i for i in range(n) if not mine[i] and not theirs[i]}
-        next_ = [v for v in next_ if not theirs[v]] or [v for v in next_ if v not in held]
-        if not next_:
-            return None
-        u = max(next_, key=lambda i: (away[i], -sum(w for v, w in g.near[i].items() if not mine[v]), -i))
-        held[u] = x
-        net.add(s, u, big) if x == 0 else net.add(u, t, big)
-    return None
+    """Minimum cut between terminals around a and b, which grow until the first side's weight lies in [low, high]."""
+    return Piercing(g, a, b).run(low, high)
 
 
 def flow_bisection(g: Local, start: int, most: tuple[int, int], rng) -> list[bool] | None:

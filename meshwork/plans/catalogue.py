@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meshwork.functions import scalars
 from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.paths import global_paths
-from meshwork.operators import coarsen, corridors, gains, metrics, paths, refine
+from meshwork.operators import bisection, coarsen, corridors, gains, metrics, paths, refine
 from meshwork.plans import solver
 from meshwork.sources import files, graph as guests, metis
 from meshwork.sources.graph import Graph
@@ -900,7 +900,7 @@ def _solvers() -> None:
 
         return f
 
-    for method in ("ggg", "flow", "greedy"):
+    for method in ("ggg", "flow", "greedy", "jobs"):
         _held(f"initial_{method}", COARSE, placed_well(4))(initial(method))
 
     def refined(kind):
@@ -1052,3 +1052,58 @@ def multisection_items(spark, d):
 @add("unweighted_sink", f"WITH {GRID}, n AS (SELECT u, string_agg((v + 1)::VARCHAR, ' ' ORDER BY v) t FROM E GROUP BY u) SELECT V.u, coalesce(t, '') \"value\" FROM V LEFT JOIN n ON V.u = n.u")
 def unweighted_sink(spark, d):
     return files.metis_lines(guests.part_grid(spark, d), weights=False)
+
+
+# Bisections as jobs: the grid cut into items of 200 parts, ten rows each ---------------------------------------------------------------------------------
+
+
+def grid_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = guests.part_grid(spark, d)
+    item = lambda c: F.floor(F.col(c) / 200).cast("long")
+    return g.vertices.withColumn("item", item("u")), g.edges.where(item("u") == item("v")).withColumn("item", item("u"))
+
+
+def _seed_sql(n: int) -> str:
+    """Farthest-first seeds of each item; hops on rows of whole cells are the sum of both differences."""
+    hops = "(abs(x.u // 20 - y.u // 20) + abs(x.u % 20 - y.u % 20))"
+    far = "row_number() OVER (PARTITION BY item ORDER BY away DESC, u)"
+    out = f"""P AS (SELECT p_partkey u, p_partkey // 200 item FROM part),
+S0 AS (SELECT item, u FROM (SELECT x.item, x.u, row_number() OVER (PARTITION BY x.item ORDER BY {hops} DESC, x.u) r FROM P x JOIN (SELECT item, min(u) u FROM P GROUP BY 1) y ON x.item = y.item) WHERE r = 1),
+M0 AS (SELECT x.item, x.u, {hops} away FROM P x JOIN S0 y ON x.item = y.item)"""
+    for i in range(1, n):
+        out += f""",
+S{i} AS (SELECT item, u FROM (SELECT item, u, {far} r FROM M{i - 1} WHERE away > 0) WHERE r = 1),
+M{i} AS (SELECT x.item, x.u, least(x.away, {hops}) away FROM M{i - 1} x JOIN S{i} y ON x.item = y.item)"""
+    return out + f""",
+S AS ({" UNION ALL ".join(f"SELECT item, {i} place, u FROM S{i}" for i in range(n))}),
+J AS (SELECT x.item, x.place i, y.place j, x.u a, y.u b, {hops} hops FROM S x JOIN S y ON x.item = y.item AND x.place < y.place)"""
+
+
+@add("bisection_seeds", f"WITH {_seed_sql(5)} SELECT item, place, u FROM S")
+def bisection_seeds(spark, d):
+    """Five far seeds of each item of the grid."""
+    return bisection.seeds(*grid_items(spark, d), n=5).select("item", "place", "u")
+
+
+@add("bisection_pairs", f"""WITH {_seed_sql(5)} SELECT item, i, j, a, b, hops,
+i = 0 OR rank() OVER (PARTITION BY item, i > 0 ORDER BY hops DESC) <= greatest(1, ceil(0.5 * count(*) OVER (PARTITION BY item, i > 0))) kept FROM J""")
+def bisection_pairs(spark, d):
+    """The job list of each item: pairs with the first seed, and the farther half of the others."""
+    return bisection.pairs(bisection.seeds(*grid_items(spark, d), n=5), 0.5)
+
+
+@add("bisection_sides", "WITH P AS (SELECT p_partkey // 200 item, count(*) n, sum(p_size)::BIGINT weight FROM part GROUP BY 1) SELECT item, n, weight, 0::BIGINT overload, TRUE is_cheaper FROM P")
+def bisection_sides(spark, d):
+    """Each item in two sides of 53 % of its weight and its heaviest cell at most: the weight above that, counted on the sides, and whether their cut is below that of the halves by id."""
+    state = coarsen.Rounds(spark)
+    vs, es = (state.keep(t) for t in grid_items(spark, d))
+    half = (F.ceil(F.sum("vw") * 0.53) + F.max("vw")).cast("long")
+    limits = state.keep(vs.groupBy("item").agg(half.alias("most0"), half.alias("most1")))
+    a = bisection.bisect(vs, es, limits, ball=0.05, state=state).drop("item")
+    row = vs.join(a, "u").groupBy("item").agg(*[F.sum(F.when(F.col("side") == s, F.col("vw")).otherwise(0)).alias(f"w{s}") for s in (0, 1)], F.count("*").alias("n"))
+    x, y = a.select("u", F.col("side").alias("su")), a.select(F.col("u").alias("v"), F.col("side").alias("sv"))
+    # halves by id: the first five rows of cells and the rest
+    by_id = F.floor(F.col("u") % 200 / 100) != F.floor(F.col("v") % 200 / 100)
+    cut = es.join(x, "u").join(y, "v").groupBy("item").agg(F.sum(F.when(F.col("su") != F.col("sv"), F.col("w")).otherwise(0)).alias("cut"), F.sum(F.when(by_id, F.col("w")).otherwise(0)).alias("plain"))
+    over = F.greatest(F.lit(0), F.col("w0") - F.col("most0")) + F.greatest(F.lit(0), F.col("w1") - F.col("most1"))
+    return row.join(limits, "item").join(cut, "item").select("item", "n", (F.col("w0") + F.col("w1")).alias("weight"), over.cast("long").alias("overload"), (F.col("cut") <= F.col("plain")).alias("is_cheaper"))

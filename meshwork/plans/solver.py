@@ -12,7 +12,7 @@ from meshwork.functions.scalars import adaptive_imbalance, lmax as limit
 from meshwork.kernels import multilevel
 from meshwork.kernels.local import Local
 from meshwork.kernels.split import split
-from meshwork.operators import coarsen, metrics, refine
+from meshwork.operators import bisection, coarsen, metrics, refine
 from meshwork.operators.paths import global_paths
 from meshwork.operators.rounds import Rounds
 from meshwork.sources.files import write_metis
@@ -73,8 +73,10 @@ def _trial_kernel(m: Machine, lmax: int, weight: int, eps: float, p: Profile, me
 
 def initial(graph: Graph, m: Machine, lmax: int, method: str = "flow", trials: int = 3, seed: int = 0, weight: int | None = None, eps: float = 0.03, profile: Profile | None = None) -> DataFrame:
     """Places a graph of bounded size (LOCAL_ARCS, or k * c vertices): multilevel multisection, outermost level first, in one task for each of `trials` seeds; the
-    best counts, balanced ones first. method: "flow", "ggg" (growing) or "greedy"."""
+    best counts, balanced ones first. method: "flow", "ggg" (growing) or "greedy"; "jobs" bisects all parts of a level together, a task for each pair of seeds."""
     weight = _weight(graph) if weight is None else weight
+    if method == "jobs":
+        return refine.rebalance(graph, bisection.multisection(graph, m, lmax, pool=1 if trials == 1 else 4, salt=seed), m, lmax)
     p = profile or Profile()
     seeds = F.explode(F.sequence(F.lit(0), F.lit(max(1, trials) - 1))).alias("trial")
     vertices, edges = graph.vertices.select(seeds, "u", "vw"), graph.edges.select(seeds, "u", "v", "w")
