@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,35 @@ TEMPLATES = [
 ]
 
 
+#: A template is posted under so many of the rarest words of its key phrases.
+POSTED = 3
+WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
+
+def split_words(text: str) -> list[str]:
+    return WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+
+
 class Template:
-    def __init__(self, label: str, sentence: str, key: str, base: bool):
-        self.label, self.words, self.base = label, sentence.split(), base
-        key_words = key.split()
-        at = next(i for i in range(len(self.words)) if self.words[i : i + len(key_words)] == key_words)
-        self.key = range(at, at + len(key_words))
+    """A label, the words of a sentence, and the places of its mandatory key phrases (one, or several in order)."""
+
+    def __init__(self, label: str, sentence: str, key: str | Sequence[str], base: bool = False):
+        self.label, self.words, self.base = label, split_words(sentence), base
+        self.key: list[int] = []
+        behind = 0
+        for phrase in [key] if isinstance(key, str) else key:
+            k = split_words(phrase)
+            at = next((i for i in range(behind, len(self.words) - len(k) + 1) if self.words[i : i + len(k)] == k), None)
+            if not k or at is None:
+                raise ValueError(f"key phrase {phrase!r} doesn't stand in the sentence of {label!r}")
+            self.key += range(at, at + len(k))
+            behind = at + len(k)
+        if not self.key or "," in label:
+            raise ValueError(f"a template needs a key phrase and a label without comma: {label!r}")
 
 
-def templates() -> list[Template]:
-    return [Template(label, p, p, True) for p, label in BASE] + [Template(label, s, k, False) for label, s, k in TEMPLATES]
+def made_templates(templates: Sequence[tuple]) -> list[Template]:
+    return [Template(label, p, p, True) for p, label in BASE] + [Template(label, s, k) for label, s, k in templates]
 
 
 class Vocabulary:
@@ -84,64 +105,103 @@ def _chunk(view: np.ndarray, start: np.ndarray, size: np.ndarray, i: int) -> np.
     return np.where(left == 8, x, x & ((np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1)))
 
 
+class Found(NamedTuple):
+    """For each text: base places, their first and last (-1: none), base labels, labels, score."""
+
+    n: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    base: list[str]
+    labels: list[str]
+    score: np.ndarray
+
+
 class Index:
-    """Postings of templates: under its rarest key word each template is found with that word's place in it. The other key words, by falling
-    IDF, must stand at their places relative to it."""
+    """Positional postings: each template under the POSTED rarest words of its key phrases, with their places in it.
+
+    A posted word of a file says where a template would begin; beginnings that all posted words of the template name are the
+    intersection of its postings, and there the key phrases are verified word for word. What the rarest word alone or any two posted words name is scored as well, so a sentence
+    of which the rarest word is missing still counts for its share.
+    """
 
     def __init__(self, made: list[Template], number: dict[str, int], idf: list[float]):
         self.made, self.idf = made, np.array(idf)
         self.terms = [np.array([number[w] for w in t.words]) for t in made]
-        self.rare = [sorted(t.key, key=lambda i, n=n: (-idf[n[i]], i)) for t, n in zip(made, self.terms, strict=True)]
-        self.posted: dict[int, list[int]] = {}
-        for j, (n, rare) in enumerate(zip(self.terms, self.rare, strict=True)):
-            self.posted.setdefault(int(n[rare[0]]), []).append(j)
-
-    def look_up(self, place: np.ndarray, term: np.ndarray, first: np.ndarray) -> list[tuple]:
-        """For each text (places of base phrases, first, last, base labels, labels, score). place: rising word numbers of the block, term: what stands there."""
+        self.posted = [sorted(t.key, key=lambda i, n=n: (-idf[n[i]], i))[:POSTED] for t, n in zip(made, self.terms, strict=True)]
+        self.longest = max(len(t.words) for t in made)
+        self.labels = sorted({t.label for t in made})
+        self.label = [self.labels.index(t.label) for t in made]
+
+    def beginnings(self, j: int, where: dict[int, np.ndarray], row: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts and word numbers where template j may begin, and whether all its posted words say so."""
+        named = [where.get(int(self.terms[j][i]), np.zeros(0, np.int64)) for i in self.posted[j]]
+        if not len(named[0]) and sum(len(x) > 0 for x in named) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        wide = int(first[-1]) + 2 * self.longest  # a code tells the text and the beginning, which may lie before the text's first word
+        code = [row[x] * wide + (place[x] - i - first[row[x]] + self.longest) for x, i in zip(named, self.posted[j], strict=True)]
+        one, votes = np.unique(np.concatenate(code), return_counts=True)
+        one, votes = (x[(votes > 1) | np.isin(one, code[0])] for x in (one, votes))
+        r = one // wide
+        return r, one % wide - self.longest + first[r], votes == len(code)
+
+    def look_up(self, place: np.ndarray, term: np.ndarray, first: np.ndarray) -> Found:
+        """place: rising word numbers of the block that hold a known word, term: which; first: each text's first word."""
         n = len(first) - 1
-        out: list[tuple] = [(0, None, None, "", "", 0.0)] * n
         row = np.searchsorted(first, place, "right") - 1
         at = np.full(int(first[-1]) + 1, -1, np.int32)  # the term of each word of the block
         at[place] = term
-        found: dict[int, list] = {}
-        for t in np.unique(term).tolist():
-            for j in self.posted.get(t, ()):  # only the words that the texts hold are looked up
-                own = np.flatnonzero(term == t)
-                zero, r = place[own] - self.rare[j][0], row[own]
-                whole = self.idf[self.terms[j]].sum()
-                share = np.zeros(len(own))
-                for i, w in enumerate(self.terms[j].tolist()):
-                    p = zero + i
-                    share += self.idf[w] * ((p >= first[r]) & (p < first[r + 1]) & (at[np.clip(p, 0, len(at) - 1)] == w))
-                fits = np.ones(len(own), bool)
-                for i in self.rare[j][1:]:
-                    p = zero + i
-                    fits &= (p >= first[r]) & (p < first[r + 1]) & (at[np.clip(p, 0, len(at) - 1)] == self.terms[j][i])
-                    if not fits.any():
-                        break
-                share = share / whole if whole else share
-                begin = zero + self.made[j].key[0] - first[r]
-                for x, ok, b, v in zip(r.tolist(), fits.tolist(), begin.tolist(), share.tolist(), strict=True):
-                    found.setdefault(x, []).append((j if ok else -1, b, v))
-        for x, hits in found.items():
-            labels = {self.made[j].label for j, _, _ in hits if j >= 0}
-            base = [(b, self.made[j].label) for j, b, _ in hits if j >= 0 and self.made[j].base]
-            begins = [b for b, _ in base]
-            out[x] = (len(base), min(begins, default=None), max(begins, default=None), ",".join(sorted({y for _, y in base})), ",".join(sorted(labels)), min(1.0, max(v for _, _, v in hits)))
-        return out
-
-
-def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        order = np.argsort(term, kind="stable")
+        cuts = np.flatnonzero(np.diff(term[order])) + 1
+        where = {int(term[x[0]]): x for x in np.split(order, cuts) if len(x)}
+        score, count = np.zeros(n), np.zeros(n, np.int64)
+        low, high = np.full(n, 2**62), np.full(n, -1)
+        hits: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        for j, t in enumerate(self.made):
+            r, zero, all_posted = self.beginnings(j, where, row, place, first)
+            if not len(r):
+                continue
+
+            def stands(i: int, r=r, zero=zero, j=j) -> np.ndarray:
+                p = zero + i
+                return (p >= first[r]) & (p < first[r + 1]) & (at[np.clip(p, 0, len(at) - 1)] == self.terms[j][i])
+
+            own = self.idf[self.terms[j]]
+            if own.sum() > 0:
+                share = sum(w * stands(i) for i, w in enumerate(own.tolist())) / own.sum()
+                np.maximum.at(score, r, np.minimum(share, 1.0))
+            fits = all_posted
+            for i in t.key:
+                fits = fits & stands(i)
+            r = r[fits]
+            hits[False].append(np.unique(r) * len(self.labels) + self.label[j])
+            if t.base:
+                begin = zero[fits] + t.key[0] - first[r]
+                count += np.bincount(r, minlength=n)
+                np.minimum.at(low, r, begin)
+                np.maximum.at(high, r, begin)
+                hits[True].append(hits[False][-1])
+        return Found(count, np.where(count > 0, low, -1), high, self._names(n, hits[True]), self._names(n, hits[False]), score)
+
+    def _names(self, n: int, hits: list[np.ndarray]) -> list[str]:
+        """The distinct labels of each text, sorted and joined. hits: text * labels + label."""
+        out: list[list[str]] = [[] for _ in range(n)]
+        for x in np.unique(np.concatenate(hits)).tolist() if hits else ():
+            out[x // len(self.labels)].append(self.labels[x % len(self.labels)])
+        return [",".join(x) for x in out]
+
+
+def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: Sequence[tuple] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row.
 
-    A first pass counts in how many files each word of a template occurs, which gives its IDF. The index posts each template under its rarest
-    key word. In the second pass each file looks up its own licence words there, with their places; template words at the
-    same relative places are intersected, and the key phrase must stand word for word. score is the largest share of a template's IDF found
-    around such a place (1: a whole sentence). Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A null or empty text has 0 words, no
+    A first pass counts in how many files each word of a template occurs, which gives its IDF. The index posts each template under the rarest words of its key
+    phrases. In the second pass each file looks up its own licence words of the highest IDF, with their places; where all posted words of a template agree on its
+    beginning, the key phrases must stand word for word. score is the largest share of a template's IDF found at a beginning that its rarest word or two
+    posted words name (1: a whole sentence). templates: (label, sentence, key phrase or list of key phrases in order), besides those of the base; words of sentences are told as those of
+    texts. Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A null or empty text has 0 words, no
     label, score 0 and null first and last; null ids and repeated rows are kept; other columns, whatever their names, play no part.
     """
     small_batches(docs.sparkSession)
-    ts = templates()
+    ts = made_templates(templates)
     names = sorted({w for t in ts for w in t.words})
     number = {w: i for i, w in enumerate(names)}
 
@@ -167,8 +227,9 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             for lo, hi, data, off in blocks(batch.column("text")):
                 place, term, first = known.find(data, off)
                 got = index.look_up(place, term, first)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                none = got.n == 0
+                columns = [batch.column("id").slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(got.n), pa.array(got.first, mask=none), pa.array(got.last, mask=none), pa.array(got.base, pa.string()), pa.array(got.labels, pa.string()), pa.array(got.score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     out = own.mapInArrow(look_up, f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     return out.withColumnRenamed("id", doc_id)
