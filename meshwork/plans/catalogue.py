@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meshwork.functions import scalars
 from meshwork.functions.hierarchy import Machine
 from meshwork.kernels.paths import global_paths
-from meshwork.operators import bisection, coarsen, corridors, gains, metrics, paths, refine
+from meshwork.operators import bisection, coarsen, corridors, gains, kway, metrics, paths, refine
 from meshwork.plans import solver
 from meshwork.sources import files, graph as guests, metis
 from meshwork.sources.graph import Graph
@@ -1107,3 +1107,44 @@ def bisection_sides(spark, d):
     cut = es.join(x, "u").join(y, "v").groupBy("item").agg(F.sum(F.when(F.col("su") != F.col("sv"), F.col("w")).otherwise(0)).alias("cut"), F.sum(F.when(by_id, F.col("w")).otherwise(0)).alias("plain"))
     over = F.greatest(F.lit(0), F.col("w0") - F.col("most0")) + F.greatest(F.lit(0), F.col("w1") - F.col("most1"))
     return row.join(limits, "item").join(cut, "item").select("item", "n", (F.col("w0") + F.col("w1")).alias("weight"), over.cast("long").alias("overload"), (F.col("cut") <= F.col("plain")).alias("is_cheaper"))
+
+
+# The k-way partitioner ---------------------------------------------------------------------------------------------------------------------------------
+
+KWAY = f"""{CONN}, {BLOCKS.format(k=16)},
+K AS (SELECT u, pid old_id, coalesce(sum(w) FILTER (id = pid), 0)::BIGINT own, coalesce(sum(w) FILTER (id <> pid), 0)::BIGINT ext, (count(*) FILTER (id <> pid))::BIGINT n_blocks FROM C GROUP BY 1, 2),
+Y AS (SELECT *, ext / sqrt(n_blocks) - own "key" FROM K WHERE n_blocks > 0),
+T AS (SELECT sum(vw)::BIGINT // 20 low, sum(vw)::BIGINT // 12 high FROM V),
+X AS (SELECT Y.u, old_id, C.id new_id, (C.w - own)::BIGINT gain, "key", vw, o.bweight old_w, n.bweight new_w, low, high FROM Y JOIN C ON C.u = Y.u AND C.id <> old_id JOIN V ON V.u = Y.u
+  JOIN B o ON o.pid = old_id JOIN B n ON n.pid = C.id, T),
+W AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, new_w, new_id) r FROM X
+  WHERE (gain > 0 AND ((new_w + vw <= high AND old_w - vw >= low) OR new_w < old_w - vw)) OR (gain = 0 AND new_w < old_w - vw)) WHERE r = 1)"""
+
+
+def _kway(spark, d):
+    g, a, ea = grid_modulo(spark, d)
+    weight = g.vertices.agg(F.sum("vw")).first()[0]
+    weights = coarsen.Rounds(spark).keep(refine.blocks_of(g, a, 16, weight // 12))
+    return g, a, metrics.block_conn(ea), weights, weight // 20, weight // 12
+
+
+@add("kway_keys", f"{KWAY} SELECT u, old_id, own, ext, n_blocks, \"key\" FROM Y")
+def kway_keys(spark, d):
+    """Of each vertex on a border: its edges inside and outside, and the order in which it is tried."""
+    _, a, conn, *_ = _kway(spark, d)
+    return kway.keys(conn, a)
+
+
+@add("kway_wanted", f"{KWAY} SELECT u, old_id, new_id, gain, \"key\", vw FROM W")
+def kway_wanted(spark, d):
+    """Each vertex's best block between the smallest and the largest weight of blocks."""
+    g, a, conn, weights, low, high = _kway(spark, d)
+    return kway.wanted(conn, a, g.vertices, weights, low, high)
+
+
+@add("kway_taken", f"""{KWAY} SELECT u, old_id, new_id, gain FROM (SELECT *, sum(vw) OVER (PARTITION BY new_id ORDER BY "key" DESC, u ROWS UNBOUNDED PRECEDING) i,
+  sum(vw) OVER (PARTITION BY old_id ORDER BY "key" DESC, u ROWS UNBOUNDED PRECEDING) o FROM W) WHERE new_w + i <= high AND old_w - o >= low""")
+def kway_taken(spark, d):
+    """What of these moves keeps every block within both limits."""
+    g, a, conn, weights, low, high = _kway(spark, d)
+    return kway.taken(kway.wanted(conn, a, g.vertices, weights, low, high), weights, low, high, coarsen.Rounds(spark))
