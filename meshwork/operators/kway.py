@@ -151,7 +151,7 @@ def partition(graph: Graph, k: int, eps: float = 0.03, seed: int = 0, tries: int
     for i in range(tries):
         a = state.keep(refine.rebalance(now, bisection.multisection(now, Machine.flat(k), high, n_seeds=3, pool=3, salt=seed + i), Machine.flat(k), high))
         over = metrics.balance(metrics.block_weights(now.vertices, a, k), high).first()["overload"]
-        key = (over, metrics.edge_cut(metrics.placed(now.edges, a)).first()[0] or 0)
+        key = (over, metrics.edge_cut(metrics.placed(now.edges, a)).first()["edge_cut"])
         if best is None or key < best[0]:
             best = (key, a)
     assign = best[1] if best else None

@@ -144,5 +144,5 @@ def test_multisection_by_jobs(spark, levels):
     a = initial(g, m, lmax, "jobs", 1).cache()
     assert a.count() == h * w and metrics.balance(metrics.block_weights(g.vertices, a, m.k), lmax).first()["n_overloaded"] == 0
     striped = g.vertices.select("u", (F.col("u") % m.k).alias("pid"))
-    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()[0]
+    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()["edge_cut"]
     assert 3 * cut(a) < cut(striped)

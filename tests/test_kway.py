@@ -41,7 +41,7 @@ def test_star_and_vertices_without_edges_are_matched(spark):
 def test_moves_keep_both_limits_and_the_cut_falls_by_the_gains(spark):
     g = grid(spark, 10, 12)
     a = g.vertices.select("u", F.floor(F.col("u") * 7 % 120 / 30).cast("long").alias("pid"))
-    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()[0]
+    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()["edge_cut"]
     state = Rounds(spark)
     weights = state.keep(refine.blocks_of(g, a, 4, 36))
     conn = state.keep(metrics.block_conn(metrics.placed(g.edges, a)))
@@ -64,7 +64,7 @@ def test_partition_is_balanced_and_near_the_other_one(spark):
     """Cut at most 1.5 times that of the kernel's multilevel partition, and both within the limit."""
     g = grid(spark, 14, 14)
     most = math.ceil(1.1 * 196 / 4)
-    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()[0]
+    cut = lambda x: metrics.edge_cut(metrics.placed(g.edges, x)).first()["edge_cut"]
     own, other = (x.cache() for x in (kway.partition(g, 4, 0.1, tries=1), partition(g, 4, 0.1)))
     assert own.count() == 196 and metrics.balance(metrics.block_weights(g.vertices, own, 4), most).first()["n_overloaded"] == 0
     assert cut(own) <= 1.5 * cut(other)
