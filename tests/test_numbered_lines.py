@@ -30,3 +30,10 @@ def test_metis_graph_in_unequal_parts(spark, tmp_path):
     g = files.read_metis(spark, f"{tmp_path}/g")
     assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 5), (1, 0, 5), (1, 2, 6), (2, 1, 6), (2, 3, 7), (3, 2, 7)]
     assert sorted(map(tuple, g.vertices.collect())) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_partition_in_unequal_parts(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "part-00000").write_text("7\n")
+    (tmp_path / "p" / "part-00001").write_text("8\n9\n6\n")
+    assert sorted(map(tuple, files.read_partition(spark, f"{tmp_path}/p").collect())) == [(0, 7), (1, 8), (2, 9), (3, 6)]
