@@ -5,8 +5,8 @@
 2. A representative has a label of DEPTH MinHash values in each tree. A tree is the prefix trie of its labels: they are range-partitioned
    and sorted, and what neighbours share is the trie. Every pair of neighbours with a prefix of at least the floor's length is written with that length; texts below one
    node of any depth are then a chain of such pairs.
-3. Matched prefixes are shortened from the full depth on until the target recall is reached, which is reckoned from the similarities of a
-   bounded sample of neighbours; the floor is the depth that reaches it if all pairs were just at the threshold.
+3. Matched prefixes are shortened from the full depth on until the target recall is reached, which is reckoned from the similarities of all
+   neighbours, counted on the cluster; the floor is the depth that reaches it if all pairs were just at the threshold.
 4. Chains of all trees are joined to components (never listing all pairs of a node). A component's members are dealt to tiles of bounded size and each
    tile verifies its pairs exactly, by products of 0/1 matrices over the shingles that occur twice; links are counted there, not listed.
 5. Verified links are joined to classes of near-duplicates.
@@ -28,8 +28,6 @@ from meshwork.llm.textbytes import NOT_SPACE, U, blocks, run_lanes, signed, with
 
 N, LEAST, TREES, DEPTH, RECALL, TILE = 5, 0.8, 32, 8, 0.9999, 128
 COLUMNS = 8192
-#: Neighbours whose similarity is looked at when the depth is chosen.
-SAMPLE = 4096
 
 
 def recall_at(depth: int, similarity, trees: int):
@@ -42,13 +40,14 @@ def depth_for(least: float, trees: int, depth: int, recall: float) -> int:
     return max((d for d in range(1, depth + 1) if recall_at(d, least, trees) >= recall), default=1)
 
 
-def shortened(similarity: np.ndarray, least: float, trees: int, depth: int, floor: int, recall: float) -> int:
-    """The longest prefix at which the expected share of the pairs found is `recall`, from a sample of pairs met at the floor: each
-    stands for as many pairs as its chance to be met there says. Without similar pairs in the sample it is the floor."""
-    pairs = similarity[similarity >= least]
+def shortened(similarity: np.ndarray, least: float, trees: int, depth: int, floor: int, recall: float, many: np.ndarray | None = None) -> int:
+    """The longest prefix at which the expected share of the pairs found is `recall`, from the pairs met at the floor, `many` of each similarity: each
+    stands for as many pairs as its chance to be met there says. Without similar pairs it is the floor."""
+    similar = similarity >= least
+    pairs = similarity[similar]
     if not len(pairs):
         return floor
-    weight = 1 / recall_at(floor, pairs, trees)
+    weight = (1 if many is None else many[similar]) / recall_at(floor, pairs, trees)
     return max((d for d in range(floor, depth + 1) if (weight * recall_at(d, pairs, trees)).sum() >= recall * weight.sum()), default=floor)
 
 
@@ -175,6 +174,15 @@ def _across(ends: list, floor: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For how many pairs how many values of their labels agree."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("of_u", "of_v"))
+            same, many = np.unique((a == b).sum(1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(many, pa.int64())], names=["same", "many"])
+
+
 def _sets(n: int, key: int):
     """A row with the text's shingles for each tile that it belongs to."""
 
@@ -300,11 +308,10 @@ def candidates(signatures: DataFrame, least: float, trees: int, depth: int, reca
     if across:
         links = links.unionByName(spark.createDataFrame(across, "u long, v long, shared int"))
     links = scratch.save(links.groupBy("u", "v").agg(F.max("shared").alias("shared")), "neighbours", [trie])
-    some = links.orderBy(F.xxhash64("u", "v"), "u", "v").limit(SAMPLE).select("u", "v")
-    labels = lambda at: signatures.select(F.col("k").alias(at), F.col("labels").alias("of_" + at))
-    met = some.join(labels("u"), "u").join(labels("v"), "v").select("of_u", "of_v").collect()
-    alike = [(np.frombuffer(r["of_u"], np.uint16) == np.frombuffer(r["of_v"], np.uint16)).mean() for r in met]
-    d = shortened(np.array(alike), least, trees, depth, floor, recall)
+    labels = lambda at: signatures.select(F.col("k").alias(at), F.col("labels").alias("of_" + at)).hint("merge")
+    met = links.select("u", "v").join(labels("u"), "u").join(labels("v"), "v").select("of_u", "of_v")
+    alike = met.mapInArrow(_alike, "same long, many long").groupBy("same").agg(F.sum("many").alias("many")).toArrow()  # trees * depth + 1 rows at most
+    d = shortened(alike["same"].to_numpy() / (trees * depth), least, trees, depth, floor, recall, alike["many"].to_numpy())
     return scratch.save(components(links.where(F.col("shared") >= d).select("u", "v"), scratch), "candidates", [links])
 
 
