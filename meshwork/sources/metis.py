@@ -1,6 +1,6 @@
 """METIS graphs as a Spark data source: `spark.read.format("metis").option("path", ..).option("rows", "edges" or "vertices").load()`.
 
-Files are cut into byte ranges, a task each; a range owns the lines that begin in it. A line's number is its place in the range plus the lines of all ranges before.
+Files are cut into byte ranges; a range owns the lines that begin in it, and a task reads as many that follow each other as hold TASK_BYTES, one after another. A line's number is its place in the range plus the lines of all ranges before.
 `read_graph` counts these in a pass on the cluster and hands them on; a plain load counts them while the read is planned. Options: `path`, a file or a folder whose
 parts, by name, make the file, on a file system that Arrow knows; `rows`; `range_bytes`, the size of a range. Columns: `edges` (u, v, w), `vertices` (u, vw); ids from 0.
 """
@@ -19,16 +19,24 @@ from meshwork.sources.graph import Graph
 
 RANGE_BYTES = 32 << 20
 SCHEMAS = {"edges": "u long, v long, w long", "vertices": "u long, vw long", "lines": "file string, start long, n long, head string"}
+#: Bytes of small ranges that one task reads.
+TASK_BYTES = 1 << 20
 #: Read beyond a range at a time, for the end of its last line.
 BEYOND = 1 << 16
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, file: str, start: int, end: int, first: int = 0):
-        super().__init__((file, start, end, first))
         self.file, self.start, self.end, self.first = file, start, end, first
 
 
+class Ranges(InputPartition):
+    """The ranges of one task."""
+
+    def __init__(self, ranges: list[Range]):
+        super().__init__([(r.file, r.start, r.end, r.first) for r in ranges])
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -103,10 +111,25 @@ class MetisReader(DataSourceReader):
         for r, n in zip(self.ranges, many, strict=True):
             r.first, at = at, at + n
 
-    def partitions(self) -> list[Range]:
-        return self.ranges
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def __getstate__(self) -> dict:
+        """What a task gets besides its own ranges: not those of all others."""
+        return self.__dict__ | {"ranges": []}
+
+    def partitions(self) -> list[Ranges]:
+        out, size = [], TASK_BYTES
+        for r in self.ranges:
+            if size + r.end - r.start > TASK_BYTES:
+                out.append([])
+                size = 0
+            out[-1].append(r)
+            size += r.end - r.start
+        return [Ranges(x) for x in out]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for x in partition.value:
+            yield from self.read_range(Range(*x))
+
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         lines = counted(lines_of(partition.file, partition.start, partition.end))
         if self.rows == "lines":
             head = lines[0].decode()[:1000] if lines else None

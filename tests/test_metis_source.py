@@ -43,3 +43,15 @@ def test_wrong_headers(spark, tmp_path):
     (tmp_path / "empty").write_text("% nothing\n")
     with pytest.raises(ValueError, match="no header"):
         metis.read_graph(spark, str(tmp_path / "empty"))
+
+
+def test_small_ranges_share_tasks_and_no_task_gets_all_ranges(tmp_path):
+    import pickle
+
+    n = 3000
+    (tmp_path / "ring").write_text(f"{n} {n}\n" + "".join(f"{(i - 1) % n + 1} {(i + 1) % n + 1}\n" for i in range(n)))
+    reader = metis.MetisReader({"path": str(tmp_path / "ring"), "rows": "edges", "range_bytes": "16"})
+    parts = reader.partitions()
+    assert len(reader.ranges) > 1000 and len(parts) == 1 and len(pickle.dumps(reader)) < 2000
+    got = [(u, v) for p in parts for b in reader.read(p) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert sorted(got) == sorted((i, j) for i in range(n) for j in ((i - 1) % n, (i + 1) % n))
