@@ -99,3 +99,14 @@ def test_refine_pair_escapes_small_hills():
     g = Local(range(n), [1] * n, edges + [(v, u, w) for u, v, w in edges])
     side = [0 if u < 18 else 1 for u in range(n)]
     assert refine_pair(g, side, (24, 24)) == 2 and g.cut(side) == 1
+
+
+@pytest.mark.parametrize("chunk", [7, 20_000])
+def test_a_long_corridor_takes_a_round_a_chunk_not_a_round_a_hop(spark, monkeypatch, chunk):
+    monkeypatch.setattr(corridors, "CHUNK", chunk)
+    kept, keep = [], corridors.Rounds.keep
+    monkeypatch.setattr(corridors.Rounds, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    g = grid(spark, 60, 1)
+    a = g.vertices.select("u", (F.col("u") >= 30).cast("long").alias("pid"))
+    got = corridors.corridors(g, a, spark.createDataFrame([(0, 1)], "a long, b long"), refine.blocks_of(g, a, 2, 55), 1.0, 64)
+    assert sorted(r["u"] for r in got.collect()) == list(range(5, 55)) and len(kept) < 15
