@@ -99,7 +99,7 @@ def taken(moves: DataFrame, weights: DataFrame, low: int, high: int, state: Roun
     into = ranked(rows, ["new_id"], ["__neg", "u"], state, "vw").withColumnsRenamed({"ahead": "__in"}).drop("rank")
     both = ranked(into, ["old_id"], ["__neg", "u"], state, "vw").withColumnsRenamed({"ahead": "__out"}).drop("rank")
     old, new = (weights.select(F.col("pid").alias(f"{x}_id"), F.col("bweight").alias(f"{x}_w")) for x in ("old", "new"))
-    met = both.join(old, "old_id").join(new, "new_id")
+    met = both.join(F.broadcast(old), "old_id").join(F.broadcast(new), "new_id")
     ok = F.col("new_w") + F.col("__in") + F.col("vw") <= high
     leaves = F.col("old_w") - F.col("__out") - F.col("vw") >= low
     if balance:
